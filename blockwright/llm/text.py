@@ -131,15 +131,23 @@ def sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Lookup:
     """Place of each 64-bit key in an array of distinct keys, or -1: open addressing over numpy arrays."""
 
-    def __init__(self, keys: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, room: int = 0) -> None:
         self.keys = np.asarray(keys, np.uint64)
-        bits = max(4, int(len(self.keys) * 2).bit_length())
+        bits = max(4, int(max(len(self.keys), room) * 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.slots = np.full(1 << bits, -1, np.int32)
-        left, place = np.arange(len(self.keys)), self._place(self.keys)
-        self.probes = 0
+        self._put(0)
+
+    def add(self, keys: np.ndarray) -> None:
+        """More keys, none of them there yet; room says for how many there is space in all."""
+        n = len(self.keys)
+        self.keys = np.concatenate([self.keys, np.asarray(keys, np.uint64)])
+        self._put(n)
+
+    def _put(self, n: int) -> None:
+        left = np.arange(n, len(self.keys))
+        place = self._place(self.keys[n:])
         while len(left):
-            self.probes += 1
             free = self.slots[place] < 0
             self.slots[place[free]] = left[free]
             lost = self.slots[place] != left
