@@ -6,10 +6,10 @@
 2. Texts with the same words are one node; the smallest id stands for it.
 3. Each node's weights (occurrences times IDF) give K consistent weighted samples; bands of R samples
    are bucket keys.  P(no common band) at similarity 0.8 is 0.00004.
-4. In each bucket, the smallest node is compared with all others; components of the links found are
-   computed; then in buckets that still hold several components, nodes outside the largest are compared
-   with all nodes of other components and leave, until one component is left.  So every two nodes of a
-   bucket are either compared or already connected, and no bucket emits all of its pairs.
+4. In each bucket, the smallest node is compared with all others, and components of the links found are
+   computed.  Where the others still are of several components, those outside the largest are compared
+   with all of other components, in blocks of bounded size that give links between components, never
+   pairs.  So every two nodes of a bucket are either compared or already connected.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from blockwright.llm import text as tx
 from blockwright.llm.spark import dropped, per_block, stored, table
@@ -47,6 +46,11 @@ _GAMMA = _gamma2()
 _LOG_GAMMA = np.log(_GAMMA) + np.float32(64)  # so that all sampled values are positive
 
 
+#: Shingles are told apart by 44 bits; the rest of a 64-bit key is the place of their text in a block.
+HASH_BITS = np.uint64(44)
+_MASK = np.uint64((1 << 44) - 1)
+
+
 class Bag:
     """Distinct shingles of each text of a block, sorted by hash, with their counts."""
 
@@ -54,16 +58,56 @@ class Bag:
         self.words = tx.Words(data, off)
         s, s_off = tx.shingles(self.words.hash, self.words.off, SHINGLE)
         n = len(off) - 1
-        owner = np.repeat(np.arange(n), np.diff(s_off))
-        order = np.lexsort((s, owner))
-        s, owner = s[order], owner[order]
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
-        at = np.flatnonzero(new)
-        self.hash, self.owner = s[at], owner[at]
-        self.count = np.diff(np.append(at, len(s)))
+        keys = np.repeat(np.arange(n, dtype=np.uint64) << HASH_BITS, np.diff(s_off)) | (s >> np.uint64(20))
+        keys.sort()
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        self.key = keys[at]
+        self.hash, self.owner = self.key & _MASK, (self.key >> HASH_BITS).astype(np.int64)
+        self.count = np.diff(np.append(at, len(keys)))
         self.off = np.searchsorted(self.owner, np.arange(n + 1))
 
+    def similarities(self, weight: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarities of pairs of texts; weight: IDF of each shingle of the bag."""
+        size, total = np.diff(self.off), tx.sums(self.count * weight.astype(np.float64), self.off)
+        i, j = np.where(size[i] < size[j], j, i), np.where(size[i] < size[j], i, j)
+        n = size[j]
+        before = np.cumsum(n) - n
+        own = np.arange(int(n.sum())) - np.repeat(before, n) + np.repeat(self.off[j], n)
+        want = np.repeat(i.astype(np.uint64) << HASH_BITS, n) | self.hash[own]
+        at = np.minimum(np.searchsorted(self.key, want), max(len(self.key) - 1, 0))
+        common = np.where(self.key[at] == want, np.minimum(self.count[own], self.count[at]) * weight[own].astype(np.float64), 0.0)
+        low = tx.sums(common, np.append(before, len(own)))
+        union = total[i] + total[j] - low
+        return np.where(union > 0, low / np.where(union > 0, union, 1), 1.0)
+
+    def all_similar(self, weight: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """Whether each text of rows is similar enough to each of cols: products of incidence matrices, in slices of shingles.
+
+        The k-th occurrence of a shingle is a column of its own, so that products sum the smaller of two counts.
+        """
+        owner = np.repeat(self.owner, self.count)
+        first = np.repeat(np.cumsum(self.count) - self.count, self.count)
+        feature = np.repeat(self.hash, self.count) << np.uint64(20) | np.minimum(np.arange(len(owner)) - first, (1 << 20) - 1).astype(np.uint64)
+        value = np.repeat(weight, self.count).astype(np.float64)
+        total = np.bincount(owner, value, len(self.off) - 1)
+        _, column, times = np.unique(feature, return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        owner, value = owner[shared], value[shared]
+        _, column = np.unique(column[shared], return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        owner, value, column = owner[order], value[order], column[order]
+        low = np.zeros((len(rows), len(cols)))
+        width = 2048
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, [lo, lo + width])
+            m = np.zeros((len(self.off) - 1, width))
+            m[owner[a:b], column[a:b] - lo] = 1
+            scale = np.zeros(width)
+            scale[column[a:b] - lo] = value[a:b]
+            low += (m[rows] * scale) @ m[cols].T
+        union = total[rows][:, None] + total[cols][None, :] - low
+        return low >= SIMILARITY * union
+
 
 class Idf:
     """IDF of shingles from the counts of the common ones."""
@@ -83,7 +127,7 @@ class Idf:
 
 def samples(bag: Bag, weight: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
     """The j-th consistent weighted sample of each text with shingles: (place in the bag, level)."""
-    x = ((bag.hash * _ODD[j]) >> np.uint64(32)).astype(np.uint32)
+    x = (((bag.hash << np.uint64(20)) * _ODD[j]) >> np.uint64(32)).astype(np.uint32)
     r = _GAMMA[x & np.uint32(1023)]
     beta = (x >> np.uint32(20)).astype(np.float32) * np.float32(1 / 4096)
     level = np.floor(weight / r + beta)
@@ -113,7 +157,7 @@ def band_keys(bag: Bag, idf: Idf) -> np.ndarray:
 def _common(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles in at least SHARE (and two) of the documents, with exact document frequencies."""
     least = max(2, int(np.ceil(SHARE * n_docs)))
-    cells, shift = 1 << CELLS_LOG2, np.uint64(64 - CELLS_LOG2)
+    cells, shift = 1 << CELLS_LOG2, np.uint64(44 - CELLS_LOG2)
     per_range = cells // RANGES
 
     def sketch(batches):
@@ -185,47 +229,114 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
                 for k, odd in enumerate((np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))):
                     run[k][i] = tx.mix((raw + np.uint64(257)) * tx.mix((np.arange(len(raw), dtype=np.uint64) + np.uint64(1)) * odd)).sum(dtype=np.uint64) + np.uint64(len(raw))
             kept = [row if n else [] for row, n in zip(bands.view(np.int64), n_words, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), pa.array(run[0].view(np.int64)), pa.array(run[1].view(np.int64)), pa.array(kept, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), pa.array(run[0].view(np.int64)), pa.array(run[1].view(np.int64)), pa.array(n_words, pa.int64()), pa.array(kept, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "size", "bands"])
+
+    return per_block(docs.select("doc_id", "text"), work, "doc_id bigint, h1 bigint, h2 bigint, size bigint, bands array<bigint>")
+
 
-    return per_block(docs.select("doc_id", "text"), work, "doc_id bigint, h1 bigint, h2 bigint, bands array<bigint>")
+#: Pairs that are verified at once, about; and texts, in bytes.
+_PAIRS, _BYTES = 4096, 4 << 20
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two (sorted shingles, weights)."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    low = float(np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64))
-    total = float(a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64)) - low
-    return low / total if total else 1.0
+def _bag(texts: list[str]) -> Bag:
+    data, off = tx.buffers(pa.array(texts, pa.large_string()))
+    return Bag(data, off)
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """Those pairs (a, b) whose texts are similar enough, with their similarity."""
-    rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    """Those pairs (a, b) whose texts are similar enough."""
+    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def work(batch: pa.RecordBatch):
-        before: tuple = (None, None)
-        for lo in range(0, batch.num_rows, 64):
-            part = batch.slice(lo, 64)
-            keys, found = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)), []
-            texts_a, texts_b = part.column(2), part.column(3)
-            for i, (a, b) in enumerate(keys):
-                own = []
-                for key, column in ((a, texts_a), (b, texts_b)):
-                    if before[0] == key:
-                        own.append(before[1])
-                        continue
-                    data, off = tx.buffers(column[i : i + 1])
-                    bag = Bag(data[off[0] : off[-1]], off - off[0])
-                    own.append((bag.hash, bag.count * idf.value(bag.hash)))
-                    if key == a:
-                        before = (a, own[-1])
-                got = similarity(*own)
-                if got >= SIMILARITY:
-                    found.append((a, b, got))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found])], names=["a", "b", "similarity"])
-
-    return per_block(rows.select("a", "b", "text_a", "text_b"), work, "a bigint, b bigint, similarity double")
+        lo = 0
+        sizes = np.diff(tx.buffers(batch.column(2))[1]) + np.diff(tx.buffers(batch.column(3))[1])
+        while lo < batch.num_rows:
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo : lo + _PAIRS]), _BYTES, "right")))
+            part = batch.slice(lo, hi - lo)
+            lo = hi
+            a, b = part.column(0).to_numpy(), part.column(1).to_numpy()
+            place: dict[int, int] = {}
+            held: list[str] = []
+            for keys, column in ((a, part.column(2)), (b, part.column(3))):
+                for i, key in enumerate(keys.tolist()):
+                    if key not in place:
+                        place[key] = len(held)
+                        held.append(column[i].as_py())
+            bag = _bag(held)
+            got = bag.similarities(idf.value(bag.hash), np.array([place[x] for x in a.tolist()]), np.array([place[x] for x in b.tolist()]))
+            keep = got >= SIMILARITY
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    return per_block(rows.select("a", "b", "text_a", "text_b"), work, "a bigint, b bigint")
+
+
+#: Documents and words of a block of a bucket; two blocks are compared in one step.
+BLOCK_DOCS, BLOCK_WORDS = 2048, 1_500_000
+
+
+def _rest(rest: DataFrame, comp: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """Links (a, b) between components, of the nodes that buckets (band, key, doc, size) hold.
+
+    In a bucket with several components, nodes outside the largest are compared with all of other components.
+    A bucket is cut into blocks by a hash of the node, and a step compares the outsiders of one block with all
+    nodes of another; buckets of the same nodes are taken once.  A step gives at most one row for two components.
+    """
+    now = rest.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    sizes = now.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("w"), F.bit_xor(F.xxhash64("doc")).alias("who"))
+    mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.bit_xor("who").alias("who")).filter(F.col("kinds") > 1)
+    once = mixed.groupBy("who", "n").agg(F.min(F.struct("band", "key", F.col("top.comp").alias("main"), F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int").alias("blocks"))).alias("x")).select("x.*")
+    now = now.join(once, ["band", "key"]).withColumn("minor", F.col("comp") != F.col("main")).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    as_any = F.transform(every, lambda k: F.struct(k.alias("i"), F.col("own").alias("j"), (F.col("minor") & (k == F.col("own"))).alias("m"), F.lit(True).alias("n")))
+    as_minor = F.transform(F.filter(every, lambda k: F.col("minor") & (k != F.col("own"))), lambda k: F.struct(F.col("own").alias("i"), k.alias("j"), F.lit(True).alias("m"), F.lit(False).alias("n")))
+    steps = now.select("band", "key", "doc", "comp", F.inline(F.concat(as_any, as_minor)))
+    rows = steps.join(texts.withColumnRenamed("doc_id", "doc"), "doc").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+
+    def work(batches):
+        held: list[tuple] = []  # (step, comp, m, n, text)
+        size = 0
+
+        def flush():
+            bag = _bag([h[4] for h in held])
+            weight = idf.value(bag.hash)
+            comps = np.array([h[1] for h in held])
+            m, n = np.array([h[2] for h in held]), np.array([h[3] for h in held])
+            edges = np.flatnonzero([True, *(x[0] != y[0] for x, y in zip(held[1:], held, strict=False)), True])
+            small_i, small_j, found = [], [], set()
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                left, right = lo + np.flatnonzero(m[lo:hi]), lo + np.flatnonzero(n[lo:hi])
+                if len(left) * len(right) <= 4096:
+                    i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+                    ok = comps[i] != comps[j]
+                    small_i.append(i[ok])
+                    small_j.append(j[ok])
+                    continue
+                own = _bag([h[4] for h in held[lo:hi]])
+                like = own.all_similar(idf.value(own.hash), left - lo, right - lo) & (comps[left][:, None] != comps[right][None, :])
+                for x, row in zip(left, like, strict=True):
+                    found |= {(int(comps[x]), int(c)) for c in np.unique(comps[right[row]])}
+            if small_i:
+                i, j = np.concatenate(small_i), np.concatenate(small_j)
+                for lo in range(0, len(i), _PAIRS):
+                    part = slice(lo, lo + _PAIRS)
+                    ok = bag.similarities(weight, i[part], j[part]) >= SIMILARITY
+                    found |= set(zip(comps[i[part][ok]].tolist(), comps[j[part][ok]].tolist(), strict=True))
+            held.clear()
+            pairs = sorted({(min(p), max(p)) for p in found})
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for band, key, i, j, comp_, m, n, text in zip(*(batch.column(k) for k in range(8)), strict=True):
+                step = (band.as_py(), key.as_py(), i.as_py(), j.as_py())
+                if held and step != held[-1][0] and (size > _BYTES // 4 or len(held) > 1024):
+                    yield flush()
+                    size = 0
+                held.append((step, comp_.as_py(), m.as_py(), n.as_py(), text.as_py()))
+                size += len(held[-1][4])
+        if held:
+            yield flush()
+
+    return rows.select("band", "key", "i", "j", "comp", "m", "n", "text").mapInArrow(work, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -252,59 +363,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links): one row per row of df with a non-null id; class_id is the smallest id of its class.
+    """(doc_id, class_id): one row per row of df with a non-null id; class_id is the smallest id of its class.
 
     Two texts are linked if the weighted Jaccard similarity of their shingles is at least SIMILARITY; texts of
     the same words are linked; texts without words are linked if they are equal; a null text is linked to none.
-    A class is a component of links.  n_links: links verified between different texts that end in this row's text.
-    Rows that share an id are one document.  Other columns are not read.
+    A class is a component of links.  Rows that share an id are one document.  Other columns are not read.
     """
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
     spark = df.sparkSession
     full = docs.filter(F.col("text").isNotNull())
     n_docs = full.count()
     keys, counts = _common(full, n_docs)
     idf = spark.sparkContext.broadcast(Idf(keys, counts, n_docs))
     signed = stored(_signatures(full, idf))
-    nodes = stored(signed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("x"), F.count("*").alias("n_rows")).select("h1", "h2", F.col("x.doc_id").alias("doc"), F.col("x.bands").alias("bands"), "n_rows"))
-    rows = nodes.select("doc", F.posexplode("bands").alias("band", "key"))
+    nodes = stored(signed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "size", "bands")).alias("x")).select("h1", "h2", F.col("x.doc_id").alias("doc"), F.col("x.size").alias("size"), F.col("x.bands").alias("bands")))
+    rows = nodes.select("doc", "size", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("band", "key").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).filter(F.col("rep") < F.col("last")).drop("last")
     members = stored(rows.join(shared, ["band", "key"]))
-    needed = members.select("doc").distinct()
-    texts = stored(full.join(needed.withColumnRenamed("doc", "doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
-
-    pairs = members.filter(F.col("rep") != F.col("doc")).select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct()
-    links = stored(_linked(pairs, texts, idf))
-    found = [links]
-    rest, most = members.filter(F.col("rep") != F.col("doc")).select("band", "key", "doc").unionByName(shared.select("band", "key", F.col("rep").alias("doc"))), 16
+    texts = stored(full.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    others = members.filter(F.col("rep") != F.col("doc"))
+    links = stored(_linked(others.select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct(), texts, idf))
     comp = stored(components(links))
-    while True:
-        now = rest.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        sizes = now.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("kinds")).filter(F.col("kinds") > 1).select("band", "key", F.col("top.comp").alias("main"))
-        now = stored(now.join(mixed, ["band", "key"]))
-        if now.isEmpty():
-            break
-        minor = now.filter(F.col("comp") != F.col("main"))
-        reps = minor.withColumn("k", F.row_number().over(W.partitionBy("band", "key").orderBy("doc"))).filter(F.col("k") <= most).select("band", "key", F.col("doc").alias("rep"), F.col("comp").alias("rep_comp"))
-        reps = stored(reps)
-        pairs = now.join(reps, ["band", "key"]).filter(F.col("comp") != F.col("rep_comp")).select(F.least("doc", "rep").alias("a"), F.greatest("doc", "rep").alias("b")).distinct()
-        tested = found[0].select("a", "b")
-        new = stored(_linked(pairs.join(tested, ["a", "b"], "left_anti"), texts, idf))
-        found.append(new)
-        rest = now.select("band", "key", "doc").join(reps.select("band", "key", F.col("rep").alias("doc")), ["band", "key", "doc"], "left_anti")
-        if not new.isEmpty():
-            edges = comp.filter(F.col("doc") != F.col("comp")).select(F.col("comp").alias("a"), F.col("doc").alias("b")).unionByName(new.select("a", "b"))
-            comp = stored(components(edges))
-        most *= 4
-    all_links = found[0]
-    for more in found[1:]:
-        all_links = all_links.unionByName(more)
-    ends = all_links.select("a", "b").distinct()
-    degree = ends.select(F.col("a").alias("doc")).unionByName(ends.select(F.col("b").alias("doc"))).groupBy("doc").agg(F.count("*").alias("n_links"))
-    classes = nodes.select("h1", "h2", "doc").join(comp, "doc", "left").join(degree, "doc", "left").select("h1", "h2", F.coalesce("comp", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    out = signed.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id", "n_links")
-    lone = docs.filter(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    more = stored(_rest(others.select("band", "key", "doc", "size"), comp, texts, idf))
+    if not more.isEmpty():
+        tree = comp.filter(F.col("doc") != F.col("comp")).select(F.col("comp").alias("a"), F.col("doc").alias("b"))
+        comp = stored(components(tree.unionByName(more)))
+    dropped(members, texts, links, more)
+    classes = nodes.select("h1", "h2", "doc").join(comp, "doc", "left").select("h1", "h2", F.coalesce("comp", "doc").alias("class_id"))
+    out = signed.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id")
+    lone = docs.filter(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
     return out.unionByName(lone)
 
 
