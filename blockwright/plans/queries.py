@@ -1,7 +1,430 @@
-"""Queries by name, and the SQL for DuckDB that gives the same rows."""
+"""Queries by name, and the SQL for DuckDB that gives the same rows.
+
+Each reads whole tables and whole texts.  Byte transforms run as kernels over Arrow batches, without any exchange;
+the SQL forms of the oracles work on one row per byte instead, so the two share no code.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import bz2
+import hashlib
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from blockwright.functions import kernels
+from blockwright.functions.codecs import Codec, Huffman
+from blockwright.operators import dictionary, stats
+from blockwright.operators.blocks import pack_column, to_blocks
+from blockwright.operators.frames import roundtrip
+from blockwright.operators.search import Search, best, candidate_table, choose
+from blockwright.plans.storage import fresh_path
+from blockwright.sources.datasource import containers_of, open_containers
+from blockwright.streaming.frames import read_blocks, write_stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 FLAGSHIP = "roundtrip_documents"
+BLOCK = 4096
+
+_I64, _STR = pa.int64(), pa.string()
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.objects_of(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _digests(objects: DataFrame) -> DataFrame:
+    return objects.select("object_id", F.length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("sha256"))
+
+
+def _source_digests(table: str, key: str, column: str) -> str:
+    return f"SELECT {key} AS object_id, octet_length(encode(coalesce({column}, '')))::BIGINT AS n_bytes, sha256(coalesce({column}, '')) AS sha256 FROM {table}"
+
+
+# Round trips: what comes back has the digests of what went in.
+
+_LIGHT = (0, 1, 2, 7, 19)
+
+
+@query(_source_digests("documents", "doc_id", "text"))
+def roundtrip_documents(spark, sf_dir):
+    """Documents in blocks through five transforms and zlib, the cheapest kept, and back."""
+    return _digests(roundtrip(_documents(spark, sf_dir), Search(Codec("zlib", 6), tids=_LIGHT), BLOCK))
+
+
+@query(_source_digests("pages", "page_id", "html"))
+def roundtrip_pages(spark, sf_dir):
+    return _digests(roundtrip(stats.objects_of(_table(spark, sf_dir, "pages"), "page_id", "html"), Search(Codec("zstd", 3), version=4), BLOCK))
+
+
+@query(_source_digests("conversations", "conv_id || ':' || turn", "text"))
+def roundtrip_conversations(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
+    return _digests(roundtrip(stats.objects_of(rows, "id", "text"), Search(Codec("zstd", 3), fast=True), BLOCK))
+
+
+@query(_source_digests("documents", "doc_id", "text"))
+def roundtrip_xor_previous(spark, sf_dir):
+    """Blocks may be xored with the block before; decoding goes object by object."""
+    return _digests(roundtrip(_documents(spark, sf_dir), Search(Codec("zlib", 6), tids=(0,)), 256, xor_previous=True))
+
+
+_ALL = [t for t in kernels.REGISTRY]
+
+
+@query(f"SELECT doc_id AS object_id, tid::BIGINT AS tid, sha256(coalesce(text, '')) AS sha256 FROM documents, (SELECT unnest({_ALL}) AS tid) WHERE tid NOT IN (5, 12) OR octet_length(encode(coalesce(text, ''))) <= {kernels.BWT_LIMIT}")
+def roundtrip_every_transform(spark, sf_dir):
+    def f(data: bytes) -> list[tuple]:
+        memo, out = kernels.Memo(data), []
+        for t in kernels.REGISTRY.values():
+            if (got := t.encode(data, memo)) is not None:
+                out.append((t.tid, hashlib.sha256(t.decode(*got)).hexdigest()))
+        return out
+
+    return stats.map_objects(_documents(spark, sf_dir), f, [("tid", "bigint", _I64), ("sha256", "string", _STR)])
+
+
+@query("SELECT backend, object_id, n_bytes, sha256 FROM (" + _source_digests("documents", "doc_id", "text") + "), (SELECT unnest(['zlib', 'lzma', 'zstd', 'huffman']) AS backend)")
+def roundtrip_every_backend(spark, sf_dir):
+    out = None
+    for backend, level in (("zlib", 6), ("lzma", 0), ("zstd", 3), ("huffman", 0)):
+        one = _digests(roundtrip(_documents(spark, sf_dir), Search(Codec(backend, level), tids=(0, 1)), 65536)).select(F.lit(backend).alias("backend"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _container(version: int, backend: str):
+    def f(spark, sf_dir):
+        made = containers_of(_documents(spark, sf_dir), Search(Codec(backend, 3), tids=_LIGHT, version=version), BLOCK, version)
+        return _digests(open_containers(made))
+
+    return f
+
+
+for _version, _backend in ((2, "zlib"), (3, "zstd"), (4, "lzma")):
+    _f = _container(_version, _backend)
+    _f.__name__ = f"roundtrip_container_v{_version}"
+    query(_source_digests("documents", "doc_id", "text"))(_f)
+
+
+@query(_source_digests("documents", "doc_id", "text"))
+def stream_roundtrip(spark, sf_dir):
+    """Documents as a file stream, encoded micro-batch by micro-batch into frames, then decoded."""
+    source = _table(spark, sf_dir, "documents")
+    # a directory, or the one file of that name in its directory
+    single = len(source.inputFiles()) == 1
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4)
+    rows = (stream.option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if single else stream.parquet(f"{sf_dir}/documents.parquet"))
+    search = Search(Codec("zstd", 3), tids=_LIGHT)
+    path = fresh_path(spark, "frames")
+    write_stream(stats.objects_of(rows, "doc_id", "text"), path, fresh_path(spark, "state"), search, BLOCK).awaitTermination()
+    from blockwright.operators.blocks import reassemble
+
+    return _digests(reassemble(read_blocks(spark, path, search)))
+
+
+# Blocks and transforms, byte by byte.
+
+_BYTES = """d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents),
+b AS (SELECT doc_id, len(h) AS n, unnest(generate_series(0, len(h) - 1)) AS pos, ('0x' || unnest(h))::INT AS v FROM d)"""
+
+
+@query(f"""SELECT doc_id AS object_id, i AS block_no, least({BLOCK}, n - i * {BLOCK})::BIGINT AS orig_len
+FROM (SELECT doc_id, n, unnest(generate_series(0, greatest((n + {BLOCK - 1}) // {BLOCK} - 1, 0))) AS i FROM (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents))""")
+def block_layout(spark, sf_dir):
+    return to_blocks(_documents(spark, sf_dir), BLOCK).select("object_id", F.col("block_no").cast("long").alias("block_no"), F.col("orig_len").cast("long").alias("orig_len"))
+
+
+def _digest_sql(y: str, order: str = "pos", ctes: str = "") -> str:
+    """Digest of the bytes y, in order, of table y, made from b with v, its two predecessors p and q, pos and n."""
+    return f"""WITH {_BYTES},
+w AS (SELECT doc_id, n, pos, v, lag(v, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS p, lag(v, 2, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS q FROM b){ctes},
+y AS (SELECT doc_id, {order} AS o, pos, {y} AS y FROM w)
+SELECT d.doc_id AS object_id, count(y.y) AS n_out, sha256(coalesce(string_agg(printf('%02X', y.y), '' ORDER BY y.o, y.pos), '')) AS sha256
+FROM d LEFT JOIN y USING (doc_id) GROUP BY d.doc_id"""
+
+
+def _transform(tid: int):
+    def f(spark, sf_dir):
+        def digest(data: bytes) -> list[tuple]:
+            got = kernels.encode(tid, data)
+            return [(len(got[0]), hashlib.sha256(got[0].hex().upper().encode()).hexdigest())] if got else []
+
+        return stats.map_objects(_documents(spark, sf_dir), digest, [("n_out", "bigint", _I64), ("sha256", "string", _STR)])
+
+    f.__name__ = f"transform_{kernels.REGISTRY[tid].name.lower()}"
+    f.__doc__ = f"Length and digest of each document's bytes after transform {tid}."
+    return f
+
+
+_D1, _D2 = "((v - p + 256) % 256)", "((v - 2 * p + q + 512) % 256)"
+_ZZ = "CASE WHEN {0} < 128 THEN 2 * {0} ELSE 511 - 2 * {0} END"
+_EVERY = {
+    1: _digest_sql(_D1),
+    2: _digest_sql("xor(v, p)"),
+    3: _digest_sql(f"CASE WHEN pos < 2 THEN {_D1} ELSE {_D2} END"),
+    4: None,
+    5: None,
+    6: _digest_sql("v", "CASE WHEN n < 4 THEN 0 ELSE pos % 2 END"),
+    7: _digest_sql("v", "CASE WHEN n < 8 THEN 0 ELSE pos % 4 END"),
+    8: _digest_sql("v", "CASE WHEN n < 16 THEN 0 ELSE pos % 8 END"),
+    9: _digest_sql(f"CASE WHEN pos < 1 THEN v ELSE {_ZZ.format(_D1)} END"),
+    10: _digest_sql(f"CASE WHEN pos < 2 THEN {_D1} ELSE {_ZZ.format(_D2)} END"),
+    11: _digest_sql(f"CASE WHEN pos < 2 THEN v ELSE {_D2} END"),
+    12: None,
+    13: _digest_sql("v", "CASE WHEN n < 8 OR n % 4 > 0 THEN 0 ELSE pos % 4 END"),
+    14: f"""WITH {_BYTES},
+y AS (SELECT a.doc_id, a.pos, sum(((o.v >> (a.pos % 8)::INT) & 1) << (o.pos % 8)::INT)::INT AS y
+  FROM b a JOIN b o ON a.doc_id = o.doc_id AND a.pos // 8 = o.pos // 8 WHERE a.pos < a.n // 8 * 8 GROUP BY a.doc_id, a.pos
+  UNION ALL SELECT doc_id, pos, v FROM b WHERE pos >= n // 8 * 8)
+SELECT d.doc_id AS object_id, count(y.y) AS n_out, sha256(coalesce(string_agg(printf('%02X', y.y), '' ORDER BY y.pos), '')) AS sha256 FROM d LEFT JOIN y USING (doc_id) GROUP BY d.doc_id""",
+    15: f"""WITH {_BYTES},
+s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN n < 8 THEN 0 ELSE pos % 4 END, pos) AS pos, v FROM b),
+y AS (SELECT doc_id, pos, (v - lag(v, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) + 256) % 256 AS y FROM s)
+SELECT d.doc_id AS object_id, count(y.y) AS n_out, sha256(coalesce(string_agg(printf('%02X', y.y), '' ORDER BY y.pos), '')) AS sha256 FROM d LEFT JOIN y USING (doc_id) GROUP BY d.doc_id""",
+    16: None,
+    18: None,
+    19: f"""WITH {_BYTES},
+w AS (SELECT doc_id, pos, v, CASE WHEN v = lag(v) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS new FROM b),
+r AS (SELECT doc_id, v, run, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM w) GROUP BY doc_id, v, run),
+t AS (SELECT doc_id, run, v, n, unnest(generate_series(0, (n - 1) // 65535)) AS k FROM r)
+SELECT d.doc_id AS object_id, 3 * count(t.v) AS n_out, sha256(coalesce(string_agg(printf('%02X%04X', t.v, least(65535, t.n - t.k * 65535)::INT), '' ORDER BY t.run, t.k), '')) AS sha256 FROM d LEFT JOIN t USING (doc_id) GROUP BY d.doc_id""",
+}
+for _tid, _sql in _EVERY.items():
+    query(_sql)(_transform(_tid))
+
+
+@query(_digest_sql("CASE WHEN pos < 4096 THEN v ELSE xor(v, before) END", ctes="").replace("FROM b)", ", lag(v, 4096, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM b)"))
+def transform_xor_previous(spark, sf_dir):
+    """Digest of each document's blocks of 4096 bytes, each xored with the one before."""
+
+    def digest(data: bytes) -> list[tuple]:
+        parts = [data[i : i + 4096] for i in range(0, len(data), 4096)]
+        out = b"".join(kernels.xor_previous(x, parts[i - 1] if i else None) for i, x in enumerate(parts))
+        return [(len(out), hashlib.sha256(out.hex().upper().encode()).hexdigest())]
+
+    return stats.map_objects(_documents(spark, sf_dir), digest, [("n_out", "bigint", _I64), ("sha256", "string", _STR)])
+
+
+# Transforms of typed columns, with window functions inside blocks of rows: no block needs another's rows.
+
+
+@query("""WITH t AS (SELECT event_id // 4096 AS block, event_id, epoch_us(ts) AS t FROM events),
+a AS (SELECT block, event_id, t, t - lag(t) OVER (PARTITION BY block ORDER BY event_id) AS d FROM t),
+b AS (SELECT block, d - lag(d) OVER (PARTITION BY block ORDER BY event_id) AS dd FROM a)
+SELECT block, count(*) AS n_rows, count(dd) AS n_values, sum(CASE WHEN dd >= 0 THEN 2 * dd ELSE -2 * dd - 1 END)::BIGINT AS zigzag_sum, bit_xor(CASE WHEN dd >= 0 THEN 2 * dd ELSE -2 * dd - 1 END)::BIGINT AS zigzag_xor FROM b GROUP BY block""")
+def column_delta2_zigzag(spark, sf_dir):
+    """Second differences of event times, zigzag, per block of 4096 events."""
+    w = W.partitionBy("block").orderBy("event_id")
+    t = _table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 4096).alias("block"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    d = t.withColumn("d", F.col("t") - F.lag("t").over(w)).withColumn("dd", F.col("d") - F.lag("d").over(w))
+    z = F.when(F.col("dd") >= 0, 2 * F.col("dd")).otherwise(-2 * F.col("dd") - 1)
+    return d.groupBy("block").agg(F.count("*").alias("n_rows"), F.count("dd").alias("n_values"), F.sum(z).alias("zigzag_sum"), F.bit_xor(z).alias("zigzag_xor"))
+
+
+@query("""WITH t AS (SELECT l_orderkey // 1024 AS block, l_orderkey AS x, xor(l_orderkey, lag(l_orderkey, 1, 0) OVER (PARTITION BY l_orderkey // 1024 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS y FROM lineitem)
+SELECT block, plane::BIGINT AS plane, count(*) AS n_rows, sum((x >> (8 * plane)::INT) & 255)::BIGINT AS sum_raw, sum((y >> (8 * plane)::INT) & 255)::BIGINT AS sum_xor, count(CASE WHEN (y >> (8 * plane)::INT) & 255 = 0 THEN 1 END) AS n_zero
+FROM t, (SELECT unnest([0, 1, 2, 3]) AS plane) GROUP BY block, plane""")
+def column_byte_planes(spark, sf_dir):
+    """Byte planes of order keys, as they are and xored with the key before, per block."""
+    w = W.partitionBy("block").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    t = _table(spark, sf_dir, "lineitem").withColumn("block", F.floor(F.col("l_orderkey") / 1024))
+    t = t.withColumn("y", F.col("l_orderkey").bitwiseXOR(F.lag("l_orderkey", 1, 0).over(w)))
+    planes = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("plane"), F.shiftright("l_orderkey", 8 * k).bitwiseAND(F.lit(255)).alias("x"), F.shiftright("y", 8 * k).bitwiseAND(F.lit(255)).alias("y")) for k in range(4)]))
+    return t.select("block", planes.alias("p")).groupBy("block", "p.plane").agg(F.count("*").alias("n_rows"), F.sum("p.x").alias("sum_raw"), F.sum("p.y").alias("sum_xor"), F.count(F.when(F.col("p.y") == 0, 1)).alias("n_zero"))
+
+
+# Statistics.
+
+
+@query(f"WITH {_BYTES} SELECT doc_id AS object_id, v::BIGINT AS v, count(*) AS n FROM b GROUP BY doc_id, v")
+def byte_histogram(spark, sf_dir):
+    return stats.byte_counts(_documents(spark, sf_dir))
+
+
+@query(f"""WITH {_BYTES},
+h AS (SELECT doc_id, abs(-sum(n * 1.0::DOUBLE / t * log2(n * 1.0::DOUBLE / t))) AS h FROM (SELECT doc_id, v, count(*) AS n, any_value(n) AS t FROM b GROUP BY doc_id, v) GROUP BY doc_id)
+SELECT d.doc_id AS object_id, len(d.h)::BIGINT AS n_bytes, round(coalesce(h.h, 0) * 1e6)::BIGINT AS micro_bits, round(coalesce(h.h, 0) * len(d.h) / 8)::BIGINT AS shannon_bytes FROM d LEFT JOIN h USING (doc_id)""")
+def byte_entropy(spark, sf_dir):
+    return stats.object_entropy(_documents(spark, sf_dir))
+
+
+@query(f"""WITH {_BYTES},
+w AS (SELECT doc_id, pos, CASE WHEN v = lag(v) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS new FROM b),
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM w) GROUP BY doc_id, run)
+SELECT d.doc_id AS object_id, count(r.n) AS n_runs, coalesce(max(r.n), 0)::BIGINT AS longest, coalesce(sum(3 * ((r.n + 65534) // 65535)), 0)::BIGINT AS rle_bytes FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""")
+def rle_runs(spark, sf_dir):
+    return stats.run_sizes(_documents(spark, sf_dir))
+
+
+@query(f"""WITH {_BYTES},
+x AS (SELECT doc_id, pos, n, printf('%02X', v) AS x FROM b),
+g AS (SELECT doc_id, pos, n, x || lead(x, 1) OVER w || lead(x, 2) OVER w || lead(x, 3) OVER w || lead(x, 4) OVER w || lead(x, 5) OVER w AS gram FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT gram, count(*) AS n, min(doc_id) AS first_object, (min(doc_id * 4294967296::HUGEINT + pos) % 4294967296)::BIGINT AS first_pos FROM g WHERE pos + 6 <= n GROUP BY gram HAVING count(*) >= 3 ORDER BY n DESC, first_object, first_pos, gram LIMIT 4096""")
+def ngram_top(spark, sf_dir):
+    """The 4096 commonest 6-byte grams of all documents."""
+    return stats.ngrams(_documents(spark, sf_dir))
+
+
+@query(f"WITH {_BYTES}, w AS (SELECT v, lag(v) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM b) SELECT p::BIGINT AS before, v::BIGINT AS v, count(*) AS n FROM w WHERE p IS NOT NULL GROUP BY p, v")
+def order1_contexts(spark, sf_dir):
+    return stats.contexts(_documents(spark, sf_dir))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+t AS (SELECT doc_id, list_filter(regexp_split_to_array(line, '[ \t\r]+'), lambda x: x <> '') AS k FROM l),
+u AS (SELECT doc_id, unnest(generate_series(0, len(k) - 1)) AS column_no, unnest(k) AS token FROM t)
+SELECT doc_id AS object_id, column_no, count(*) AS n_tokens, sum(length(token))::BIGINT AS n_chars FROM u GROUP BY doc_id, column_no""")
+def token_columns(spark, sf_dir):
+    return stats.record_columns(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def chunk_layout(spark, sf_dir):
+    """Content-defined chunks of each document."""
+    return stats.chunks(_documents(spark, sf_dir))
+
+
+@query()
+def chunk_duplicates(spark, sf_dir):
+    return stats.duplicate_chunks(stats.chunks(_documents(spark, sf_dir)))
+
+
+@query()
+def chunk_substitution(spark, sf_dir):
+    """Bytes that a dictionary of the commonest chunks would save, by document."""
+    found = stats.chunks(_documents(spark, sf_dir))
+    entries = stats.duplicate_chunks(found).select("sha256", F.row_number().over(W.orderBy(F.desc("n"), "sha256")).alias("entry"))  # at most 4096 rows
+    return stats.substitute_chunks(found, F.broadcast(entries)).groupBy("object_id").agg(F.count("*").alias("n_chunks"), F.count("entry").alias("n_known"), F.coalesce(F.sum(F.when(F.col("entry").isNotNull(), F.col("size"))), F.lit(0)).cast("long").alias("known_bytes"))
+
+
+# The search.
+
+_PRICED = (0, 1, 2, 11)
+
+
+def order_entropy_cost(data: bytes) -> int:
+    n = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    p = n[n > 0] / max(len(data), 1)
+    return math.ceil(round(float(-(p * np.log2(p)).sum()) * len(data) / 8, 6)) + 1
+
+
+def _packed_orders(spark, sf_dir) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    return pack_column(orders, F.col("o_orderkey"), ["o_orderkey"], F.concat(F.lit("o"), F.floor(F.col("o_orderkey") / 1024)), 4)
+
+
+def _priced_objects(spark, sf_dir) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("object_id", F.concat(F.lit("d"), "object_id"))
+    return docs.unionByName(_packed_orders(spark, sf_dir))
+
+
+@query(f"""WITH {_BYTES},
+o AS (SELECT 'o' || (o_orderkey // 1024) AS id, row_number() OVER (PARTITION BY o_orderkey // 1024 ORDER BY o_orderkey) - 1 AS i, o_orderkey AS x FROM orders),
+a AS (SELECT 'd' || doc_id AS id, pos, v FROM b UNION ALL SELECT id, 4 * i + k AS pos, ((x >> (8 * k)::INT) & 255)::INT AS v FROM o, (SELECT unnest([0, 1, 2, 3]) AS k)),
+c AS (SELECT id, pos // {BLOCK} AS block, pos % {BLOCK} AS pos, v FROM a),
+w AS (SELECT *, lag(v, 1, 0) OVER (PARTITION BY id, block ORDER BY pos) AS p, lag(v, 2, 0) OVER (PARTITION BY id, block ORDER BY pos) AS q FROM c),
+y AS (SELECT id, block, 0 AS tid, v AS y FROM w UNION ALL SELECT id, block, 1, {_D1} FROM w UNION ALL SELECT id, block, 2, xor(v, p) FROM w UNION ALL SELECT id, block, 11, CASE WHEN pos < 2 THEN v ELSE {_D2} END FROM w),
+h AS (SELECT id, block, tid, y, count(*) AS n FROM y GROUP BY ALL),
+e AS (SELECT id, block, tid, ceil(round(-sum(n * log2(n * 1.0::DOUBLE / t)) / 8, 6))::BIGINT + 1 AS cost FROM (SELECT *, sum(n) OVER (PARTITION BY id, block, tid) AS t FROM h) GROUP BY id, block, tid)
+SELECT id AS object_id, block AS block_no, arg_min(tid, (cost, tid))::BIGINT AS tid, min(cost) AS cost FROM e GROUP BY id, block""")
+def mdl_choice_entropy(spark, sf_dir):
+    """The cheapest of four transforms by order-0 entropy, for blocks of documents and of packed order keys."""
+
+    def f(data: bytes) -> list[tuple]:
+        out = []
+        for no, at in enumerate(range(0, len(data), BLOCK)):
+            block = data[at : at + BLOCK]
+            cost, tid = min((order_entropy_cost(kernels.encode(t, block)[0]), t) for t in _PRICED)
+            out.append((no, tid, cost))
+        return out
+
+    return stats.map_objects(_priced_objects(spark, sf_dir), f, [(n, "bigint", _I64) for n in ("block_no", "tid", "cost")])
+
+
+def _choice(codec: Codec, version: int):
+    def f(spark, sf_dir):
+        table = candidate_table(to_blocks(_priced_objects(spark, sf_dir), 65536), Search(codec, version=version))
+        won = choose(table)
+        return won.groupBy("tid", "name").agg(F.count("*").alias("n_blocks"), F.sum(F.col("cost").cast("long")).alias("cost"))
+
+    f.__name__ = f"mdl_choice_{codec.backend}"
+    f.__doc__ = f"How often each transform is the cheapest before {codec.backend}."
+    return f
+
+
+for _codec, _version in ((Codec("zlib", 6), 3), (Codec("zstd", 3), 4), (Codec("lzma", 0), 3), (Codec("huffman", 0), 3)):
+    query()(_choice(_codec, _version))
+
+
+@query()
+def screen_misses(spark, sf_dir):
+    """Blocks for which the fast screen's winner costs more than the whole search's, with the bytes lost."""
+
+    def f(data: bytes) -> list[tuple]:
+        out = []
+        for no, at in enumerate(range(0, max(len(data), 1), 65536)):
+            block = data[at : at + 65536]
+            a, b = best(block, Search(Codec("zstd", 3))), best(block, Search(Codec("zstd", 3), fast=True))
+            if b.cost > a.cost:
+                out.append((no, a.name, b.name, b.cost - a.cost))
+        return out
+
+    return stats.map_objects(_priced_objects(spark, sf_dir), f, [("block_no", "bigint", _I64), ("best", "string", _STR), ("screened", "string", _STR), ("lost_bytes", "bigint", _I64)])
+
+
+@query()
+def codec_report(spark, sf_dir):
+    """Bytes of all documents, each compressed on its own, by codec."""
+    codecs = {"zlib-9": Codec("zlib", 9).compress, "xz-9": Codec("lzma", 9).compress, "zstd-19": Codec("zstd", 19).compress, "bzip2-9": lambda d: bz2.compress(d, 9), "huffman": lambda d: b"\0" * 512 + Codec("huffman").compress(d)}
+
+    def f(data: bytes) -> list[tuple]:
+        return [(name, len(data), len(c(data))) for name, c in codecs.items()]
+
+    rows = stats.map_objects(_documents(spark, sf_dir), f, [("codec", "string", _STR), ("raw", "bigint", _I64), ("packed", "bigint", _I64)])
+    return rows.groupBy("codec").agg(F.sum("raw").alias("raw_bytes"), F.sum("packed").alias("packed_bytes"))
+
+
+@query()
+def huffman_sizes(spark, sf_dir):
+    """Bytes of each document's order-0 Huffman code with its table, estimated from counts."""
+
+    def f(data: bytes) -> list[tuple]:
+        n = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+        return [(len(data), Huffman.of(data).size(n))]
+
+    return stats.map_objects(_documents(spark, sf_dir), f, [("n_bytes", "bigint", _I64), ("huffman_bytes", "bigint", _I64)])
+
+
+@query()
+def dictionary_gate(spark, sf_dir):
+    """Whether a zstd dictionary trained on a sample of blocks pays."""
+    pieces = dictionary.sample(to_blocks(_documents(spark, sf_dir), dictionary.PIECE))
+    trained = dictionary.train(pieces)
+    without, with_it, pays = dictionary.gate(pieces, trained, 19)
+    return spark.createDataFrame([(len(trained), without, with_it, pays)], "dictionary_bytes long, without long, with_dictionary long, pays boolean")
+
+
+@query()
+def transform_registry(spark, sf_dir):
+    return spark.createDataFrame([(r["tid"], r["name"], r["expansion"], r["rank"], r["searched"]) for r in kernels.listing()], "tid int, name string, expansion int, rank int, searched boolean")
