@@ -44,7 +44,8 @@ class Settings:
 class Model:
     languages: list[str]
     child: np.ndarray  # (contexts, 256): context with one older byte, or -1
-    cost: np.ndarray  # (contexts, 256, languages): bits
+    cost: np.ndarray  # (contexts, columns, languages): bits
+    column: np.ndarray  # of each byte; bytes that were never seen share one
     #: Bits a byte that each language's own training bytes took: what is usual.
     usual: np.ndarray
 
@@ -86,7 +87,7 @@ class Model:
 
     def _bits(self, data: np.ndarray, node: np.ndarray) -> np.ndarray:
         flat = self.cost.reshape(-1, len(self.languages))
-        return flat[node.astype(np.int64) * 256 + data]
+        return flat[node.astype(np.int64) * self.cost.shape[1] + self.column[data]]
 
     def predict(self, data: np.ndarray, off: np.ndarray, letters: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
         """Language, its posterior share under equal priors, and bits a byte over what is usual for it."""
@@ -193,19 +194,17 @@ def build(languages: list[str], which: np.ndarray, keys: np.ndarray, n: np.ndarr
         cost[rows] = np.where(counts > 0, seen, escape + after)
     own = np.zeros(langs)
     size = np.zeros(langs)
-    here = node.copy()
-    for d in range(ORDER, -1, -1):  # the longest context of each key that is in the tree
-        lost = here < 0
-        if lost.any():
-            walk = np.zeros(int(lost.sum()), np.int64)
-            for e in range(1, d):
-                older = ((keys[lost] >> np.uint64(8 * e)) & np.uint64(255)).astype(int)
-                to = np.where(known[lost] >= e, child[np.maximum(walk, 0), older], -1)
-                walk = np.where(to >= 0, to, walk)
-            here[lost] = walk
+    here, going = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)  # the longest context of each key that is in the tree
+    for e in range(1, ORDER + 1):
+        to = np.where(going & (known >= e), child[here, ((keys >> np.uint64(8 * e)) & np.uint64(255)).astype(int)], -1)
+        going = to >= 0
+        here = np.where(going, to, here)
     np.add.at(own, which, cost[here, byte, which] * n)
     np.add.at(size, which, n)
-    return Model(languages, child, cost, own / np.maximum(size, 1))
+    seen = np.bincount(byte, minlength=256) > 0
+    column = np.where(seen, np.cumsum(seen) - 1, seen.sum())
+    shown = np.append(np.flatnonzero(seen), np.flatnonzero(~seen)[:1])
+    return Model(languages, child, np.ascontiguousarray(cost[:, shown]), column, own / np.maximum(size, 1))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:
@@ -219,13 +218,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < rate * (1 << 30)) if languages else rows.limit(0)
     got = count(chosen, "lang", "text", settings).toPandas() if languages else None
     if got is None or not len(got):
-        return Model(languages, np.full((1, 256), -1, np.int32), np.full((1, 256, len(languages)), 8, np.float32), np.full(len(languages), 8.0))
+        return Model(languages, np.full((1, 256), -1, np.int32), np.full((1, 1, len(languages)), 8, np.float32), np.zeros(256, np.int64), np.full(len(languages), 8.0))
     number = {lang: i for i, lang in enumerate(languages)}
     return build(languages, got["lang"].map(number).to_numpy(), got["key"].to_numpy(), got["n"].to_numpy(), settings)
 
 
 def broadcast(spark, model: Model):
-    return spark.sparkContext.broadcast((model.languages, model.child, model.cost, model.usual))
+    return spark.sparkContext.broadcast((model.languages, model.child, model.cost, model.column, model.usual))
 
 
 def score_block(model: Model, column: pa.Array):
@@ -249,16 +248,17 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return per_block(df.select(id_col, text_col), work, "doc_id bigint, lang_pred string, score double")
 
 
-def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.5, most_excess: float = 4.0) -> DataFrame:
-    """The rows (all columns) whose language is told: not ``und``, score at least ``least_score``, and a code
-    at most ``most_excess`` bits a byte longer than the language's own text took."""
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text", most_excess: float = 4.0, spare: float = 256.0) -> DataFrame:
+    """The rows (all columns) whose language is told: not ``und``, and a code at most ``most_excess`` bits a byte,
+    and ``spare`` bits a text, longer than the language's own text took.  So a short text needs only a letter."""
     shared = broadcast(df.sparkSession, model)
     at = df.columns.index(text_col)
 
     def work(batch: pa.RecordBatch):
         model = Model(*shared.value)
-        for lo, hi, langs, score, excess in score_block(model, batch.column(at)):
-            keep = (np.array(langs, object) != "und") & (score >= least_score) & (excess <= most_excess)
+        for lo, hi, langs, _, excess in score_block(model, batch.column(at)):
+            size = np.diff(tx.buffers(batch.column(at)[lo:hi])[1])
+            keep = (np.array(langs, object) != "und") & ((excess - most_excess) * size <= spare)
             yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
     return per_block(df, work, df.schema)
