@@ -154,8 +154,11 @@ def build(languages: list[str], which: np.ndarray, keys: np.ndarray, n: np.ndarr
     """The frozen tables from counts: which language, key and times, one row each."""
     keys, langs = keys.astype(np.uint64), len(languages)
     known, byte = (keys >> np.uint64(40)).astype(int), (keys & np.uint64(255)).astype(int)
+    seen = np.bincount(byte, minlength=256) > 0
+    column = np.where(seen, np.cumsum(seen) - 1, seen.sum())
+    byte, wide = column[byte], int(seen.sum()) + 1
     child = [np.full((1, 256), -1, np.int32)]
-    tables = []  # per depth: (contexts of this depth, 256, languages) counts
+    tables = []  # per depth: (contexts of this depth, columns, languages) counts
     node = np.zeros(len(keys), np.int64)  # of each counted key, at this depth; -1: not in the tree
     made = 1
     first = [0]
@@ -176,22 +179,24 @@ def build(languages: list[str], which: np.ndarray, keys: np.ndarray, n: np.ndarr
             first.append(made)
             made += int(keep.sum())
         at = np.flatnonzero(node >= first[d])
-        counts = np.zeros((made - first[d], 256, langs), np.int32)
+        counts = np.zeros((made - first[d], wide, langs), np.int32)
         np.add.at(counts, (node[at] - first[d], byte[at], which[at]), n[at])
         tables.append(counts)
     child = np.concatenate(child)
     parent = np.zeros(made, np.int64)
     above, older = np.nonzero(child >= 0)
     parent[child[above, older]] = above
-    cost = np.zeros((made, 256, langs), np.float32)
-    for d, counts in enumerate(tables):
-        rows = np.arange(first[d], first[d] + len(counts))
-        after = cost[parent[rows]] if d else np.full((1, 256, langs), 8, np.float32)
-        total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = -np.log2(counts / (total + kinds))
-            escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0)
-        cost[rows] = np.where(counts > 0, seen, escape + after)
+    cost = np.zeros((made, wide, langs), np.float32)
+    for d, table_ in enumerate(tables):
+        for lo in range(0, len(table_), 1024):
+            counts = table_[lo : lo + 1024]
+            rows = np.arange(first[d] + lo, first[d] + lo + len(counts))
+            after = cost[parent[rows]] if d else np.full((1, wide, langs), 8, np.float32)
+            total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                known_cost = -np.log2(counts / (total + kinds))
+                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0)
+            cost[rows] = np.where(counts > 0, known_cost, escape + after)
     own = np.zeros(langs)
     size = np.zeros(langs)
     here, going = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)  # the longest context of each key that is in the tree
@@ -201,10 +206,7 @@ def build(languages: list[str], which: np.ndarray, keys: np.ndarray, n: np.ndarr
         here = np.where(going, to, here)
     np.add.at(own, which, cost[here, byte, which] * n)
     np.add.at(size, which, n)
-    seen = np.bincount(byte, minlength=256) > 0
-    column = np.where(seen, np.cumsum(seen) - 1, seen.sum())
-    shown = np.append(np.flatnonzero(seen), np.flatnonzero(~seen)[:1])
-    return Model(languages, child, np.ascontiguousarray(cost[:, shown]), column, own / np.maximum(size, 1))
+    return Model(languages, child, cost, column, own / np.maximum(size, 1))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:

@@ -97,7 +97,7 @@ class Bag:
         order = np.argsort(column, kind="stable")
         owner, value, column = owner[order], value[order], column[order]
         low = np.zeros((len(rows), len(cols)))
-        width = 2048
+        width = 512
         for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             a, b = np.searchsorted(column, [lo, lo + width])
             m = np.zeros((len(self.off) - 1, width))
