@@ -111,14 +111,18 @@ def _huffman_parts(codec: Codec, x: bytes) -> tuple[int | None, list | None]:
 def encode_blocks(blocks: DataFrame, search: Search = Search(), xor_previous: bool = False) -> DataFrame:
     """Frames: each block's winner, and only its payload leaves the worker.
 
-    xor_previous: also tries the block xored with the one before (found with lag), plain, as transform 99.
+    Blocks are dealt out by object and number first, so that a large object or file doesn't stay in one task:
+    a search reads a few MB a second and core, an exchange costs next to nothing beside it.
+    xor_previous: also tries the block xored with the one before (found by a join on its number, so that no
+    task needs a whole object), plain, as transform 99.
     """
     id_type = blocks.schema["object_id"].dataType.simpleString()
     rows = blocks.select("object_id", "block_no", "data")
     if xor_previous:
-        from pyspark.sql import Window as W
-
-        rows = rows.withColumn("previous", F.lag("data").over(W.partitionBy("object_id").orderBy("block_no")))
+        before = rows.select("object_id", (F.col("block_no") + 1).alias("block_no"), F.col("data").alias("previous"))
+        rows = rows.join(before, ["object_id", "block_no"], "left")
+    else:
+        rows = rows.repartition("object_id", "block_no")
     schema = _FRAME.format(id=id_type)
     names = [x.strip().split()[0] for x in schema.split(", ")]
 
@@ -158,7 +162,7 @@ def candidate_table(blocks: DataFrame, search: Search = Search()) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["object_id", "block_no", "tid", "name", "extra", "transformed_len", "payload_len", "cost"])
 
-    return blocks.select("object_id", "block_no", "data").mapInArrow(work, f"object_id {id_type}, block_no int, tid int, name string, extra binary, transformed_len int, payload_len int, cost int")
+    return blocks.select("object_id", "block_no", "data").repartition("object_id", "block_no").mapInArrow(work, f"object_id {id_type}, block_no int, tid int, name string, extra binary, transformed_len int, payload_len int, cost int")
 
 
 def choose(table: DataFrame, rank: str = "tid") -> DataFrame:
