@@ -4,7 +4,7 @@
    in at least SHARE of the documents, and these are counted exactly.  There are at most
    (mean distinct shingles of a document) / SHARE of them, so that table may be broadcast.
 2. Texts with the same words are one node; the smallest id stands for it.
-3. Each node's weights (occurrences times IDF) give K consistent weighted samples; bands of R samples
+3. Each node's weights (1 + ln of occurrences, times IDF) give K consistent weighted samples; bands of R samples
    are bucket keys.  P(no common band) at similarity 0.8 is 0.00004.
 4. In each bucket, the smallest node is compared with all others, and components of the links found are
    computed.  Where the others still are of several components, those outside the largest are compared
@@ -24,6 +24,8 @@ from blockwright.llm.spark import dropped, per_block, stored, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Sums in another order must not decide on equality with the threshold.
+TIE = 1e-9
 BANDS, R = 14, 3
 #: Shingles in a smaller share of the documents all get the largest IDF.
 SHARE = 0.001
@@ -51,6 +53,11 @@ HASH_BITS = np.uint64(44)
 _MASK = np.uint64((1 << 44) - 1)
 
 
+def damped(count: np.ndarray) -> np.ndarray:
+    """Term frequency of a shingle: 1 + ln(occurrences), so that a line that comes fifty times doesn't drown the rest."""
+    return 1 + np.log(count)
+
+
 class Bag:
     """Distinct shingles of each text of a block, sorted by hash, with their counts."""
 
@@ -68,14 +75,14 @@ class Bag:
 
     def similarities(self, weight: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Weighted Jaccard similarities of pairs of texts; weight: IDF of each shingle of the bag."""
-        size, total = np.diff(self.off), tx.sums(self.count * weight.astype(np.float64), self.off)
+        size, total = np.diff(self.off), tx.sums(damped(self.count) * weight, self.off)
         i, j = np.where(size[i] < size[j], j, i), np.where(size[i] < size[j], i, j)
         n = size[j]
         before = np.cumsum(n) - n
         own = np.arange(int(n.sum())) - np.repeat(before, n) + np.repeat(self.off[j], n)
         want = np.repeat(i.astype(np.uint64) << HASH_BITS, n) | self.hash[own]
         at = np.minimum(np.searchsorted(self.key, want), max(len(self.key) - 1, 0))
-        common = np.where(self.key[at] == want, np.minimum(self.count[own], self.count[at]) * weight[own].astype(np.float64), 0.0)
+        common = np.where(self.key[at] == want, damped(np.minimum(self.count[own], self.count[at])) * weight[own], 0.0)
         low = tx.sums(common, np.append(before, len(own)))
         union = total[i] + total[j] - low
         return np.where(union > 0, low / np.where(union > 0, union, 1), 1.0)
@@ -83,12 +90,14 @@ class Bag:
     def all_similar(self, weight: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         """Whether each text of rows is similar enough to each of cols: products of incidence matrices, in slices of shingles.
 
-        The k-th occurrence of a shingle is a column of its own, so that products sum the smaller of two counts.
+        The k-th occurrence of a shingle is a column of its own, with what it adds to the damped count, so that
+        products sum the smaller of two weights.
         """
         owner = np.repeat(self.owner, self.count)
         first = np.repeat(np.cumsum(self.count) - self.count, self.count)
-        feature = np.repeat(self.hash, self.count) << np.uint64(20) | np.minimum(np.arange(len(owner)) - first, (1 << 20) - 1).astype(np.uint64)
-        value = np.repeat(weight, self.count).astype(np.float64)
+        k = np.arange(len(owner)) - first
+        feature = np.repeat(self.hash, self.count) << np.uint64(20) | np.minimum(k, (1 << 20) - 1).astype(np.uint64)
+        value = np.repeat(weight, self.count) * np.where(k > 0, np.log((k + 1) / np.maximum(k, 1)), 1.0)
         total = np.bincount(owner, value, len(self.off) - 1)
         _, column, times = np.unique(feature, return_inverse=True, return_counts=True)
         shared = times[column] > 1
@@ -106,7 +115,7 @@ class Bag:
             scale[column[a:b] - lo] = value[a:b]
             low += (m[rows] * scale) @ m[cols].T
         union = total[rows][:, None] + total[cols][None, :] - low
-        return low >= SIMILARITY * union
+        return low >= (SIMILARITY - TIE) * union
 
 
 class Idf:
@@ -144,7 +153,7 @@ def band_keys(bag: Bag, idf: Idf) -> np.ndarray:
     full = np.diff(bag.off) > 0
     if not full.any():
         return out
-    weight = np.log(bag.count * idf(bag.hash)).astype(np.float32)
+    weight = np.log(damped(bag.count) * idf(bag.hash)).astype(np.float32)
     for b in range(BANDS):
         key = np.full(int(full.sum()), b + 1, np.uint64)
         for j in range(b * R, (b + 1) * R):
@@ -264,7 +273,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
                         held.append(column[i].as_py())
             bag = _bag(held)
             got = bag.similarities(idf.value(bag.hash), np.array([place[x] for x in a.tolist()]), np.array([place[x] for x in b.tolist()]))
-            keep = got >= SIMILARITY
+            keep = got >= SIMILARITY - TIE
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     return per_block(rows.select("a", "b", "text_a", "text_b"), work, "a bigint, b bigint")
@@ -319,7 +328,7 @@ def _rest(rest: DataFrame, comp: DataFrame, texts: DataFrame, idf) -> DataFrame:
                 i, j = np.concatenate(small_i), np.concatenate(small_j)
                 for lo in range(0, len(i), _PAIRS):
                     part = slice(lo, lo + _PAIRS)
-                    ok = bag.similarities(weight, i[part], j[part]) >= SIMILARITY
+                    ok = bag.similarities(weight, i[part], j[part]) >= SIMILARITY - TIE
                     found |= set(zip(comps[i[part][ok]].tolist(), comps[j[part][ok]].tolist(), strict=True))
             held.clear()
             pairs = sorted({(min(p), max(p)) for p in found})
