@@ -43,7 +43,7 @@ class WordBpe:
     to the tokenizer.  A text with a character outside the tables above, or with ``<|``, goes to it whole.
     """
 
-    ROOM = 1 << 21
+    ROOM = 1 << 20
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
