@@ -4,11 +4,15 @@ Tokens are ids of a public tokenizer, so both models share its vocabulary.  Both
 
     p(w | v) = L c(v, w) / c(v) + (1 - L m(v)) p(w),   p(w) = (c(w) + 1) / (T + V)
 
-over the same kept bigrams: those that make up at least SHARE of all background bigrams (and come
-twice); m(v) is the share of v's occurrences that kept bigrams cover.  All bigrams of all documents are
-counted before any is left out.  At most 1 / SHARE bigrams are kept, so the models may be broadcast.
-
-Counts travel as packed arrays in PARTS hashed ranges of keys, merged as a stream, range by range.
+over the same kept bigrams: all that come at least LEAST times in the background; m(v) is the share
+of v's occurrences that kept bigrams cover.  The models grow with the corpus, so they are never
+broadcast nor brought to the driver; only counts of single words are, which the vocabulary bounds.
+
+1. ``encode`` writes documents as blocks of about BLOCK_TOKENS tokens; each text is tokenized once.
+2. ``counts`` merges bigram counts in PARTS hashed ranges of keys, as packed arrays.
+3. ``score`` sends each block's distinct bigrams to their ranges, which stream past the range's
+   counts; the differences found go back to the block.  Ranges are dealt out to several tasks each
+   when there are many blocks.
 """
 
 from __future__ import annotations
@@ -17,35 +21,82 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwright.llm import text as tx
 from blockwright.llm import tokens as tk
-from blockwright.llm.spark import per_block, stored, table
+from blockwright.llm.spark import stored, table
 
-SHARE = 5e-7
 WEIGHT = 0.7
+LEAST = 2
 PARTS = 256
+BLOCK_TOKENS = 1 << 20
+#: Blocks whose requests one task of a range answers.
+BLOCKS_A_TASK = 4096
 #: Most ids of target documents (8 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 _FLUSH = 1 << 22
-
-
-def _keys(ids: np.ndarray, size: int) -> np.ndarray:
-    """Bigrams of a text as v * size + w; the first has the id after the vocabulary's as v."""
-    return np.concatenate([[size - 1], ids[:-1]]) * size + ids if len(ids) else np.zeros(0, np.int64)
+_BLOCK = "block bigint, ids array<bigint>, target array<boolean>, lengths array<bigint>, tokens binary"
 
 
 def _part(keys: np.ndarray) -> np.ndarray:
     return (tx.mix(keys.astype(np.uint64)) >> np.uint64(56)).astype(np.int64)
 
 
-def counts(rows: DataFrame, path: str) -> DataFrame:
-    """(part, keys, background, target): merged bigram counts of (text, target) rows, arrays as bytes."""
+def encode(rows: DataFrame, path: str) -> DataFrame:
+    """Blocks of (doc_id, text, target) rows, written: ids, targets, lengths and the tokens of all texts, end to end."""
+
+    def work(batches):
+        bpe, at = tk.byte_bpe(path), TaskContext.get().partitionId() << 32
+        kind = np.uint16 if bpe.size <= 1 << 16 else np.uint32
+        ids, targets, parts, n = [], [], [], 0
+
+        def block():
+            cols = [[at], [ids], [targets], [[len(p) for p in parts]], [np.concatenate(parts).tobytes()]]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["block", "ids", "target", "lengths", "tokens"])
+
+        for batch in batches:
+            for doc_id, text, target in zip(batch.column(0).cast(pa.int64()).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                ids.append(doc_id)
+                targets.append(bool(target))
+                parts.append(bpe.ids(text.as_py() or "").astype(kind))
+                n += len(parts[-1])
+                if n >= BLOCK_TOKENS or len(ids) >= BLOCK_TOKENS:
+                    yield block()
+                    at += 1
+                    ids, targets, parts, n = [], [], [], 0
+        if ids:
+            yield block()
+
+    return stored(rows.select("doc_id", "text", "target").mapInArrow(work, _BLOCK))
+
+
+def _keys(tokens: bytes, lengths: np.ndarray, size: int) -> np.ndarray:
+    """Bigrams of a block's texts as v * size + w; the first of a text has the id after the vocabulary's as v."""
+    ids = np.frombuffer(tokens, np.uint16 if size <= 1 << 16 else np.uint32).astype(np.int64)
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = size
+    return before * (size + 1) + ids
+
+
+def _split(keys: np.ndarray):
+    """(part, places of its keys), in order of parts, for those that have any."""
+    part = _part(keys)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(PARTS + 1))
+    for p in np.flatnonzero(np.diff(edges)).tolist():
+        yield p, order[edges[p] : edges[p + 1]]
+
+
+def counts(blocks: DataFrame, size: int) -> DataFrame:
+    """(part, keys, background, target): merged bigram counts, keys ascending, arrays of int64 as bytes."""
+    names = ["part", "keys", "background", "target"]
 
     def count(batches):
-        size = tk.byte_bpe(path).size + 1
         held: list[np.ndarray] = []
         n = 0
 
@@ -58,21 +109,14 @@ def counts(rows: DataFrame, path: str) -> DataFrame:
             keys = pairs[first]
             background = np.diff(np.append(first, len(pairs))).astype(np.uint32)
             target = np.add.reduceat(both & 1, first).astype(np.uint32)
-            part = _part(keys)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(PARTS + 1))
-            cols = [[], [], [], []]
-            for p in range(PARTS):
-                own = order[edges[p] : edges[p + 1]]
-                if len(own):
-                    for c, x in zip(cols, (p, keys[own].tobytes(), background[own].tobytes(), target[own].tobytes()), strict=True):
-                        c.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "keys", "background", "target"])
+            rows = [(p, keys[own].tobytes(), background[own].tobytes(), target[own].tobytes()) for p, own in _split(keys)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=names)
 
         for batch in batches:
-            for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                keys = _keys(tk.byte_bpe(path).ids(text.as_py() or ""), size)
-                held.append(keys << 1 | int(bool(target)))
+            for i in range(batch.num_rows):
+                lengths = np.array(batch.column(1)[i].as_py(), np.int64)
+                keys = _keys(batch.column(2)[i].as_py(), lengths, size)
+                held.append(keys << 1 | np.repeat(np.array(batch.column(0)[i].as_py(), np.int64), lengths))
                 n += len(keys)
                 if n >= _FLUSH:
                     yield flush()
@@ -86,7 +130,10 @@ def counts(rows: DataFrame, path: str) -> DataFrame:
         def joined(parts: list) -> list:
             keys = np.concatenate([p[0] for p in parts])
             keys, at = np.unique(keys, return_inverse=True)
-            return [(keys, *(np.bincount(at, np.concatenate([p[i] for p in parts]), len(keys)).astype(np.int64) for i in (1, 2)))]
+            sums = [np.zeros(len(keys), np.int64) for _ in range(2)]
+            for i in (0, 1):
+                np.add.at(sums[i], at, np.concatenate([p[i + 1] for p in parts]).astype(np.int64))
+            return [(keys, *sums)]
 
         for batch in batches:
             for p, k, b, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -96,110 +143,154 @@ def counts(rows: DataFrame, path: str) -> DataFrame:
                     held[p] = joined(parts)
         for p, parts in held.items():
             (keys, b, t), = joined(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary()), pa.array([t.tobytes()], pa.binary())], names=["part", "keys", "background", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (keys, b, t))], names=names)
 
     schema = "part int, keys binary, background binary, target binary"
-    return rows.mapInArrow(count, schema).repartition(PARTS, "part").mapInArrow(merge, schema)
+    return blocks.select("target", "lengths", "tokens").mapInArrow(count, schema).repartition(PARTS, "part").mapInArrow(merge, schema)
 
 
-def _unigrams(merged: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(2, size) counts of words and of contexts, background and target, summed over all bigrams."""
+def _single(merged: DataFrame, size: int) -> np.ndarray:
+    """(3, 2, size + 1): counts of words, of contexts, and of contexts in kept bigrams; background and target."""
+    names = [f"x{i}" for i in range(6)]
 
     def work(batches):
-        total = np.zeros((2, 2, size), np.int64)
+        total = np.zeros((3, 2, size + 1), np.int64)
         for batch in batches:
-            for k, b, t in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                keys = np.frombuffer(k, np.int64)
-                for i, n in enumerate((b, t)):
-                    n = np.frombuffer(n, np.int64)
-                    total[0, i] += np.bincount(keys % size, n, size).astype(np.int64)
-                    total[1, i] += np.bincount(keys // size, n, size).astype(np.int64)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
-
-    total = np.zeros((2, 2, size), np.int64)
-    for row in merged.coalesce(8).mapInArrow(work, "x binary").toLocalIterator():  # at most 8 rows of 4 * size numbers
-        total += np.frombuffer(row["x"], np.int64).reshape(2, 2, size)
-    return total[0], total[1]
+            for k, *both in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                v, w = np.divmod(np.frombuffer(k, np.int64), size + 1)
+                both = [np.frombuffer(x, np.int64) for x in both]
+                kept = both[0] >= LEAST
+                for i, n in enumerate(both):
+                    np.add.at(total[0, i], w, n)
+                    np.add.at(total[1, i], v, n)
+                    np.add.at(total[2, i], v[kept], n[kept])
+        used = np.flatnonzero(total.any(axis=(0, 1)))
+        flat = total.reshape(6, -1)[:, used]
+        yield pa.RecordBatch.from_arrays([pa.array(used), *map(pa.array, flat)], names=["word", *names])
+
+    rows = merged.mapInArrow(work, ", ".join(f"{n} bigint" for n in ["word", *names]))
+    got = rows.groupBy("word").agg(*(F.sum(n).alias(n) for n in names)).toPandas()  # at most a row for each word of the vocabulary
+    total = np.zeros((6, size + 1), np.int64)
+    total[:, got["word"].to_numpy(np.int64)] = got[names].to_numpy(np.int64).T
+    return total.reshape(3, 2, -1)
 
 
 @dataclass
 class Models:
-    """Loss of the target model less that of the background model, in bits: of kept bigrams, else a[v] + b[w]."""
+    """The vocabulary's size, counts of single words (see ``_single``), and the table of bigram counts."""
 
     size: int
-    lookup: tx.Lookup
-    kept: np.ndarray
-    a: np.ndarray
-    b: np.ndarray
-
-    def differences(self, ids: np.ndarray) -> np.ndarray:
-        keys = _keys(ids, self.size)
-        if not len(keys):
-            return np.zeros(0)
-        at = self.lookup(keys.astype(np.uint64))
-        rest = self.a[keys // self.size] + self.b[keys % self.size]
-        return np.where(at >= 0, self.kept[at], rest)
-
-
-def models(size: int, words: np.ndarray, contexts: np.ndarray, keys: np.ndarray, kept: np.ndarray) -> Models:
-    """From counts (2 rows: background, target) of words, contexts and kept bigrams."""
-    v, w = keys // size, keys % size
-    logs, bows, backs = [], [], []
-    for i in range(2):
-        p1 = (words[i] + 1) / (words[i].sum() + size)
-        own = np.where(contexts[i][v] > 0, kept[i] / np.maximum(contexts[i][v], 1), 0)
-        bow = 1 - WEIGHT * np.bincount(v, own, size)
-        logs.append(np.log2(WEIGHT * own + bow[v] * p1[w]))
-        bows.append(np.log2(bow))
-        backs.append(np.log2(p1))
-    return Models(size, tx.Lookup(keys.astype(np.uint64)), np.append(logs[0] - logs[1], 0.0).astype(np.float32), bows[0] - bows[1], backs[0] - backs[1])
+    single: np.ndarray
+    merged: DataFrame
 
+    def logs(self) -> tuple[np.ndarray, np.ndarray]:
+        """log2 of the backing-off weight of each context and of each word's share; rows: background, target."""
+        words, contexts, covered = self.single
+        bow = np.log2(1 - WEIGHT * covered / np.maximum(contexts, 1))
+        return bow, np.log2((words + 1) / (words.sum(axis=1, keepdims=True) + self.size + 1))
 
-def train(docs: DataFrame, target_ids: DataFrame, path: str) -> Models:
-    """docs: (doc_id, text); target_ids: doc_id of the target documents. The background is all documents."""
+
+def train_blocks(blocks: DataFrame, path: str) -> Models:
+    size = tk.byte_bpe(path).size
+    merged = stored(counts(blocks, size))
+    return Models(size, _single(merged, size), merged)
+
+
+def _marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     ids = target_ids.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().withColumn("target", F.lit(True))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    rows = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    merged = stored(counts(rows, path))
-    size = tk.byte_bpe(path).size + 1
-    words, contexts = _unigrams(merged, size)
-    least = max(2, int(np.ceil(SHARE * words[0].sum())))
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
 
-    def work(batch: pa.RecordBatch):
-        for k, b, t in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            keys, b, t = np.frombuffer(k, np.int64), np.frombuffer(b, np.int64), np.frombuffer(t, np.int64)
-            at = b >= least
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(b[at]), pa.array(t[at])], names=["key", "b", "t"])
 
-    got = per_block(merged, work, "key bigint, b bigint, t bigint").toPandas()
-    return models(size, words, contexts, got["key"].to_numpy(np.int64), got[["b", "t"]].to_numpy(np.int64).T)
+def train(docs: DataFrame, target_ids: DataFrame, path: str) -> Models:
+    """docs: (doc_id, text); target_ids: doc_id of the target documents. The background is all documents."""
+    return train_blocks(encode(_marked(docs, target_ids), path), path)
+
 
+def score_blocks(blocks: DataFrame, model: Models) -> DataFrame:
+    size, contexts = model.size, model.single[1]
+    bow, share = model.logs()
+    shared = blocks.sparkSession.sparkContext.broadcast((contexts, bow, share))
+    salts = max(1, -(-blocks.count() // BLOCKS_A_TASK))
 
-def score(df: DataFrame, models_: Models, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def ask(batches):
+        for batch in batches:
+            for block, lengths, tokens in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                keys = np.unique(_keys(tokens, np.array(lengths, np.int64), size))
+                rows = [(block, p, keys[own].tobytes()) for p, own in _split(keys)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "part", "keys"])
+
+    def answer(batches):
+        """Rows of (part, salt): first the range's counts, then each block's keys."""
+        contexts, bow, share = shared.value
+        of, known, found = None, np.zeros(0, np.int64), np.zeros(0, np.float32)
+        for batch in batches:
+            out = []
+            for part, salt, block, keys, b, t in zip(*(batch.column(i) for i in range(6)), strict=True):
+                part, salt, block, keys = part.as_py(), salt.as_py(), block.as_py(), np.frombuffer(keys.as_py(), np.int64)
+                if block < 0:
+                    counted = np.stack([np.frombuffer(x.as_py(), np.int64) for x in (b, t)])
+                    kept = counted[0] >= LEAST
+                    of, known = (part, salt), keys[kept]
+                    v, w = np.divmod(known, size + 1)
+                    logs = [np.log2(WEIGHT * counted[i, kept] / np.maximum(contexts[i, v], 1) + np.exp2(bow[i, v] + share[i, w])) for i in (0, 1)]
+                    found = np.append(logs[0] - logs[1], np.nan).astype(np.float32)
+                elif of != (part, salt) or not len(known):
+                    out.append((block, part, np.full(len(keys), np.nan, np.float32).tobytes()))
+                else:
+                    at = np.searchsorted(known, keys)
+                    hit = known[np.minimum(at, len(known) - 1)] == keys
+                    out.append((block, part, found[np.where(hit, at, -1)].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "part", "found"])
+
+    def finish(batches):
+        """Rows of a block: first what its ranges answered, in order, then the block."""
+        _, bow, share = shared.value
+        a, b = bow[0] - bow[1], share[0] - share[1]
+        answers = []
+        for batch in batches:
+            for _, _, found, ids, lengths, tokens in zip(*(batch.column(i) for i in range(6)), strict=True):
+                if found.is_valid:
+                    answers.append(np.frombuffer(found.as_py(), np.float32))
+                    continue
+                lengths = np.array(lengths.as_py(), np.int64)
+                keys, at = np.unique(_keys(tokens.as_py(), lengths, size), return_inverse=True)
+                v, w = np.divmod(keys, size + 1)
+                per_key = a[v] + b[w]
+                for (_, own), values in zip(_split(keys), answers, strict=True):
+                    per_key[own] = np.where(np.isnan(values), per_key[own], values)
+                answers = []
+                mean = np.full(len(lengths), np.nan)
+                some = lengths > 0
+                if some.any():
+                    mean[some] = np.add.reduceat(per_key[at], (np.cumsum(lengths) - lengths)[some]) / lengths[some]
+                yield pa.RecordBatch.from_arrays([pa.array(ids.as_py(), pa.int64()), pa.array(lengths), pa.array(mean, mask=~some)], names=["doc_id", "n_tokens", "loss_difference"])
+
+    none = F.lit(None)
+    asked = blocks.select("block", "lengths", "tokens").mapInArrow(ask, "block bigint, part int, keys binary")
+    asked = asked.select("part", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), "block", "keys", none.cast("binary").alias("background"), none.cast("binary").alias("target"))
+    known = model.merged.select("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(-1).cast("bigint").alias("block"), "keys", "background", "target")
+    answers = asked.unionByName(known).repartition("part", "salt").sortWithinPartitions("part", "salt", "block").mapInArrow(answer, "block bigint, part int, found binary")
+    answers = answers.select("block", "part", "found", none.cast("array<bigint>").alias("ids"), none.cast("array<bigint>").alias("lengths"), none.cast("binary").alias("tokens"))
+    whole = blocks.select("block", F.lit(PARTS).alias("part"), none.cast("binary").alias("found"), "ids", "lengths", "tokens")
+    both = answers.unionByName(whole).repartition("block").sortWithinPartitions("block", "part")
+    return both.mapInArrow(finish, "doc_id bigint, n_tokens bigint, loss_difference double")
+
+
+def score(df: DataFrame, model: Models, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, loss_difference): bits a token that the target model loses over the background model.
 
     Lower is more like the target.  Texts without tokens (null, empty): 0 tokens and a null difference.
     """
-    m = models_
-    shared = df.sparkSession.sparkContext.broadcast((m.size, m.lookup, m.kept, m.a, m.b))
-
-    def work(batch: pa.RecordBatch):
-        model, bpe = Models(*shared.value), tk.byte_bpe(path)
-        n, mean = [], []
-        for text in batch.column(1):
-            got = model.differences(bpe.ids(text.as_py() or ""))
-            n.append(len(got))
-            mean.append(float(got.mean()) if len(got) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(mean, pa.float64())], names=["doc_id", "n_tokens", "loss_difference"])
-
-    return per_block(df.select(id_col, text_col), work, "doc_id bigint, n_tokens bigint, loss_difference double")
+    return score_blocks(encode(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(False).alias("target")), path), model)
 
 
 def op5_lm_score(spark, sf_dir: str) -> DataFrame:
     """Target: documents labelled good and not toxic."""
     path = tk.tokenizer_path("byte_bpe_50k.tiktoken")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").filter((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
-    return score(docs, train(docs, good, path), path)
+    blocks = encode(_marked(table(spark, sf_dir, "documents"), good), path)
+    return score_blocks(blocks, train_blocks(blocks, path))
