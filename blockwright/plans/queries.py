@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from blockwright.functions import kernels
 from blockwright.functions.codecs import Codec, Huffman
+from blockwright.functions.modelled import MODELLED
 from blockwright.operators import dictionary, stats
 from blockwright.operators.blocks import pack_column, to_blocks
 from blockwright.operators.frames import roundtrip
@@ -113,6 +114,18 @@ def roundtrip_every_backend(spark, sf_dir):
     return out
 
 
+@query("SELECT codec, object_id, n_bytes, sha256 FROM (" + _source_digests("benchmark", "item_id", "text") + f"), (SELECT unnest({list(MODELLED)}) AS codec)")
+def roundtrip_modelled(spark, sf_dir):
+    """Benchmark items through order-1 Huffman codes, the range coder and pair grammars, and back."""
+
+    def f(data: bytes) -> list[tuple]:
+        back = [(name, decode(encode(data), len(data))) for name, (encode, decode) in MODELLED.items()]
+        return [(name, len(b), hashlib.sha256(b).hexdigest()) for name, b in back]
+
+    objects = stats.objects_of(_table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return stats.map_objects(objects, f, [("codec", "string", _STR), ("n_bytes", "bigint", _I64), ("sha256", "string", _STR)])
+
+
 def _container(version: int, backend: str):
     def f(spark, sf_dir):
         made = containers_of(_documents(spark, sf_dir), Search(Codec(backend, 3), tids=_LIGHT, version=version), BLOCK, version)
