@@ -24,6 +24,8 @@ from blockwright.llm import text as tx
 from blockwright.llm.spark import bucket_of, per_block, table
 
 ORDER = 3
+#: Bytes of a training text that are counted at once.
+_PIECE = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
@@ -31,11 +33,10 @@ _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 @dataclass(frozen=True)
 class Settings:
-    """docs: most training documents of a language (a sample by a hash of the id); doc_bytes: most bytes counted
-    of one of them; least: times that a context must be seen; languages: most languages, the commonest."""
+    """docs: most training documents of a language (a sample by a hash of the id), counted whole;
+    least: times that a context must be seen; languages: most languages, the commonest."""
 
     docs: int = 3000
-    doc_bytes: int = 1 << 16
     least: int = 20
     languages: int = 256
 
@@ -138,13 +139,14 @@ def count(training: DataFrame, lang_col: str, text_col: str, settings: Settings)
             langs = batch.column(0).to_pylist()
             for lo, _, data, off in tx.blocks(batch.column(1)):
                 for i in range(len(off) - 1):
-                    part = data[off[i] : min(off[i + 1], off[i] + settings.doc_bytes)]
-                    if len(part):
-                        held.setdefault(langs[lo + i], []).append(_ngrams(part, np.array([0, len(part)])))
+                    for a in range(off[i], off[i + 1], _PIECE):
+                        older = min(ORDER, a - off[i])
+                        part = data[a - older : min(off[i + 1], a + _PIECE)]
+                        held.setdefault(langs[lo + i], []).append(_ngrams(part, np.array([0, len(part)]))[older:])
                         size += len(part)
-                if size > 1 << 22:
-                    yield from flush()
-                    size = 0
+                        if size > 1 << 22:
+                            yield from flush()
+                            size = 0
         yield from flush()
 
     return training.select(lang_col, text_col).mapInArrow(run, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))

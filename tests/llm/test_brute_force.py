@@ -505,6 +505,14 @@ def test_code_lengths():
     assert np.allclose(model._whole(np.frombuffer(test[0], np.uint8)), got[0])
 
 
+def test_language_counts_whole_texts(spark):
+    data = np.random.default_rng(3).integers(97, 101, language._PIECE + 5000).astype(np.uint8)
+    frame = spark.createDataFrame([("x", data.tobytes().decode()), ("x", ""), ("x", None)], "lang string, text string")
+    got = language.count(frame, "lang", "text", language.Settings()).toPandas()
+    keys, n = np.unique(language._ngrams(data, np.array([0, len(data)])), return_counts=True)
+    assert dict(zip(got["key"], got["n"], strict=True)) == dict(zip(keys.astype(np.int64).tolist(), n.tolist(), strict=True))
+
+
 def test_language_accuracy(spark):
     rows = language.op8_language_id(spark, SMALL.replace("0.001", "0.01"))
     truth = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "lang")
