@@ -348,26 +348,28 @@ def _rest(rest: DataFrame, comp: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return rows.select("band", "key", "i", "j", "comp", "m", "n", "text").mapInArrow(work, "a bigint, b bigint")
 
 
+def _flat(edges: DataFrame) -> bool:
+    """Whether distinct edges (a, b), a < b, are stars already: each b hangs on one a, which hangs on none."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("b").alias("doc"), F.lit(1).alias("below"), F.lit(0).alias("above")), F.struct(F.col("a").alias("doc"), F.lit(0).alias("below"), F.lit(1).alias("above")))))
+    return ends.groupBy("doc").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter(F.col("below") + F.col("above") > 1).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc, comp): the smallest node of each node's component. edges: (a, b) with a < b; nodes without edges are left out.
 
-    Rounds of large and small stars; each ends in a stored table of at most as many rows as there were edges.
+    Rounds of large and small stars, until all components are stars; each ends in a stored table of at most as
+    many rows as there were edges.
     """
     now = stored(edges.select("a", "b").distinct())
-    seen = None
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    while not _flat(now):
+        both = now.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").distinct()  # larger neighbours now hang on the smallest
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b")
-        new = stored(small.select(F.col("m").alias("a"), "b").unionByName(small.filter(F.col("a") != F.col("m")).select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct())
+        new = stored(small.select(F.inline(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b"))))).filter(F.col("a") < F.col("b")).distinct())
         dropped(now)
         now = new
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if mark == seen:
-            break
-        seen = mark
     return now.select(F.col("b").alias("doc"), F.col("a").alias("comp")).unionByName(now.select(F.col("a").alias("doc"), F.col("a").alias("comp")).distinct())
 
 
