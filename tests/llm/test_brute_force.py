@@ -200,6 +200,22 @@ def test_components(spark):
     assert {r["doc"]: r["comp"] for r in got.collect()} == {i: find(i) for i in list(parent)}
 
 
+@pytest.mark.parametrize(
+    ("edges", "want"),
+    [
+        ([], {}),
+        ([(1, 2)], {1: 1, 2: 1}),
+        ([(1, 5), (1, 5), (1, 6), (2, 7)], {1: 1, 5: 1, 6: 1, 2: 2, 7: 2}),  # stars already, with a repeated edge
+        ([(1, 2), (2, 3)], {1: 1, 2: 1, 3: 1}),
+        ([(1, 9), (2, 9)], {1: 1, 2: 1, 9: 1}),  # two stars share a leaf
+        ([(4, 5), (3, 4), (2, 3), (1, 2)], dict.fromkeys(range(1, 6), 1)),
+    ],
+)
+def test_components_of_small_graphs(spark, edges, want):
+    got = near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["doc"]: r["comp"] for r in got} == want and len(got) == len(want)
+
+
 # Media
 
 
