@@ -1,15 +1,11 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
-
-Items are short and documents long, so a document's Jaccard similarity with an item it contains
-is far too small for MinHash.  Items are partitioned by size (powers of two).  For a partition of
-items of at most u shingles, documents are cut into windows of 2 u shingles, one each u: an item
-that stands in a document lies in one of them and makes up a fair part of it.  MinHashes are
-taken once for blocks of the smallest partition's u and combined for the larger windows.  A window
-that has a MinHash of an item in common makes (document, item) a candidate, and a candidate is
-verified by exact containment of the item's shingles in the whole document's.
-
-At K = 48 hashes and the worst place in a partition, an item with 80 % of its shingles in one
-window is found with probability 0.99996, one with all with 0.999999.
+"""Benchmark decontamination: exact containment search over an index of the items' shingles.
+
+An item of n distinct shingles is in a document if that holds at least `least` of them, in any
+places.  Then at most n - ceil(least n) are missing, so the document holds one of any
+n - ceil(least n) + 1 of them: each item is listed under that many, those that the fewest items
+have.  A document that holds one of them is a candidate for the item, and a candidate is verified
+by counting all of the item's distinct shingles in the whole document.  So nothing is missed,
+however often an item repeats itself and wherever its shingles stand.
 """
 
 from __future__ import annotations
@@ -22,67 +18,57 @@ from pyspark.sql import functions as F
 from blockwright.llm import text as tx
 from blockwright.llm.spark import per_block, table
 
-K_HASHES = 48
 SHINGLE = 5
 CONTAINMENT = 0.8
 #: Most bytes of item texts that are broadcast at once; more items take more passes over the documents.
 ITEM_BYTES = 32 << 20
 
-_ODD = tx.mix(np.arange(1, K_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Shingles of candidates that are counted at once.
+_COUNTED = 1 << 20
 
 
-def _hashes(s: np.ndarray, j: int) -> np.ndarray:
-    return ((s * _ODD[j]) >> np.uint64(32)).astype(np.uint32)
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... (n[i] of them) for each i."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 class Index:
-    """Items of one shingle length, by size partition."""
-
-    def __init__(self, k: int, keys: list, sets: list[np.ndarray], places: list[int]) -> None:
-        """places: shingles of each item, with repeats; it decides the partition."""
-        self.k, self.keys, self.sets = k, keys, sets
-        of = np.array([max(p - 1, 1).bit_length() for p in places])  # places <= 2 ** of
-        self.partitions = []
-        for c in sorted(set(of.tolist())):
-            members = np.flatnonzero(of == c)
-            tagged = np.concatenate([(np.uint64(j) << np.uint64(32)) | np.array([_hashes(sets[m], j).min() for m in members], np.uint64) for j in range(K_HASHES)])
-            who = np.tile(members, K_HASHES)
-            order = np.argsort(tagged, kind="stable")
-            values, first = np.unique(tagged[order], return_index=True)
-            self.partitions.append((1 << c, tx.Lookup(values), np.append(first, len(order)), who[order]))
-
-    def candidates(self, s: np.ndarray, off: np.ndarray) -> set[tuple[int, int]]:
-        """(document, item) pairs that share a MinHash in a window."""
-        n = np.diff(off)
-        step = self.partitions[0][0]
-        n_blocks = -(-n // step)
-        block_off = np.concatenate([[0], np.cumsum(n_blocks)])
-        if not block_off[-1]:
-            return set()
-        starts = np.repeat(off[:-1], n_blocks) + step * (np.arange(block_off[-1]) - np.repeat(block_off[:-1], n_blocks))
-        least = np.empty((K_HASHES, len(starts)), np.uint32)
-        for j in range(K_HASHES):
-            least[j] = np.minimum.reduceat(_hashes(s, j), starts)
-        found = set()
-        for u, lookup, first, who in self.partitions:
-            many = u // step
-            n_groups = -(-n_blocks // many)
-            group_off = np.concatenate([[0], np.cumsum(n_groups)])
-            at = np.repeat(block_off[:-1], n_groups) + many * (np.arange(group_off[-1]) - np.repeat(group_off[:-1], n_groups))
-            owner = np.repeat(np.arange(len(n)), n_groups)
-            window = np.minimum.reduceat(least, at, axis=1) if many > 1 else least.copy()
-            more = owner[1:] == owner[:-1]
-            both = np.minimum(window[:, :-1], window[:, 1:])
-            window[:, :-1][:, more] = both[:, more]
-            tagged = (np.arange(K_HASHES, dtype=np.uint64) << np.uint64(32))[:, None] | window
-            got = lookup(tagged.ravel())
-            hits = np.flatnonzero(got >= 0)
-            pairs = {(int(o), int(g)) for o, g in zip(owner[hits % len(owner)], got[hits], strict=True)}
-            found |= {(o, int(m)) for o, g in pairs for m in who[first[g] : first[g + 1]]}
-        return found
-
-
-def build(ids: list, texts: pa.Array) -> list[Index]:
+    """Items of one shingle length, listed under their rarest shingles."""
+
+    def __init__(self, k: int, keys: list, sets: list[np.ndarray], least: float) -> None:
+        self.k, self.keys = k, keys
+        self.size = np.array([len(x) for x in sets])
+        self.need = np.maximum(1, np.ceil(least * self.size)).astype(np.int64)
+        values, self.own, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.lookup, self.off = tx.Lookup(values), np.append(0, np.cumsum(self.size))
+        who = np.repeat(np.arange(len(sets)), self.size)
+        order = np.lexsort((self.own, many[self.own], who))
+        listed = order[np.arange(len(who)) - self.off[who] <= (self.size - self.need)[who]]
+        listed = listed[np.argsort(self.own[listed], kind="stable")]
+        self.items, self.first = who[listed], np.searchsorted(self.own[listed], np.arange(len(values) + 1))
+
+    def found(self, s: np.ndarray, off: np.ndarray):
+        """Documents, items and numbers of shingles in common, for the pairs that have as many as they need; in order."""
+        got = self.lookup(s)
+        at = np.flatnonzero(got >= 0)
+        wide = len(self.lookup.keys)
+        held = np.unique((np.searchsorted(off, at, "right") - 1) * wide + got[at])
+        doc, place = np.divmod(held, wide)
+        n = self.first[place + 1] - self.first[place]
+        pairs = np.unique(np.repeat(doc, n) * len(self.keys) + self.items[_spread(self.first[place], n)])
+        doc, item = np.divmod(pairs, len(self.keys))
+        part = np.cumsum(self.size[item]) // _COUNTED
+        common = np.zeros(len(pairs), np.int64)
+        for rows in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(part)) + 1):
+            n = self.size[item[rows]]
+            want = np.repeat(doc[rows], n) * wide + self.own[_spread(self.off[item[rows]], n)]
+            at = np.minimum(np.searchsorted(held, want), len(held) - 1)
+            common[rows] = tx.sums(held[at] == want, np.append(0, np.cumsum(n)))
+        ok = common >= self.need[item]
+        return doc[ok], item[ok], common[ok]
+
+
+def build(ids: list, texts: pa.Array, least: float) -> list[Index]:
     data, off = tx.buffers(texts)
     words = tx.Words(data[off[0] : off[-1]], off - off[0])
     n = words.counts()
@@ -91,11 +77,11 @@ def build(ids: list, texts: pa.Array) -> list[Index]:
         which = np.flatnonzero(n >= k if k == SHINGLE else n == k)
         s, s_off = tx.shingles(words.hash, words.off, k)
         sets = [np.unique(s[s_off[i] : s_off[i + 1]]) for i in which]
-        out.append(Index(k, [ids[i] for i in which], sets, [int(s_off[i + 1] - s_off[i]) for i in which]))
+        out.append(Index(k, [ids[i] for i in which], sets, least))
     return out
 
 
-def hits(indexes: list[Index], data: np.ndarray, off: np.ndarray, least: float):
+def hits(indexes: list[Index], data: np.ndarray, off: np.ndarray):
     """(document, item id, shingles in common, of the item) in a block."""
     words = tx.Words(data, off)
     for index in indexes:
@@ -103,13 +89,9 @@ def hits(indexes: list[Index], data: np.ndarray, off: np.ndarray, least: float):
         short = np.diff(words.off) < index.k  # a text of fewer words than the item has none of its shingles
         if not len(s):
             continue
-        for doc, item in sorted(index.candidates(s, s_off)):
-            if short[doc]:
-                continue
-            own = index.sets[item]
-            common = int(np.isin(own, s[s_off[doc] : s_off[doc + 1]]).sum())
-            if common >= least * len(own):
-                yield doc, index.keys[item], common, len(own)
+        for doc, item, common in zip(*(x.tolist() for x in index.found(s, s_off)), strict=True):
+            if not short[doc]:
+                yield doc, index.keys[item], common, int(index.size[item])
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
@@ -139,9 +121,9 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
         def work(batch: pa.RecordBatch, shared=shared, held=held):
             if not held:
-                held.append(build(*shared.value))
+                held.append(build(*shared.value, least))
             for lo, _, data, off in tx.blocks(batch.column(1)):
-                rows = list(hits(held[0], data, off, least))
+                rows = list(hits(held[0], data, off))
                 if rows:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([lo + r[0] for r in rows])).cast(pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[2] / r[3] for r in rows], pa.float64())], names=["doc_id", "item_id", "n_common", "n_item", "containment"])
 
@@ -160,10 +142,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
 
         def work(batch: pa.RecordBatch, shared=shared, held=held):
             if not held:
-                held.append(build(*shared.value))
+                held.append(build(*shared.value, least))
             for lo, hi, data, off in tx.blocks(batch.column(at)):
                 keep = np.ones(hi - lo, bool)
-                keep[[r[0] for r in hits(held[0], data, off, least)]] = False
+                keep[[r[0] for r in hits(held[0], data, off)]] = False
                 yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
         out = per_block(out, work, docs.schema)

@@ -472,6 +472,24 @@ def test_contained_items(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_items_that_repeat_themselves_or_stand_apart(spark):
+    rng = random.Random(3)
+    names = [f"v{i}" for i in range(5000)]
+    items, docs = [], []
+    for places, distinct in ((65, 5), (130, 13), (257, 20), (33, 4), (70, 14)):
+        for _ in range(12):
+            items.append((rng.sample(names, distinct) * places)[: places + 4])
+            filler = rng.choices(names, k=3000)
+            at = rng.randint(0, 3000)
+            docs.append(filler[:at] + items[-1] + filler[at:])
+    items.append(rng.sample(names, 124))
+    pieces = [items[-1][i : i + 12] + rng.choices(names, k=3000) for i in range(0, 120, 8)]
+    docs += [sum(pieces, []), sum(pieces[:12] * 3, []), sum(pieces[:11] * 3, [])]  # 120, 96 and 88 of 120 shingles, 3000 words apart
+    tables = [spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(x)], f"{key} long, text string") for x, key in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(r["doc_id"], r["item_id"]): r["n_common"] for r in decontaminate.find_contained(*tables).collect()}
+    assert got == {(i, i): len(set(shingles_of(" ".join(items[i])))) for i in range(60)} | {(60, 60): 120, (61, 60): 96}
+
+
 def test_items_in_blocks(spark, monkeypatch, docs):
     frame, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     whole = sorted(map(tuple, decontaminate.find_contained(frame, items).collect()))
