@@ -2,7 +2,9 @@
 
 Training counts, per language, each byte after each of its contexts of 0 to 3 bytes.  All
 languages share one tree of contexts (children by the next older byte); a context is in it if
-it was seen ``least`` times in some language.  A language's code length of a byte after a
+it was seen often enough in some language: a little text gives its contexts by fewer sights
+than much.  Every language of the training rows is learned; more than GROUP of them make
+several trees, whose tables are dense in their languages only.  A language's code length of a byte after a
 context it has seen is -log2(c / (n + q)) for a byte seen c times there among n, with q kinds;
 else the escape -log2(q / (n + q)) and the code length after the context without its oldest
 byte; after no context at all, 8 bits.  (Escape method C, without exclusions.)  The tables are
@@ -21,11 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwright.llm import text as tx
-from blockwright.llm.spark import bucket_of, per_block, table
+from blockwright.llm.spark import bucket_of, dropped, per_block, stored, table
 
 ORDER = 3
 #: Bytes of a training text that are counted at once.
 _PIECE = 1 << 20
+#: Languages that share a tree.
+GROUP = 4
+#: Bytes of tables that a worker holds; those of further groups are loaded anew for each batch.
+_HELD = 256 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
@@ -34,11 +40,12 @@ _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 @dataclass(frozen=True)
 class Settings:
     """docs: most training documents of a language (a sample by a hash of the id), counted whole;
-    least: times that a context must be seen; languages: most languages, the commonest."""
+    least: times that a context must be seen in a language with at least least * bytes of training text;
+    with less text it is once for each ``bytes``, but twice at least."""
 
     docs: int = 3000
     least: int = 20
-    languages: int = 256
+    bytes: int = 50_000
 
 
 @dataclass
@@ -90,9 +97,31 @@ class Model:
         flat = self.cost.reshape(-1, len(self.languages))
         return flat[node.astype(np.int64) * self.cost.shape[1] + self.column[data]]
 
-    def predict(self, data: np.ndarray, off: np.ndarray, letters: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+
+@dataclass
+class Models:
+    """Broadcast models of all languages, by groups, in the order of their names."""
+
+    languages: list[str]
+    usual: np.ndarray
+    parts: list  # broadcasts of (languages, child, cost, column, usual)
+
+    def blocks(self, column: pa.Array):
+        """(first row, last row + 1, bytes, offsets, bits of each text in each language) of blocks of a text column."""
+        found = [(*block, []) for block in tx.blocks(column)]
+        room = _HELD
+        for part in self.parts:
+            model = Model(*part.value)
+            for _, _, data, off, bits in found:
+                bits.append(model.code_lengths(data, off))
+            room -= model.child.nbytes + model.cost.nbytes
+            if room < 0:
+                vars(part).pop("_value", None)
+        for lo, hi, data, off, bits in found:
+            yield lo, hi, data, off, np.hstack([np.zeros((hi - lo, 0)), *bits])
+
+    def predict(self, bits: np.ndarray, off: np.ndarray, letters: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
         """Language, its posterior share under equal priors, and bits a byte over what is usual for it."""
-        bits = self.code_lengths(data, off)
         size = np.maximum(np.diff(off), 1)
         if not self.languages:
             return ["und"] * len(size), np.zeros(len(size)), np.zeros(len(size))
@@ -155,6 +184,7 @@ def count(training: DataFrame, lang_col: str, text_col: str, settings: Settings)
 def build(languages: list[str], which: np.ndarray, keys: np.ndarray, n: np.ndarray, settings: Settings) -> Model:
     """The frozen tables from counts: which language, key and times, one row each."""
     keys, langs = keys.astype(np.uint64), len(languages)
+    often = np.clip(np.bincount(which, n, langs) // settings.bytes, 2, max(2, settings.least))
     known, byte = (keys >> np.uint64(40)).astype(int), (keys & np.uint64(255)).astype(int)
     seen = np.bincount(byte, minlength=256) > 0
     column = np.where(seen, np.cumsum(seen) - 1, seen.sum())
@@ -170,9 +200,9 @@ def build(languages: list[str], which: np.ndarray, keys: np.ndarray, n: np.ndarr
             ok = (node >= 0) & (known >= d)
             pair = np.where(ok, node * 256 + older, -1)
             seen, place = np.unique(pair, return_inverse=True)
-            per = np.zeros((len(seen), max(langs, 1)), np.int64)
+            per = np.zeros((len(seen), langs), np.int64)
             np.add.at(per, (place, which), n)
-            keep = (seen >= 0) & (per.max(axis=1) >= settings.least)
+            keep = (seen >= 0) & (per >= often).any(axis=1)
             number = np.where(keep, made + np.cumsum(keep) - 1, -1)
             flat = np.concatenate(child)
             flat[seen[keep] // 256, seen[keep] % 256] = number[keep]
@@ -211,56 +241,61 @@ def build(languages: list[str], which: np.ndarray, keys: np.ndarray, n: np.ndarr
     return Model(languages, child, cost, column, own / np.maximum(size, 1))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Models:
     """Learns from rows with a non-null language and text. Each language's documents are sampled by a hash of the id, to about settings.docs."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
-    rate = F.lit(0.0)
-    for lang in languages:
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, settings.docs / sizes[lang]))).otherwise(rate)
-    chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < rate * (1 << 30)) if languages else rows.limit(0)
-    got = count(chosen, "lang", "text", settings).toPandas() if languages else None
-    if got is None or not len(got):
-        return Model(languages, np.full((1, 256), -1, np.int32), np.full((1, 1, len(languages)), 8, np.float32), np.zeros(256, np.int64), np.full(len(languages), 8.0))
-    number = {lang: i for i, lang in enumerate(languages)}
-    return build(languages, got["lang"].map(number).to_numpy(), got["key"].to_numpy(), got["n"].to_numpy(), settings)
-
-
-def broadcast(spark, model: Model):
-    return spark.sparkContext.broadcast((model.languages, model.child, model.cost, model.column, model.usual))
-
-
-def score_block(model: Model, column: pa.Array):
+    if not languages:
+        return Models([], np.zeros(0), [])
+    rate = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, settings.docs / sizes[lang]))])[F.col("lang")]
+    chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < rate * (1 << 30))
+    counts = count(chosen, "lang", "text", settings)
+    many = len(languages) > GROUP
+    if many:
+        counts = stored(counts)
+    parts, usual = [], []
+    for lo in range(0, len(languages), GROUP):
+        group = languages[lo : lo + GROUP]
+        got = (counts.filter(F.col("lang").isin(group)) if many else counts).toPandas()
+        number = {lang: i for i, lang in enumerate(group)}
+        if len(got):
+            model = build(group, got["lang"].map(number).to_numpy(), got["key"].to_numpy(), got["n"].to_numpy(), settings)
+        else:
+            model = Model(group, np.full((1, 256), -1, np.int32), np.full((1, 1, len(group)), 8, np.float32), np.zeros(256, np.int64), np.full(len(group), 8.0))
+        usual.append(model.usual)
+        parts.append(docs.sparkSession.sparkContext.broadcast((model.languages, model.child, model.cost, model.column, model.usual)))
+    if many:
+        dropped(counts)
+    return Models(languages, np.concatenate(usual), parts)
+
+
+def score_block(models: Models, column: pa.Array):
     """(first row, last row + 1, languages, scores, excess bits) of blocks of a text column."""
-    for lo, hi, data, off in tx.blocks(column):
-        yield lo, hi, *model.predict(data, off, has_letter(column[lo:hi], data, off))
+    for lo, hi, data, off, bits in models.blocks(column):
+        yield lo, hi, *models.predict(bits, off, has_letter(column[lo:hi], data, off))
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of each row; ``und`` and 0 where the text is null or has no letter.
 
     Ties go to the first language by name.  Only these two columns are read.
     """
-    shared = broadcast(df.sparkSession, model)
 
     def work(batch: pa.RecordBatch):
-        model = Model(*shared.value)
-        for lo, hi, langs, score, _ in score_block(model, batch.column(1)):
+        for lo, hi, langs, score, _ in score_block(models, batch.column(1)):
             yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return per_block(df.select(id_col, text_col), work, "doc_id bigint, lang_pred string, score double")
 
 
-def keep_identified(df: DataFrame, model: Model, text_col: str = "text", most_excess: float = 4.0, spare: float = 256.0) -> DataFrame:
+def keep_identified(df: DataFrame, models: Models, text_col: str = "text", most_excess: float = 4.0, spare: float = 256.0) -> DataFrame:
     """The rows (all columns) whose language is told: not ``und``, and a code at most ``most_excess`` bits a byte,
     and ``spare`` bits a text, longer than the language's own text took.  So a short text needs only a letter."""
-    shared = broadcast(df.sparkSession, model)
     at = df.columns.index(text_col)
 
     def work(batch: pa.RecordBatch):
-        model = Model(*shared.value)
-        for lo, hi, langs, _, excess in score_block(model, batch.column(at)):
+        for lo, hi, langs, _, excess in score_block(models, batch.column(at)):
             size = np.diff(tx.buffers(batch.column(at)[lo:hi])[1])
             keep = (np.array(langs, object) != "und") & ((excess - most_excess) * size <= spare)
             yield batch.slice(lo, hi - lo).filter(pa.array(keep))
@@ -273,6 +308,6 @@ HELD_OUT = (3, 1)
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.filter(bucket_of(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1]))
-    out = identify(docs, model)
+    models = train(docs.filter(bucket_of(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1]))
+    out = identify(docs, models)
     return out.select("doc_id", (bucket_of(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), "lang_pred", "score")

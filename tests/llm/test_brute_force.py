@@ -547,6 +547,29 @@ def test_language_counts_whole_texts(spark):
     assert dict(zip(got["key"], got["n"], strict=True)) == dict(zip(keys.astype(np.int64).tolist(), n.tolist(), strict=True))
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(261):  # the last has the fewest documents
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 5)
+        rows += [(1000 * i + j, " ".join("".join(rng.choices(letters, k=4)) for _ in range(60)), f"l{i:03}") for j in range(1 if i == 260 else 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language.train(frame)
+    assert models.languages == sorted({r[2] for r in rows})
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(frame, models).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
+def test_contexts_of_a_language_with_little_text():
+    def counted(text):
+        return np.unique(language._ngrams(np.frombuffer(text, np.uint8), np.array([0, len(text)])), return_counts=True)
+
+    (much, n), (few, m) = counted(b"abcd" * 300_000), counted(b"wxyz" * 5)
+    model = language.build(["a", "w"], np.repeat([0, 1], [len(much), len(few)]), np.concatenate([much, few]), np.concatenate([n, m]), language.Settings())
+    data = np.frombuffer(b"wxyzwxyz", np.uint8)
+    assert (model.contexts(data, np.array([0, len(data)]))[3:] > 0).all()
+
+
 def test_language_accuracy(spark):
     rows = language.op8_language_id(spark, SMALL.replace("0.001", "0.01"))
     truth = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "lang")
