@@ -218,8 +218,11 @@ class Page:
         return self.tags.get(n, (default,))[0]
 
 
-def directories(data: bytes) -> tuple[str, list[dict[int, tuple]]]:
-    """Byte order, and the integer fields of each image directory, in file order."""
+def directories(data: bytes):
+    """Byte order, then for each image directory, in file order, its integer fields or the TiffError of its fields.
+
+    Raises TiffError where the chain of directories can't be followed.
+    """
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if not order:
         raise TiffError("no TIFF header")
@@ -227,16 +230,17 @@ def directories(data: bytes) -> tuple[str, list[dict[int, tuple]]]:
         version = struct.unpack_from(order + "H", data, 2)[0]
         if version not in (42, 43):
             raise TiffError("no TIFF header")
+        yield order
         big = version == 43
         at = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
-        found, seen = [], set()
+        seen = set()
         while at:
             if at in seen:
                 raise TiffError("image directories form a loop")
             seen.add(at)
             n = struct.unpack_from(order + ("Q" if big else "H"), data, at)[0]
             at += 8 if big else 2
-            tags = {}
+            tags, bad = {}, None
             for _ in range(n):
                 tag, kind, count = struct.unpack_from(order + ("HHQ" if big else "HHI"), data, at)
                 place = at + (12 if big else 8)
@@ -246,53 +250,73 @@ def directories(data: bytes) -> tuple[str, list[dict[int, tuple]]]:
                 if SIZES[kind] * count > (8 if big else 4):
                     place = struct.unpack_from(order + ("Q" if big else "I"), data, place)[0]
                 if place + SIZES[kind] * count > len(data):
-                    raise TiffError("a field points outside the file")
-                tags[tag] = struct.unpack_from(f"{order}{count}{INTEGERS[kind]}", data, place)
-            found.append(tags)
+                    bad = TiffError("a field points outside the file")
+                elif count:
+                    tags[tag] = struct.unpack_from(f"{order}{count}{INTEGERS[kind]}", data, place)
+            yield bad or tags
             at = struct.unpack_from(order + ("Q" if big else "I"), data, at)[0]
     except struct.error as e:
         raise TiffError(f"the file ends too soon: {e}") from e
-    return order, found
+
+
+def decode_page(data: bytes, order: str, tags: dict) -> Page:
+    """The page of one directory."""
+    page = Page(tags)
+    w, h, spp = page.tag(WIDTH), page.tag(HEIGHT), page.tag(SAMPLES, 1)
+    bits, how, predictor = page.tag(BITS, 1), page.tag(COMPRESSION, 1), page.tag(PREDICTOR, 1)
+    if not w or h is None or bits not in (8, 16, 32) or len(set(tags.get(BITS, (bits,)))) > 1:
+        raise TiffError(f"{bits} bits a sample, {w} x {h} pixels")
+    kind = np.dtype(f"u{bits // 8}")
+    tiled = TILE_OFFSETS in tags
+    tw, th = (page.tag(TILE_WIDTH), page.tag(TILE_HEIGHT)) if tiled else (w, min(h or 1, page.tag(ROWS_PER_STRIP, h) or h or 1))
+    offsets, counts = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, ())
+    planes = spp if page.tag(PLANAR, 1) == 2 else 1
+    inner, across, down = spp // planes, -(-w // tw), -(-h // th)
+    if len(offsets) != len(counts) or len(offsets) < planes * across * down:
+        raise TiffError("strips or tiles are missing")
+    pixels = np.zeros((h, w, spp), kind)
+    for k in range(planes * across * down):
+        plane, (row, col) = k // (across * down), divmod(k % (across * down), across)
+        y, x = row * th, col * tw
+        rows = th if tiled else min(th, h - y)
+        if offsets[k] + counts[k] > len(data):
+            raise TiffError("a strip or tile lies outside the file")
+        raw = _decompress(data[offsets[k] : offsets[k] + counts[k]], how, rows * tw * inner * kind.itemsize)
+        if predictor == 3:
+            flat = np.frombuffer(raw, np.uint8).reshape(rows, -1)
+            flat = np.cumsum(flat.reshape(rows, -1, inner), axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, -1)
+            part = np.ascontiguousarray(flat.transpose(0, 2, 1)).view(f">u{kind.itemsize}").reshape(rows, tw, inner)
+        else:
+            part = np.frombuffer(raw, kind.newbyteorder(order)).reshape(rows, tw, inner)
+            if predictor == 2:
+                part = np.cumsum(part, axis=1, dtype=kind)
+            elif predictor != 1:
+                raise TiffError(f"predictor {predictor}")
+        pixels[y : y + rows, x : x + tw, plane * inner : (plane + 1) * inner] = part[: h - y, : w - x]
+    page.pixels = pixels
+    return page
+
+
+def each_page(data: bytes):
+    """Each page of a file, or the TiffError of a page that can't be read; raises it where no further page is found."""
+    dirs = directories(data)
+    order = next(dirs)
+    for tags in dirs:
+        try:
+            page = tags if isinstance(tags, TiffError) else decode_page(data, order, tags)
+        except TiffError as e:
+            page = e
+        except (ValueError, TypeError, ArithmeticError, MemoryError) as e:  # sizes that make no sense
+            page = TiffError(f"{type(e).__name__}: {e}")
+        yield page
 
 
 def decode(data: bytes) -> list[Page]:
-    """All pages of a file."""
-    order, dirs = directories(data)
+    """All pages of a file; raises TiffError if one of them can't be read."""
     pages = []
-    for tags in dirs:
-        page = Page(tags)
-        w, h, spp = page.tag(WIDTH), page.tag(HEIGHT), page.tag(SAMPLES, 1)
-        bits, how, predictor = page.tag(BITS, 1), page.tag(COMPRESSION, 1), page.tag(PREDICTOR, 1)
-        if not w or h is None or bits not in (8, 16, 32) or len(set(tags.get(BITS, (bits,)))) > 1:
-            raise TiffError(f"{bits} bits a sample, {w} x {h} pixels")
-        kind = np.dtype(f"u{bits // 8}")
-        tiled = TILE_OFFSETS in tags
-        tw, th = (page.tag(TILE_WIDTH), page.tag(TILE_HEIGHT)) if tiled else (w, min(h or 1, page.tag(ROWS_PER_STRIP, h) or h or 1))
-        offsets, counts = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, ())
-        planes = spp if page.tag(PLANAR, 1) == 2 else 1
-        inner, across, down = spp // planes, -(-w // tw), -(-h // th)
-        if len(offsets) != len(counts) or len(offsets) < planes * across * down:
-            raise TiffError("strips or tiles are missing")
-        pixels = np.zeros((h, w, spp), kind)
-        for k in range(planes * across * down):
-            plane, (row, col) = k // (across * down), divmod(k % (across * down), across)
-            y, x = row * th, col * tw
-            rows = th if tiled else min(th, h - y)
-            if offsets[k] + counts[k] > len(data):
-                raise TiffError("a strip or tile lies outside the file")
-            raw = _decompress(data[offsets[k] : offsets[k] + counts[k]], how, rows * tw * inner * kind.itemsize)
-            if predictor == 3:
-                flat = np.frombuffer(raw, np.uint8).reshape(rows, -1)
-                flat = np.cumsum(flat.reshape(rows, -1, inner), axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, -1)
-                part = np.ascontiguousarray(flat.transpose(0, 2, 1)).view(f">u{kind.itemsize}").reshape(rows, tw, inner)
-            else:
-                part = np.frombuffer(raw, kind.newbyteorder(order)).reshape(rows, tw, inner)
-                if predictor == 2:
-                    part = np.cumsum(part, axis=1, dtype=kind)
-                elif predictor != 1:
-                    raise TiffError(f"predictor {predictor}")
-            pixels[y : y + rows, x : x + tw, plane * inner : (plane + 1) * inner] = part[: h - y, : w - x]
-        page.pixels = pixels
+    for page in each_page(data):
+        if isinstance(page, TiffError):
+            raise page
         pages.append(page)
     return pages
 
@@ -303,17 +327,20 @@ PAGES = "media_id bigint, page int, width int, height int, samples int, bits int
 def read_pages(df: DataFrame, id_col: str = "media_id", media_col: str = "media") -> DataFrame:
     """One row per page of each TIFF file: its directory's fields and its samples as bytes (big files: row by row, little-endian).
 
-    A file that can't be read gives one row with page null and the error; so do null and empty media.
+    A page that can't be read gives a row with its number and the error. A file that can't be read, or not to its
+    end, gives one row (after those of the pages found) with page null and the error; so do null and empty media.
     """
 
     def work(batch: pa.RecordBatch):
         kind = pa.schema([("media_id", pa.int64()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("pixels", pa.binary()), ("error", pa.string())])
         for key, media in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             blank = dict.fromkeys(kind.names) | {"media_id": key}
+            rows = []
             try:
-                rows = [blank | {"page": i, "width": p.tag(WIDTH), "height": p.tag(HEIGHT), "samples": p.tag(SAMPLES, 1), "bits": p.tag(BITS), "compression": p.tag(COMPRESSION, 1), "predictor": p.tag(PREDICTOR, 1), "pixels": p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes()} for i, p in enumerate(decode(media.as_py() or b""))]
+                for i, p in enumerate(each_page(media.as_py() or b"")):
+                    rows.append(blank | {"page": i} | ({"error": str(p)} if isinstance(p, TiffError) else {"width": p.tag(WIDTH), "height": p.tag(HEIGHT), "samples": p.tag(SAMPLES, 1), "bits": p.tag(BITS), "compression": p.tag(COMPRESSION, 1), "predictor": p.tag(PREDICTOR, 1), "pixels": p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes()}))
             except TiffError as e:
-                rows = [blank | {"error": str(e)}]
+                rows.append(blank | {"error": str(e)})
             yield pa.RecordBatch.from_pylist(rows or [blank | {"error": "no page"}], kind)
 
     return per_block(df.select(id_col, media_col), work, PAGES)

@@ -274,6 +274,32 @@ def test_tiff_pages_and_digests(spark, docs):
         assert tiff.decode(bytes(row["media"]))[0].pixels.tobytes() == tiff.payload_of(dict(docs)[row["doc_id"]])[1]
 
 
+def test_tiff_pages_beside_damaged_ones(spark):
+    whole = tiff.encode([np.full((3, 4), i, np.uint8) for i in range(4)], tiff.NONE)
+
+    def changed(damage):
+        data, at, link = bytearray(whole), 0, 4
+        for page in range(4):
+            at = struct.unpack_from("<I", data, link)[0]
+            n = struct.unpack_from("<H", data, at)[0]
+            for i in range(n):
+                field = at + 2 + 12 * i
+                if (page, struct.unpack_from("<H", data, field)[0]) in damage:
+                    struct.pack_into("<HII", data, field + 2, *damage[page, struct.unpack_from("<H", data, field)[0]])
+            link = at + 2 + 12 * n
+            if (page, "next") in damage:
+                struct.pack_into("<I", data, link, 10**6)
+                break
+        return bytes(data)
+
+    files = [changed({(1, tiff.BITS): (3, 1, 1), (2, tiff.COMPRESSION): (3, 1, 99)}), changed({(0, tiff.STRIP_OFFSETS): (4, 9, 10**6)}), changed({(1, tiff.SAMPLES): (3, 1, 0), (1, tiff.PLANAR): (3, 1, 2)}), changed({(1, "next"): ()})]
+    rows = tiff.read_pages(spark.createDataFrame(list(enumerate(files)), "media_id long, media binary")).collect()
+    assert {(r["media_id"], r["page"]) for r in rows if r["error"]} == {(0, 1), (0, 2), (1, 0), (2, 1), (3, None)}
+    good = {(r["media_id"], r["page"]): bytes(r["pixels"]) for r in rows if not r["error"]}
+    assert good == {(f, i): bytes([i]) * 12 for f, i in [(0, 0), (0, 3), (1, 1), (1, 2), (1, 3), (2, 0), (2, 2), (2, 3), (3, 0), (3, 1)]}
+    assert len(rows) == 15
+
+
 # Packing
 
 
