@@ -126,6 +126,18 @@ def roundtrip_modelled(spark, sf_dir):
     return stats.map_objects(objects, f, [("codec", "string", _STR), ("n_bytes", "bigint", _I64), ("sha256", "string", _STR)])
 
 
+@query("SELECT codec, object_id, n_bytes, sha256 FROM (" + _source_digests("documents", "doc_id", "text") + f"), (SELECT unnest({list(MODELLED)}) AS codec)")
+def roundtrip_modelled_documents(spark, sf_dir):
+    """Whole documents, in blocks, through the codecs of roundtrip_modelled, and back."""
+
+    def f(data: bytes) -> list[tuple]:
+        parts = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+        back = [(name, b"".join(decode(encode(p), len(p)) for p in parts)) for name, (encode, decode) in MODELLED.items()]
+        return [(name, len(b), hashlib.sha256(b).hexdigest()) for name, b in back]
+
+    return stats.map_objects(_documents(spark, sf_dir).repartition("object_id"), f, [("codec", "string", _STR), ("n_bytes", "bigint", _I64), ("sha256", "string", _STR)])
+
+
 def _container(version: int, backend: str):
     def f(spark, sf_dir):
         made = containers_of(_documents(spark, sf_dir), Search(Codec(backend, 3), tids=_LIGHT, version=version), BLOCK, version)

@@ -38,3 +38,8 @@ def test_rest_works_without_the_subpackage(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(x.startswith('op') for x in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert done.stdout.split() == [str(len(QUERIES)), "False"], done.stderr
+
+
+def test_modelled_codecs_take_whole_documents(spark):
+    rows = QUERIES["roundtrip_modelled_documents"](spark, SMALL).groupBy("codec").max("n_bytes").collect()
+    assert len(rows) == 3 and all(r[1] > 4096 for r in rows)  # more than a block
