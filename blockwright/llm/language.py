@@ -14,7 +14,7 @@ one with the shortest code.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +32,6 @@ _PIECE = 1 << 20
 GROUP = 4
 #: Bytes of tables that a worker holds; those of further groups are loaded anew for each batch.
 _HELD = 256 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
@@ -133,10 +132,10 @@ class Models:
 
 
 def has_letter(column: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Whether each text has a letter: an ASCII one by a table, else by Python's Unicode classes."""
+    """Whether each text has a letter: an ASCII one by a table, else a character of a Unicode category L."""
     found = tx.sums(_ASCII_LETTER[data].astype(np.int64), off) > 0
     for i in np.flatnonzero(~found & (np.diff(off) > 0)):
-        found[i] = bool(_LETTER.search(column[int(i)].as_py() or ""))
+        found[i] = any(unicodedata.category(c)[0] == "L" for c in column[int(i)].as_py() or "")
     return found
 
 

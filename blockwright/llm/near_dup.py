@@ -220,25 +220,16 @@ def _common(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(docs: DataFrame, idf) -> DataFrame:
-    """(doc_id, two hashes of the text's words, band keys); texts without words are told apart by their bytes and have no band."""
+    """(doc_id, the two halves of a digest of the text's words, band keys); texts without words are told apart by their bytes and have no band."""
 
     def work(batch: pa.RecordBatch):
         for lo, hi, data, off in tx.blocks(batch.column(1)):
             bag = Bag(data, off)
             bands = band_keys(bag, idf.value)
             n_words = bag.words.counts()
-            place = np.arange(len(bag.words.hash)) - np.repeat(bag.words.off[:-1], n_words)
-            run = []
-            for odd in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
-                h = tx.mix(bag.words.hash + (place.astype(np.uint64) + np.uint64(1)) * odd)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])
-                run.append(total[bag.words.off[1:]] - total[bag.words.off[:-1]])
-            for i in np.flatnonzero(n_words == 0):
-                raw = data[off[i] : off[i + 1]].astype(np.uint64)
-                for k, odd in enumerate((np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))):
-                    run[k][i] = tx.mix((raw + np.uint64(257)) * tx.mix((np.arange(len(raw), dtype=np.uint64) + np.uint64(1)) * odd)).sum(dtype=np.uint64) + np.uint64(len(raw))
+            same = bag.words.digests(data, off)
             kept = [row if n else [] for row, n in zip(bands.view(np.int64), n_words, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), pa.array(run[0].view(np.int64)), pa.array(run[1].view(np.int64)), pa.array(n_words, pa.int64()), pa.array(kept, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), pa.array(same[:, 0]), pa.array(same[:, 1]), pa.array(n_words, pa.int64()), pa.array(kept, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "size", "bands"])
 
     return per_block(docs.select("doc_id", "text"), work, "doc_id bigint, h1 bigint, h2 bigint, size bigint, bands array<bigint>")
 

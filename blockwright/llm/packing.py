@@ -49,8 +49,8 @@ class Patterns:
         return tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 4
 
 
-def pack_counts(counts: np.ndarray, capacity: int) -> Patterns:
-    """Best-two-fit over counts[length], lengths 1 to capacity."""
+def pack_counts(counts: np.ndarray, capacity: int, most: int | None = None) -> Patterns:
+    """Best-two-fit over counts[length], lengths 1 to capacity. most: how often a pattern is applied at once, at most."""
     left = counts.astype(np.int64).copy()
     places = np.arange(capacity + 1)
     bins = []
@@ -65,6 +65,7 @@ def pack_counts(counts: np.ndarray, capacity: int) -> Patterns:
             n = int(min(left[length] - need.get(length, 0), free // length))
             need[length] = need.get(length, 0) + n
             free -= n * length
+        greedy = dict(need)
         if free and need:
             smallest = min(need)
             rest = left.copy()
@@ -84,7 +85,9 @@ def pack_counts(counts: np.ndarray, capacity: int) -> Patterns:
                     for x in (int(first[k]), int(second[k])):
                         need[x] = need.get(x, 0) + 1
         need = {k: v for k, v in need.items() if v}
-        times = min(int(left[k]) // v for k, v in need.items())
+        # as long as the counts give the same greedy filling and the same replacement
+        times = min(int(left[k]) // v for part in (greedy, need) for k, v in part.items())
+        times = min(times, most or times)
         for k, v in need.items():
             left[k] -= times * v
         bins.append((times, sorted(need.items(), reverse=True)))

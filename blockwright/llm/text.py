@@ -2,12 +2,16 @@
 
 A word is a run of ``[0-9a-z]`` (after lower-casing A-Z) or of non-ASCII characters;
 in UTF-8 the latter are the bytes from 0x80, so the scan works on bytes.  Words are
-identified by 64-bit hashes, never by position, so a text gives the same hashes in
-every task.  Null texts count as empty.
+told apart by 64-bit hashes (sums of a random number for each byte at each place in the
+word), so a text gives the same hashes in every task.  Where whole texts must be told
+apart, ``digests`` gives 128 bits of a cryptographic hash of their words instead.  Null
+texts count as empty.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,23 +24,9 @@ _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
-_tables: list[np.ndarray] = []
 _MULT = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if not _tables or len(_tables[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        full = [np.full(size, p, np.uint64) for p in (_P, _PINV)]
-        for t in full:
-            t[0] = 1
-            np.cumprod(t, out=t)
-        _tables[:] = full
-    return _tables
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(30))
@@ -47,6 +37,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_PLACES = 32
+_TERMS = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * _MULT[5])
+
+
+def _terms(low: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A random number for each byte and its place in its word: from a table, later places by mixing."""
+    place = np.zeros(len(low), np.int32)
+    place[start] = start
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(len(low), dtype=np.int32), place, out=place)
+    out = _TERMS[np.minimum(place, _PLACES - 1) << 8 | low]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        out[far] = mix(mix(place[far].astype(np.uint64) * _MULT[6]) + low[far])
+    return out
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (n + 1) of a string or binary column, nulls as empty."""
     if column.null_count:
@@ -85,16 +92,32 @@ class Words:
         after[last[last > 0] - 1] = False
         self.start = np.flatnonzero(is_word & ~before)
         self.end = np.flatnonzero(is_word & ~after) + 1
-        power, inverse = _powers(n + 1)
         run = np.zeros(n + 1, np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:n], out=run[1:])
-        self.hash = mix((run[self.end] - run[self.start]) * inverse[self.start])
+        np.cumsum(_terms(low, self.start), out=run[1:])
+        self.hash = mix(run[self.end] - run[self.start])
         self.off = np.searchsorted(self.start, off)
         self.low = low
 
     def counts(self) -> np.ndarray:
         return np.diff(self.off)
 
+    def digests(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """(texts, 2) int64: BLAKE2b of each text's words, one space apart; of its bytes where it has none."""
+        is_word = _WORD[self.low]
+        keep = is_word.copy()
+        keep[1:] |= is_word[:-1]  # a word's bytes and the byte after it
+        starts = off[:-1][off[:-1] < len(data)]
+        keep[starts] = is_word[starts]
+        at = np.concatenate([[0], np.cumsum(keep)])[off].tolist()
+        flat = np.where(is_word, self.low, np.uint8(32))[keep].tobytes()
+        out = []
+        for i, n in enumerate(self.counts().tolist()):
+            if n:
+                out.append(hashlib.blake2b(flat[at[i] : at[i + 1]].rstrip(b" "), digest_size=16).digest())
+            else:
+                out.append(hashlib.blake2b(data[off[i] : off[i + 1]].tobytes(), digest_size=16, person=b"no words").digest())
+        return np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
+
 
 def shingles(words: np.ndarray, off: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word shingles and each text's offsets; a text of 1 to k - 1 words is one shingle."""

@@ -34,13 +34,34 @@ for _c in [9, 10, 13, *range(32, 127), *range(0xA1, 0xAD), *range(0xAE, 0x130),
         _KIND[_c] = _UNSAFE
 _QUOTE, _PIPE, _LESS = 0x27, 0x7C, 0x3C
 
+_P = 0x9E3779B97F4A7C15 | 1
+_PINV = pow(_P, -1, 1 << 64)
+_tables: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if not _tables or len(_tables[0]) < n:
+        size = max(n, tx.BLOCK_BYTES + 1)
+        full = [np.full(size, p, np.uint64) for p in (_P, _PINV)]
+        for t in full:
+            t[0] = 1
+            np.cumprod(t, out=t)
+        _tables[:] = full
+    return _tables
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... (n[i] of them) for each i."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
 
 class WordBpe:
     """Ids of whole texts by a word-level BPE tokenizer file, with a cache of the pieces it has seen.
 
     The file's tokenizer lower-cases, drops white space, and merges within pieces (letters, single numbers, other
-    characters, English contractions).  Pieces are found with numpy and looked up by hash; only unseen pieces go
-    to the tokenizer.  A text with a character outside the tables above, or with ``<|``, goes to it whole.
+    characters, English contractions).  Pieces are found with numpy and looked up by hash, and the characters of what
+    is found are compared; only unseen pieces go to the tokenizer.  A text with a character outside the tables above,
+    with ``<|``, or with a piece whose hash another piece has, goes to it whole.
     """
 
     ROOM = 1 << 20
@@ -56,9 +77,11 @@ class WordBpe:
         self.known = tx.Lookup(np.zeros(0, np.uint64), self.ROOM)
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.char_start, self.char_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.chars = np.zeros(0, np.uint16)
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        if len(self.known.keys) + len(hashes) > self.ROOM or len(self.flat) > 8 * self.ROOM:
+        if len(self.known.keys) + len(hashes) > self.ROOM or len(self.flat) > 8 * self.ROOM or len(self.chars) > 16 * self.ROOM:
             self._clear()
         sizes, ids = [], []
         for lo in range(0, len(pieces), 4096):
@@ -77,6 +100,21 @@ class WordBpe:
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, *ids])
+        size = np.array([len(p) for p in pieces], np.int64)
+        self.char_start = np.concatenate([self.char_start, len(self.chars) + np.cumsum(size) - size])
+        self.char_size = np.concatenate([self.char_size, size])
+        self.chars = np.concatenate([self.chars, np.frombuffer("".join(pieces).encode("utf-16-le"), np.uint16)])
+
+    def _others(self, place: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Pieces whose characters aren't those of the entry that their hash found."""
+        size = ends - starts
+        differ = self.char_size[place] != size
+        if differ.any():
+            size = np.where(differ, 0, size)
+        own = low[_ranges(starts, size)] != self.chars[_ranges(self.char_start[place], size)]
+        if own.any():
+            differ[np.repeat(np.arange(len(size)), size)[own]] = True
+        return np.flatnonzero(differ)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a block, offsets of each text's)."""
@@ -100,7 +138,7 @@ class WordBpe:
         starts = starts[:-1]
         piece = kind[starts] != _SPACE
         starts, ends = starts[piece], ends[piece]
-        power, inverse = tx._powers(len(chars) + 1)
+        power, inverse = _powers(len(chars) + 1)
         run = np.zeros(len(chars) + 1, np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[: len(chars)], out=run[1:])
         hashes = tx.mix((run[ends] - run[starts]) * inverse[starts])
@@ -120,6 +158,13 @@ class WordBpe:
             if len(self.known.keys) < room + len(first):  # the cache was cleared: this block's pieces are looked up anew
                 return self.encode(data, off)
             place = self.known(hashes)
+        clash = self._others(place, starts, ends, low)
+        if len(clash):
+            mixed = np.zeros(n, bool)
+            mixed[np.searchsorted(piece_off, clash, "right") - 1] = True
+            place = place[~np.repeat(mixed, np.diff(piece_off))]
+            piece_off = np.concatenate([[0], np.cumsum(np.where(mixed, 0, np.diff(piece_off)))])
+            unsafe |= mixed
         size = self.size[place]
         before = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.arange(before[-1]) + np.repeat(self.start[place] - before[:-1], size)]
