@@ -62,14 +62,31 @@ def allocate(lengths: np.ndarray, start: np.ndarray, end: np.ndarray, rule: str
     return np.bincount(section[order][first], minlength=n).astype(float), whole, crossing
 
 
+def apart(start: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, start, end): spans sorted, cut to 0 to n and made apart.
+
+    What an earlier span (by start, then by place in the array) holds is taken from later ones; a span that ends
+    before it starts is empty at its start.
+    """
+    start = np.clip(start, 0, n)
+    end = np.maximum(np.clip(end, 0, n), start)
+    order = np.argsort(start, kind="stable")
+    held = np.concatenate([[0], np.maximum.accumulate(end[order])])[:-1] if len(order) else np.zeros(0, np.int64)
+    start = np.maximum(start[order], held)
+    return order, start, np.maximum(end[order], start)
+
+
 SCHEMA = "doc_id bigint, section int, start bigint, end bigint, n_tokens double, n_inside bigint, n_crossing bigint, doc_tokens bigint"
 
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", sections_col: str | None = None, rule: str = "majority") -> DataFrame:
     """One row per section of each document: its character span and its tokens.
 
-    sections_col: array of structs (start, end) of character places, sorted and apart; by default the lines.
-    A null or empty text has one empty section (by default) without tokens; null sections: none.
+    sections_col: array of structs (start, end) of character places; by default the lines.  Sections keep their numbers
+    in the array.  Spans are cut to the text, and where spans overlap, the common part is the earlier's (see ``apart``);
+    the row gives what is left.  A null span, or one with a null start or end, is a row with null places and 0 tokens.
+    A null or empty text has one empty section (by default) without tokens; null sections, or an empty array: none.
+    Rows that share an id are documents of their own.  Other columns are not read.
     """
 
     def work(batch: pa.RecordBatch):
@@ -94,13 +111,23 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             if given is None:
                 start, end = line_sections(data)
             else:
-                spans = np.array([(s["start"], s["end"]) for s in given[i] or []], np.int64).reshape(-1, 2).clip(0, len(text))
+                spans = [None if s is None or s["start"] is None or s["end"] is None else (s["start"], s["end"]) for s in given[i] or []]
+                blank = np.array([s is None for s in spans], bool)
+                kept = np.array([s for s in spans if s is not None], np.int64).reshape(-1, 2)
                 place = np.arange(len(raw) + 1) if chars is None else np.append(np.flatnonzero((data & 0xC0) != 0x80), len(raw))
-                start, end = place[spans[:, 0]], place[spans[:, 1]]
+                order, start, end = apart(kept[:, 0], kept[:, 1], len(text))
+                order, start, end = np.flatnonzero(~blank)[order], place[start], place[end]
             lengths = bpe.length[bpe.ids(text)]
             got, whole, crossing = allocate(lengths, start, end, rule)
+            start, end = (start, end) if chars is None else (chars[start], chars[end])
             n = len(start)
-            cols = (np.full(n, key, object), np.arange(n), start if chars is None else chars[start], end if chars is None else chars[end], got, whole, crossing, np.full(n, len(lengths)))
+            if given is not None:
+                n = len(spans)
+                put = np.full((5, n), np.nan)  # places and numbers are exact in doubles
+                put[2:] = 0
+                put[:, order] = start, end, got, whole, crossing
+                start, end, got, whole, crossing = put
+            cols = (np.full(n, key, object), np.arange(n), start, end, got, whole, crossing, np.full(n, len(lengths)))
             for h, c in zip(held, cols, strict=True):
                 h.append(c)
             size += n

@@ -464,6 +464,44 @@ def test_token_counts(spark, docs):
     assert [(r["doc_id"], r["start"], r["end"]) for r in rows] == [(1, 0, 5), (1, 6, 9)]
 
 
+def test_token_counts_of_odd_spans(spark):
+    """Null, reversed, overlapping, unsorted and outlying spans, against the owner of each character."""
+    path = tk.tokenizer_path("byte_bpe_50k.tiktoken")
+    text = "one two three four, fünf und sechs"
+    cases = {
+        1: [(0, 4), (2, 5)],
+        2: [(2, 5), (0, 4), None, (None, 3), (3, None)],
+        3: [(9, 3), (0, 99), (-5, 2), (30, 40)],
+        4: [(0, 10), (0, 10), (4, 6), (5, 5)],
+        5: [],
+        6: None,
+        7: [(40, 50), None],
+    }
+    given = spark.createDataFrame([(k, text if k < 7 else None, v) for k, v in cases.items()], "doc_id long, text string, parts array<struct<start:int,end:int>>")
+    for rule in token_counts.RULES:
+        by = defaultdict(dict)
+        for r in token_counts.count_tokens(given, path, sections_col="parts", rule=rule).collect():
+            by[r["doc_id"]][r["section"]] = r
+        assert {k: len(v) for k, v in by.items()} == {k: len(v) for k, v in cases.items() if v}
+        for key, spans in cases.items():
+            own = text if key < 7 else ""
+            owner = [None] * len(own)
+            whole = [(k, s) for k, s in enumerate(spans or []) if s is not None and None not in s]
+            for k, (a, b) in sorted(whole, key=lambda x: max(0, x[1][0])):
+                for c in range(max(0, a), min(len(own), b)):
+                    owner[c] = k if owner[c] is None else owner[c]
+            for k, s in enumerate(spans or []):
+                row = by[key][k]
+                if s is None or None in s:
+                    assert (row["start"], row["end"], row["n_tokens"], row["n_inside"], row["n_crossing"]) == (None, None, 0, 0, 0)
+                else:
+                    assert 0 <= row["start"] <= row["end"] <= len(own) and row["end"] - row["start"] == owner.count(k)
+            total = sum(r["n_tokens"] for r in by[key].values())
+            assert total <= len(tk.byte_bpe(path).ids(own))
+            if key == 3 and rule != "start":
+                assert total == len(tk.byte_bpe(path).ids(own))
+
+
 # Decontamination
 
 
