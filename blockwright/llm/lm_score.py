@@ -2,17 +2,22 @@
 
 Tokens are ids of a public tokenizer, so both models share its vocabulary.  Both are of the form
 
-    p(w | v) = L c(v, w) / c(v) + (1 - L m(v)) p(w),   p(w) = (c(w) + 1) / (T + V)
+    p(w | v) = L c(v, w) / c(v) + (1 - L) p(w),   p(w) = (c(w) + 1) / (T + V)
 
-over the same kept bigrams: all that come at least LEAST times in the background; m(v) is the share
-of v's occurrences that kept bigrams cover.  The models grow with the corpus, so they are never
-broadcast nor brought to the driver; only counts of single words are, which the vocabulary bounds.
+(of a context without counts p(w) alone) over all bigrams of the background.  The models grow with
+the corpus, so they are never broadcast nor brought to the driver; only counts of single words are,
+which the vocabulary bounds.
 
 1. ``encode`` writes documents as blocks of about BLOCK_TOKENS tokens; each text is tokenized once.
-2. ``counts`` merges bigram counts in PARTS hashed ranges of keys, as packed arrays.
+2. ``counts`` merges bigram counts in hashed ranges of keys, as packed arrays; there are PARTS of
+   them, and twice as many for each doubling of the blocks above 16 PARTS, up to MOST_PARTS: a
+   vocabulary of 50,000 has at most 2.5 billion bigrams, so a range has at most 610,000.
 3. ``score`` sends each block's distinct bigrams to their ranges, which stream past the range's
    counts; the differences found go back to the block.  Ranges are dealt out to several tasks each
    when there are many blocks.
+
+The background holds the scored documents themselves, so differences are in-sample: a document that
+comes twice is told from one that comes once only by its own counts.
 """
 
 from __future__ import annotations
@@ -27,22 +32,29 @@ from pyspark.sql import functions as F
 
 from blockwright.llm import text as tx
 from blockwright.llm import tokens as tk
-from blockwright.llm.spark import stored, table
+from blockwright.llm.spark import dropped, stored, table
 
 WEIGHT = 0.7
-LEAST = 2
-PARTS = 256
+#: Fewest and most ranges of bigrams.
+PARTS, MOST_PARTS = 256, 4096
 BLOCK_TOKENS = 1 << 20
 #: Blocks whose requests one task of a range answers.
 BLOCKS_A_TASK = 4096
 #: Most ids of target documents (8 bytes each) that are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 1_000_000
+#: Blocks that a task of the last step holds one after the other, about.
+_FINISHED = 16
 _FLUSH = 1 << 22
 _BLOCK = "block bigint, ids array<bigint>, target array<boolean>, lengths array<bigint>, tokens binary"
 
 
-def _part(keys: np.ndarray) -> np.ndarray:
-    return (tx.mix(keys.astype(np.uint64)) >> np.uint64(56)).astype(np.int64)
+def parts_for(blocks: int) -> int:
+    """Ranges for so many blocks: a power of two."""
+    return min(MOST_PARTS, max(PARTS, 1 << (blocks // 16).bit_length()))
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (tx.mix(keys.astype(np.uint64)) >> np.uint64(65 - parts.bit_length())).astype(np.int64)
 
 
 def encode(rows: DataFrame, path: str) -> DataFrame:
@@ -83,16 +95,22 @@ def _keys(tokens: bytes, lengths: np.ndarray, size: int) -> np.ndarray:
     return before * (size + 1) + ids
 
 
-def _split(keys: np.ndarray):
+def _dealt(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """df by the columns, in n partitions if the session's number is too small for that."""
+    few = n <= 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(*columns) if few else df.repartition(n, *columns)
+
+
+def _split(keys: np.ndarray, parts: int):
     """(part, places of its keys), in order of parts, for those that have any."""
-    part = _part(keys)
+    part = _part(keys, parts)
     order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(PARTS + 1))
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(edges)).tolist():
         yield p, order[edges[p] : edges[p + 1]]
 
 
-def counts(blocks: DataFrame, size: int) -> DataFrame:
+def counts(blocks: DataFrame, size: int, parts: int = PARTS) -> DataFrame:
     """(part, keys, background, target): merged bigram counts, keys ascending, arrays of int64 as bytes."""
     names = ["part", "keys", "background", "target"]
 
@@ -109,7 +127,7 @@ def counts(blocks: DataFrame, size: int) -> DataFrame:
             keys = pairs[first]
             background = np.diff(np.append(first, len(pairs))).astype(np.uint32)
             target = np.add.reduceat(both & 1, first).astype(np.uint32)
-            rows = [(p, keys[own].tobytes(), background[own].tobytes(), target[own].tobytes()) for p, own in _split(keys)]
+            rows = [(p, keys[own].tobytes(), background[own].tobytes(), target[own].tobytes()) for p, own in _split(keys, parts)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=names)
 
         for batch in batches:
@@ -127,73 +145,71 @@ def counts(blocks: DataFrame, size: int) -> DataFrame:
     def merge(batches):
         held: dict[int, list] = {}
 
-        def joined(parts: list) -> list:
-            keys = np.concatenate([p[0] for p in parts])
+        def joined(given: list) -> list:
+            keys = np.concatenate([p[0] for p in given])
             keys, at = np.unique(keys, return_inverse=True)
             sums = [np.zeros(len(keys), np.int64) for _ in range(2)]
             for i in (0, 1):
-                np.add.at(sums[i], at, np.concatenate([p[i + 1] for p in parts]).astype(np.int64))
+                np.add.at(sums[i], at, np.concatenate([p[i + 1] for p in given]).astype(np.int64))
             return [(keys, *sums)]
 
         for batch in batches:
             for p, k, b, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                parts = held.setdefault(p, [])
-                parts.append((np.frombuffer(k, np.int64), np.frombuffer(b, np.uint32), np.frombuffer(t, np.uint32)))
-                if len(parts) > 16:
-                    held[p] = joined(parts)
-        for p, parts in held.items():
-            (keys, b, t), = joined(parts)
+                own = held.setdefault(p, [])
+                own.append((np.frombuffer(k, np.int64), np.frombuffer(b, np.uint32), np.frombuffer(t, np.uint32)))
+                if len(own) > 16:
+                    held[p] = joined(own)
+        for p, own in held.items():
+            (keys, b, t), = joined(own)
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (keys, b, t))], names=names)
 
     schema = "part int, keys binary, background binary, target binary"
-    return blocks.select("target", "lengths", "tokens").mapInArrow(count, schema).repartition(PARTS, "part").mapInArrow(merge, schema)
+    return blocks.select("target", "lengths", "tokens").mapInArrow(count, schema).repartition(parts, "part").mapInArrow(merge, schema)
 
 
 def _single(merged: DataFrame, size: int) -> np.ndarray:
-    """(3, 2, size + 1): counts of words, of contexts, and of contexts in kept bigrams; background and target."""
-    names = [f"x{i}" for i in range(6)]
+    """(2, 2, size + 1): counts of words and of contexts; background and target."""
+    names = [f"x{i}" for i in range(4)]
 
     def work(batches):
-        total = np.zeros((3, 2, size + 1), np.int64)
+        total = np.zeros((2, 2, size + 1), np.int64)
         for batch in batches:
             for k, *both in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 v, w = np.divmod(np.frombuffer(k, np.int64), size + 1)
-                both = [np.frombuffer(x, np.int64) for x in both]
-                kept = both[0] >= LEAST
-                for i, n in enumerate(both):
+                for i, n in enumerate(np.frombuffer(x, np.int64) for x in both):
                     np.add.at(total[0, i], w, n)
                     np.add.at(total[1, i], v, n)
-                    np.add.at(total[2, i], v[kept], n[kept])
         used = np.flatnonzero(total.any(axis=(0, 1)))
-        flat = total.reshape(6, -1)[:, used]
+        flat = total.reshape(4, -1)[:, used]
         yield pa.RecordBatch.from_arrays([pa.array(used), *map(pa.array, flat)], names=["word", *names])
 
     rows = merged.mapInArrow(work, ", ".join(f"{n} bigint" for n in ["word", *names]))
     got = rows.groupBy("word").agg(*(F.sum(n).alias(n) for n in names)).toPandas()  # at most a row for each word of the vocabulary
-    total = np.zeros((6, size + 1), np.int64)
+    total = np.zeros((4, size + 1), np.int64)
     total[:, got["word"].to_numpy(np.int64)] = got[names].to_numpy(np.int64).T
-    return total.reshape(3, 2, -1)
+    return total.reshape(2, 2, -1)
 
 
 @dataclass
 class Models:
-    """The vocabulary's size, counts of single words (see ``_single``), and the table of bigram counts."""
+    """The vocabulary's size, counts of single words (see ``_single``), and the table of bigram counts in its ranges."""
 
     size: int
     single: np.ndarray
     merged: DataFrame
+    parts: int = PARTS
 
     def logs(self) -> tuple[np.ndarray, np.ndarray]:
         """log2 of the backing-off weight of each context and of each word's share; rows: background, target."""
-        words, contexts, covered = self.single
-        bow = np.log2(1 - WEIGHT * covered / np.maximum(contexts, 1))
+        words, contexts = self.single
+        bow = np.where(contexts > 0, np.log2(1 - WEIGHT), 0.0)
         return bow, np.log2((words + 1) / (words.sum(axis=1, keepdims=True) + self.size + 1))
 
 
 def train_blocks(blocks: DataFrame, path: str) -> Models:
-    size = tk.byte_bpe(path).size
-    merged = stored(counts(blocks, size))
-    return Models(size, _single(merged, size), merged)
+    size, parts = tk.byte_bpe(path).size, parts_for(blocks.count())
+    merged = stored(counts(blocks, size, parts))
+    return Models(size, _single(merged, size), merged, parts)
 
 
 def _marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -204,21 +220,30 @@ def _marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, target_ids: DataFrame, path: str) -> Models:
-    """docs: (doc_id, text); target_ids: doc_id of the target documents. The background is all documents."""
-    return train_blocks(encode(_marked(docs, target_ids), path), path)
+    """docs: (doc_id, text); target_ids: doc_id of the target documents. The background is all documents.
+
+    Null and empty texts count nothing; null and repeated ids of the target mark nothing more.  Without any target
+    document its model has the shares (0 + 1) / (0 + V) of words alone.  The caller may drop ``merged`` when done.
+    """
+    blocks = encode(_marked(docs, target_ids), path)
+    model = train_blocks(blocks, path)
+    dropped(blocks)
+    return model
 
 
 def score_blocks(blocks: DataFrame, model: Models) -> DataFrame:
-    size, contexts = model.size, model.single[1]
+    """(doc_id, n_tokens, loss_difference) of ``encode``'s blocks, written; see ``score``."""
+    size, contexts, parts = model.size, model.single[1], model.parts
     bow, share = model.logs()
     shared = blocks.sparkSession.sparkContext.broadcast((contexts, bow, share))
-    salts = max(1, -(-blocks.count() // BLOCKS_A_TASK))
+    n = blocks.count()
+    salts = max(1, -(-n // BLOCKS_A_TASK))
 
     def ask(batches):
         for batch in batches:
             for block, lengths, tokens in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 keys = np.unique(_keys(tokens, np.array(lengths, np.int64), size))
-                rows = [(block, p, keys[own].tobytes()) for p, own in _split(keys)]
+                rows = [(block, p, keys[own].tobytes()) for p, own in _split(keys, parts)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "part", "keys"])
 
@@ -232,10 +257,9 @@ def score_blocks(blocks: DataFrame, model: Models) -> DataFrame:
                 part, salt, block, keys = part.as_py(), salt.as_py(), block.as_py(), np.frombuffer(keys.as_py(), np.int64)
                 if block < 0:
                     counted = np.stack([np.frombuffer(x.as_py(), np.int64) for x in (b, t)])
-                    kept = counted[0] >= LEAST
-                    of, known = (part, salt), keys[kept]
+                    of, known = (part, salt), keys
                     v, w = np.divmod(known, size + 1)
-                    logs = [np.log2(WEIGHT * counted[i, kept] / np.maximum(contexts[i, v], 1) + np.exp2(bow[i, v] + share[i, w])) for i in (0, 1)]
+                    logs = [np.log2(WEIGHT * counted[i] / np.maximum(contexts[i, v], 1) + np.exp2(bow[i, v] + share[i, w])) for i in (0, 1)]
                     found = np.append(logs[0] - logs[1], np.nan).astype(np.float32)
                 elif of != (part, salt) or not len(known):
                     out.append((block, part, np.full(len(keys), np.nan, np.float32).tobytes()))
@@ -260,7 +284,7 @@ def score_blocks(blocks: DataFrame, model: Models) -> DataFrame:
                 keys, at = np.unique(_keys(tokens.as_py(), lengths, size), return_inverse=True)
                 v, w = np.divmod(keys, size + 1)
                 per_key = a[v] + b[w]
-                for (_, own), values in zip(_split(keys), answers, strict=True):
+                for (_, own), values in zip(_split(keys, parts), answers, strict=True):
                     per_key[own] = np.where(np.isnan(values), per_key[own], values)
                 answers = []
                 mean = np.full(len(lengths), np.nan)
@@ -273,19 +297,26 @@ def score_blocks(blocks: DataFrame, model: Models) -> DataFrame:
     asked = blocks.select("block", "lengths", "tokens").mapInArrow(ask, "block bigint, part int, keys binary")
     asked = asked.select("part", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), "block", "keys", none.cast("binary").alias("background"), none.cast("binary").alias("target"))
     known = model.merged.select("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(-1).cast("bigint").alias("block"), "keys", "background", "target")
-    answers = asked.unionByName(known).repartition("part", "salt").sortWithinPartitions("part", "salt", "block").mapInArrow(answer, "block bigint, part int, found binary")
+    answers = _dealt(asked.unionByName(known), parts * salts, "part", "salt").sortWithinPartitions("part", "salt", "block").mapInArrow(answer, "block bigint, part int, found binary")
     answers = answers.select("block", "part", "found", none.cast("array<bigint>").alias("ids"), none.cast("array<bigint>").alias("lengths"), none.cast("binary").alias("tokens"))
-    whole = blocks.select("block", F.lit(PARTS).alias("part"), none.cast("binary").alias("found"), "ids", "lengths", "tokens")
-    both = answers.unionByName(whole).repartition("block").sortWithinPartitions("block", "part")
-    return both.mapInArrow(finish, "doc_id bigint, n_tokens bigint, loss_difference double")
+    whole = blocks.select("block", F.lit(parts).alias("part"), none.cast("binary").alias("found"), "ids", "lengths", "tokens")
+    both = _dealt(answers.unionByName(whole), -(-n // _FINISHED), "block").sortWithinPartitions("block", "part")
+    out = stored(both.mapInArrow(finish, "doc_id bigint, n_tokens bigint, loss_difference double"))
+    shared.destroy()
+    return out
 
 
 def score(df: DataFrame, model: Models, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, loss_difference): bits a token that the target model loses over the background model.
 
-    Lower is more like the target.  Texts without tokens (null, empty): 0 tokens and a null difference.
+    Lower is more like the target.  Texts without tokens (null, empty): 0 tokens and a null difference.  Bigrams
+    that the background lacks are scored by the share of their second word.  Rows that share an id are documents of
+    their own.  Other columns are not read.
     """
-    return score_blocks(encode(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(False).alias("target")), path), model)
+    blocks = encode(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(False).alias("target")), path)
+    out = score_blocks(blocks, model)
+    dropped(blocks)
+    return out
 
 
 def op5_lm_score(spark, sf_dir: str) -> DataFrame:
@@ -293,4 +324,7 @@ def op5_lm_score(spark, sf_dir: str) -> DataFrame:
     path = tk.tokenizer_path("byte_bpe_50k.tiktoken")
     good = table(spark, sf_dir, "labels").filter((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
     blocks = encode(_marked(table(spark, sf_dir, "documents"), good), path)
-    return score_blocks(blocks, train_blocks(blocks, path))
+    model = train_blocks(blocks, path)
+    out = score_blocks(blocks, model)
+    dropped(blocks, model.merged)
+    return out

@@ -389,7 +389,17 @@ def test_word_bpe_against_its_library():
 # Language models
 
 
-def test_loss_differences(spark):
+def test_ranges_grow_with_the_blocks():
+    assert [lm_score.parts_for(n) for n in (0, 1, 4000, 4096, 7500, 16000, 10**9)] == [256, 256, 256, 512, 512, 1024, 4096]
+    keys = np.arange(10**5) * 977
+    for parts in (256, 1024):
+        got = dict(lm_score._split(keys, parts))
+        assert len(got) == parts and sorted(np.concatenate(list(got.values())).tolist()) == list(range(10**5))
+
+
+@pytest.mark.parametrize("parts", [256, 512])
+def test_loss_differences(spark, monkeypatch, parts):
+    monkeypatch.setattr(lm_score, "PARTS", parts)
     path = tk.tokenizer_path("byte_bpe_50k.tiktoken")
     bpe = tk.byte_bpe(path)
     texts = ["the cat sat on the mat"] * 3 + ["a dog and the cat"] * 2 + ["numbers 1 2 3", "", None]
@@ -402,14 +412,11 @@ def test_loss_differences(spark):
     for part in (range(len(texts)), good):
         pairs = Counter(p for i in part for p in zip(ids[i], ids[i][1:], strict=False))
         both.append((pairs, Counter(p[0] for p in pairs.elements()), Counter(p[1] for p in pairs.elements())))
-    kept = {p for p, n in both[0][0].items() if n >= 2}
-
     def prob(k, v, w):
         pairs, contexts, words = both[k]
         p1 = (words[w] + 1) / (words.total() + size)
         c = contexts[v]
-        m = sum(pairs[p] for p in kept if p[0] == v) / c if c else 0
-        return lm_score.WEIGHT * (pairs[v, w] / c if c and (v, w) in kept else 0) + (1 - lm_score.WEIGHT * m) * p1
+        return lm_score.WEIGHT * pairs[v, w] / c + (1 - lm_score.WEIGHT) * p1 if c else p1
 
     rows = {r["doc_id"]: r for r in lm_score.score(frame, model, path).collect()}
     for i, own in enumerate(ids):
