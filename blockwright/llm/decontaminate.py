@@ -1,11 +1,18 @@
-"""Benchmark decontamination: exact containment search over an index of the items' shingles.
-
-An item of n distinct shingles is in a document if that holds at least `least` of them, in any
-places.  Then at most n - ceil(least n) are missing, so the document holds one of any
-n - ceil(least n) + 1 of them: each item is listed under that many, those that the fewest items
-have.  A document that holds one of them is a candidate for the item, and a candidate is verified
-by counting all of the item's distinct shingles in the whole document.  So nothing is missed,
-however often an item repeats itself and wherever its shingles stand.
+"""Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
+
+An item of n distinct shingles is in a document if that holds at least ``least`` of them, in any
+places.  Items are partitioned by n; the items of a partition have MinHash sketches of one size: the
+shingles of the smallest values under a hash weighted by rarity, so that those which many items share
+are seldom among them.  A document that holds ceil(least n) of an item's n shingles lacks at most
+n - ceil(least n), so it holds one of any n - ceil(least n) + 1 of them: a partition's sketches are
+that long for its largest item.  A document that holds a shingle of an item's sketch is a candidate
+for it, and candidates are verified by counting all of the item's distinct shingles in the whole
+document.  So nothing is missed, however often an item repeats itself and wherever its shingles
+stand.  (Estimates of containment from sketches of long documents would miss: short items are a tiny
+part of them.)
+
+The sketches and shingles of all items are built once, on the driver, in parts of bounded size that
+are broadcast; tasks go over the documents once, whatever the number of parts.
 """
 
 from __future__ import annotations
@@ -20,8 +27,14 @@ from blockwright.llm.spark import per_block, table
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: Most bytes of item texts that are broadcast at once; more items take more passes over the documents.
-ITEM_BYTES = 32 << 20
+#: Most bytes of item texts in a part; a part's arrays take about five times as much.
+ITEM_BYTES = 8 << 20
+#: Bytes of parts that a worker holds; further ones are loaded anew for each batch.
+_HELD = 256 << 20
+#: Bytes of text that a part goes over at a time.
+_GROUP = 8 << 20
+#: Partitions for each doubling of the number of an item's shingles.
+_STEPS = 4
 
 #: Shingles of candidates that are counted at once.
 _COUNTED = 1 << 20
@@ -33,19 +46,31 @@ def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Items of one shingle length, listed under their rarest shingles."""
+    """Items of one shingle length, listed under the shingles of their sketches."""
 
     def __init__(self, k: int, keys: list, sets: list[np.ndarray], least: float) -> None:
         self.k, self.keys = k, keys
         self.size = np.array([len(x) for x in sets])
         self.need = np.maximum(1, np.ceil(least * self.size)).astype(np.int64)
-        values, self.own, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        self.lookup, self.off = tx.Lookup(values), np.append(0, np.cumsum(self.size))
+        values, own, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.lookup, self.off, self.own = tx.Lookup(values), np.append(0, np.cumsum(self.size)), own.astype(np.int32)
         who = np.repeat(np.arange(len(sets)), self.size)
-        order = np.lexsort((self.own, many[self.own], who))
-        listed = order[np.arange(len(who)) - self.off[who] <= (self.size - self.need)[who]]
-        listed = listed[np.argsort(self.own[listed], kind="stable")]
-        self.items, self.first = who[listed], np.searchsorted(self.own[listed], np.arange(len(values) + 1))
+        # a shingle that m items have is drawn at the rate 1 / m^2
+        drawn = -np.log1p(-(tx.mix(values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53) * many.astype(float) ** 2
+        order = np.lexsort((own, drawn[own], who))
+        listed = order[np.arange(len(who)) - self.off[who] < self.sketch_sizes()[who]]
+        listed = listed[np.argsort(own[listed], kind="stable")]
+        self.items, self.first = who[listed].astype(np.int32), np.searchsorted(own[listed], np.arange(len(values) + 1)).astype(np.int32)
+
+    def sketch_sizes(self) -> np.ndarray:
+        """For each item the length of its partition's sketches: what the partition's largest item needs."""
+        part = np.floor(_STEPS * np.log2(self.size)).astype(np.int64)
+        longest = np.zeros(part.max() + 1, np.int64)
+        np.maximum.at(longest, part, self.size - self.need + 1)
+        return longest[part]
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.lookup.keys, self.lookup.slots, self.off, self.own, self.items, self.first, self.size, self.need))
 
     def found(self, s: np.ndarray, off: np.ndarray):
         """Documents, items and numbers of shingles in common, for the pairs that have as many as they need; in order."""
@@ -81,75 +106,87 @@ def build(ids: list, texts: pa.Array, least: float) -> list[Index]:
     return out
 
 
-def hits(indexes: list[Index], data: np.ndarray, off: np.ndarray):
-    """(document, item id, shingles in common, of the item) in a block."""
-    words = tx.Words(data, off)
-    for index in indexes:
-        s, s_off = tx.shingles(words.hash, words.off, index.k)
-        short = np.diff(words.off) < index.k  # a text of fewer words than the item has none of its shingles
-        if not len(s):
-            continue
-        for doc, item, common in zip(*(x.tolist() for x in index.found(s, s_off)), strict=True):
-            if not short[doc]:
-                yield doc, index.keys[item], common, int(index.size[item])
-
-
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
-    """Items in blocks that are small enough to broadcast, by a hash of their ids."""
-    rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    size = rows.agg(F.coalesce(F.sum(F.length(F.col("text").cast("binary"))), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, -(-size // ITEM_BYTES))
-    return [rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [rows]
-
-
-def _load(block: DataFrame):
-    got = block.orderBy("item_id", "text").toArrow()
-    return got.column("item_id").to_pylist(), got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
+class Items:
+    """Broadcast indexes of all items, in parts."""
+
+    def __init__(self, items: DataFrame, id_col: str, text_col: str, least: float) -> None:
+        rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+        size = rows.agg(F.coalesce(F.sum(F.length(F.col("text").cast("binary"))), F.lit(0)).alias("n")).first()["n"]
+        n = max(1, -(-size // ITEM_BYTES))
+        self.parts = []
+        for i in range(n):
+            block = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else rows
+            got = block.orderBy("item_id", "text").toArrow()
+            texts = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
+            self.parts.append(items.sparkSession.sparkContext.broadcast(build(got.column("item_id").to_pylist(), texts, least)))
+
+    def hits(self, column: pa.Array):
+        """(first row, last row + 1, [(document, item id, shingles in common, of the item)]) of blocks of a text column.
+
+        With several parts, each goes over a group of blocks at a time.
+        """
+        group, size = [], 0
+        for lo, hi, data, off in tx.blocks(column):
+            group.append((lo, hi, tx.Words(data, off), {}, []))
+            size += len(data)
+            if len(self.parts) == 1 or size > _GROUP:
+                yield from self._search(group)
+                group, size = [], 0
+        yield from self._search(group)
+
+    def _search(self, group: list):
+        room = _HELD
+        for part in self.parts if group else []:
+            indexes = part.value
+            for _, _, words, made, rows in group:
+                for index in indexes:
+                    if index.k not in made:
+                        made[index.k] = tx.shingles(words.hash, words.off, index.k)
+                    rows += _matches(index, words, *made[index.k])
+            room -= sum(x.nbytes() for x in indexes)
+            if room < 0:
+                vars(part).pop("_value", None)
+        for lo, hi, _, _, rows in group:
+            yield lo, hi, rows
+
+
+def _matches(index: Index, words: tx.Words, s: np.ndarray, s_off: np.ndarray) -> list[tuple]:
+    if not len(s):
+        return []
+    short = np.diff(words.off) < index.k  # a text of fewer words than the item has none of its shingles
+    return [(doc, index.keys[item], common, int(index.size[item])) for doc, item, common in zip(*(x.tolist() for x in index.found(s, s_off)), strict=True) if not short[doc]]
 
 
 def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", least: float = CONTAINMENT) -> DataFrame:
     """One row for each document and item with at least ``least`` of the item's distinct shingles in the document.
 
     An item of 1 to 4 words is one shingle of its own length.  Items and documents that are null or without
-    words match nothing.  Repeated rows of either side give repeated rows.
+    words match nothing.  Repeated rows of either side give repeated rows.  Empty tables give none.  Only the
+    named columns are read.
     """
-    schema = "doc_id bigint, item_id bigint, n_common bigint, n_item bigint, containment double"
-    out = None
-    for block in item_blocks(items, item_id_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(_load(block))
-        held: list = []
-
-        def work(batch: pa.RecordBatch, shared=shared, held=held):
-            if not held:
-                held.append(build(*shared.value, least))
-            for lo, _, data, off in tx.blocks(batch.column(1)):
-                rows = list(hits(held[0], data, off))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([lo + r[0] for r in rows])).cast(pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[2] / r[3] for r in rows], pa.float64())], names=["doc_id", "item_id", "n_common", "n_item", "containment"])
-
-        got = per_block(docs.select(id_col, text_col), work, schema)
-        out = got if out is None else out.unionByName(got)
-    return out
+    shared = Items(items, item_id_col, item_text_col, least)
+    names = ["doc_id", "item_id", "n_common", "n_item", "containment"]
+
+    def work(batch: pa.RecordBatch):
+        for lo, _, rows in shared.hits(batch.column(1)):
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([lo + r[0] for r in rows])).cast(pa.int64()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)), pa.array([r[2] / r[3] for r in rows], pa.float64())], names=names)
+
+    return per_block(docs.select(id_col, text_col), work, "doc_id bigint, item_id bigint, n_common bigint, n_item bigint, containment double")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", least: float = CONTAINMENT) -> DataFrame:
-    """The rows (all columns) of docs that contain no item."""
+    """The rows (all columns) of docs that contain no item; null texts and texts without words contain none."""
     at = docs.columns.index(text_col)
-    out = docs
-    for block in item_blocks(items, "item_id", "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(_load(block))
-        held: list = []
-
-        def work(batch: pa.RecordBatch, shared=shared, held=held):
-            if not held:
-                held.append(build(*shared.value, least))
-            for lo, hi, data, off in tx.blocks(batch.column(at)):
-                keep = np.ones(hi - lo, bool)
-                keep[[r[0] for r in hits(held[0], data, off)]] = False
-                yield batch.slice(lo, hi - lo).filter(pa.array(keep))
-
-        out = per_block(out, work, docs.schema)
-    return out
+    shared = Items(items, "item_id", "text", least)
+
+    def work(batch: pa.RecordBatch):
+        for lo, hi, rows in shared.hits(batch.column(at)):
+            keep = np.ones(hi - lo, bool)
+            keep[[r[0] for r in rows]] = False
+            yield batch.slice(lo, hi - lo).filter(pa.array(keep))
+
+    return per_block(docs, work, docs.schema)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

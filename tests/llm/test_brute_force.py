@@ -565,9 +565,30 @@ def test_items_in_blocks(spark, monkeypatch, docs):
     frame, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     whole = sorted(map(tuple, decontaminate.find_contained(frame, items).collect()))
     monkeypatch.setattr(decontaminate, "ITEM_BYTES", 3000)
+    shared = decontaminate.Items(items, "item_id", "text", 0.8)
+    assert len(shared.parts) > 1
+    for held in (decontaminate._HELD, 0):
+        monkeypatch.setattr(decontaminate, "_HELD", held)
+        rows = [r for lo, hi, found in shared.hits(pa.array([t for _, t in docs])) for r in found]
+        assert len(rows) == len(whole)
     assert sorted(map(tuple, decontaminate.find_contained(frame, items).collect())) == whole and whole
 
 
+def test_sketches_are_as_long_as_their_partition_needs():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64)) for n in (1, 1, 4, 9, 10, 11, 40, 41, 300)]
+    index = decontaminate.Index(5, list(range(len(sets))), sets, 0.8)
+    sizes = index.sketch_sizes()
+    assert sizes.tolist() == [1, 1, 1, 2, 3, 3, 9, 9, 61]
+    listed = [set() for _ in sets]
+    for shingle in range(len(index.lookup.keys)):
+        for item in index.items[index.first[shingle] : index.first[shingle + 1]]:
+            listed[item].add(shingle)
+    for item, own in enumerate(listed):
+        have = set(index.own[index.off[item] : index.off[item + 1]].tolist())
+        assert own <= have and len(own) == min(sizes[item], len(have)) and len(have) - len(own) < index.need[item]
+
+
 # Language ID
 
 
