@@ -718,16 +718,23 @@ def test_quality_accuracy(spark):
 # Chats
 
 
-def test_pairs_against_sql(spark):
+@pytest.mark.parametrize("hot", [1024, 8])
+def test_pairs_against_sql(spark, monkeypatch, hot):
     import duckdb
 
+    monkeypatch.setattr(chat, "HOT", hot)
+
     rng = random.Random(12)
     rows = []
     for conv in range(120):
         for turn in range(rng.randint(1, 6)):
             text = rng.choice(["hi", "hello", "", None, "long\ntext é"]) if rng.random() < 0.7 else f"t{rng.random()}"
             rows.append((conv, turn, rng.choice(["user", "assistant", "system", None]) if turn else "user", text))
-    rows += [(200 + i, t, r, x) for i in range(60) for t, r, x in ((0, "user", "q"), (1, "assistant", "a"))] + rows[:3] + [(None, 0, "user", "x"), (300, None, "user", "no turn")]
+    rows += [(200 + i, t, r, x) for i in range(60) for t, r, x in ((0, "user", "q"), (1, "assistant", "a"))] + rows[:3]
+    rows += [(400 + i, t, r, x) for i, turns in enumerate(((("user", "a"), ("user", None), ("assistant", "yes")), (("user", "a"), ("user", ""), ("assistant", "no"), ("user", "why"), ("assistant", "so")), (("user", "a"), (None, None), ("assistant", "yes")))) for t, (r, x) in enumerate(turns)]
+    rows[-2] = (402, 1, "user", "")
+    rows += [(2000 + i, t, r, x) for i, (q, a) in enumerate((("q1", "same"), ("q2", "same"), ("q3", "other"), ("q4", None))) for t, r, x in ((0, "user", q), (1, "assistant", a), (2, "user", "bye"))]
+    rows += [(9000, 0, "user", "nobody near"), (9000, 1, "assistant", "x"), (None, 0, "user", "x"), (300, None, "user", "no turn")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = chat.format_pairs(chat.branch_pairs(frame)).toPandas()
     con = duckdb.connect()
@@ -738,8 +745,12 @@ def test_pairs_against_sql(spark):
     assert show(got) == show(want)
     plan = chat.format_pairs(chat.branch_pairs(frame))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
-    row = got[got.rejected_id == 201].iloc[0]
-    assert (row["kind"], row["n_prefix"], row["chosen"], row["rejected"]) == ("branch", 2, "", "")
+    assert not len(got[got.rejected_id == 201]) and ((got.chosen != "") | (got.rejected != "")).all()  # equal conversations are no pair
+    row = got[got.rejected_id == 401].iloc[0]
+    assert (row["kind"], row["chosen_id"], row["n_prefix"]) == ("branch", 400, 2)
+    assert (row["chosen"], row["rejected"]) == ("<|assistant|>\nyes<|end|>\n", "<|assistant|>\nno<|end|>\n<|user|>\nwhy<|end|>\n<|assistant|>\nso<|end|>\n")
+    assert (row["chosen_mask"], row["rejected_mask"]) == ("14:25", "14:24,58:68")
+    assert not len(got[got.rejected_id == 402]) and set(got.kind) == {"branch", "swapped"}
     for mask, body in zip(got.chosen_mask, got.chosen, strict=True):
         for span in filter(None, mask.split(",")):
             a, b = map(int, span.split(":"))

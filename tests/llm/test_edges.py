@@ -92,7 +92,10 @@ def test_chat_edges(spark):
     assert chat.format_pairs(chat.branch_pairs(empty)).count() == 0
     rows = [(1, 0, None, None, "x", 1), (2, 0, "user", LONG, None, None), (2, 0, "user", LONG, None, None), (None, 1, "user", "y", None, None)]
     got = chat.format_pairs(chat.branch_pairs(spark.createDataFrame(rows, schema))).collect()
-    assert {r["rejected_id"]: r["n_prefix"] for r in got} == {1: 1, 2: 2}
+    assert got == []  # no reply, nothing to prefer
+    rows += [(4, 0, "user", None, None, 1), (4, 1, "assistant", None, None, 1), (5, 0, "user", "", None, 1), (5, 1, "assistant", LONG, None, 1), (5, 1, "assistant", LONG, None, 1)]
+    got = chat.format_pairs(chat.branch_pairs(spark.createDataFrame(rows, schema))).collect()
+    assert {(r["kind"], r["chosen_id"], r["rejected_id"], r["n_prefix"]) for r in got} == {("swapped", 4, 5, 1), ("swapped", 5, 4, 2)}
 
 
 def test_pipeline(spark):
