@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from blockwright.llm import text as tx
 from blockwright.llm.spark import dropped, per_block, stored, table
@@ -32,8 +33,11 @@ SHARE = 0.001
 #: IDF goes from 1 (in all documents) to 1 + SLOPE: near copies of a text that a third of all rows
 #: hold must stay similar although the shingles they share are common and those they don't are rare.
 SLOPE = 0.25
-CELLS_LOG2 = 20
-RANGES = 64
+#: Cells of the sketch at first, and at most, as powers of two; and cells that one task merges.
+CELLS_LOG2, MOST_CELLS_LOG2 = 20, 26
+RANGE = 4096
+#: Followers of a representative that one task takes, about, and most representatives whose followers are dealt to several.
+HOT, MOST_HOT = 2048, 10_000
 
 _ODD = tx.mix(np.arange(101, 101 + BANDS * R, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -163,36 +167,54 @@ def band_keys(bag: Bag, idf: Idf) -> np.ndarray:
     return out
 
 
-def _common(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in at least SHARE (and two) of the documents, with exact document frequencies."""
-    least = max(2, int(np.ceil(SHARE * n_docs)))
-    cells, shift = 1 << CELLS_LOG2, np.uint64(44 - CELLS_LOG2)
-    per_range = cells // RANGES
+def _cells(docs: DataFrame, bits: int, least: int) -> tuple[np.ndarray, int]:
+    """Which of 2^bits cells of a count sketch of all documents' distinct shingles hold at least ``least``, and how many there are in all.
+
+    A task holds 2^bits counts, and merges those of RANGE cells.
+    """
+    cells, shift = 1 << bits, np.uint64(44 - bits)
+    ranges = cells // RANGE
 
     def sketch(batches):
         total = np.zeros(cells, np.int64)
         for batch in batches:
             for _, _, data, off in tx.blocks(batch.column(0)):
                 total += np.bincount((Bag(data, off).hash >> shift).astype(np.int64), minlength=cells)
-        for k in range(RANGES):
-            part = total[k * per_range : (k + 1) * per_range]
+        rows = []
+        for k in range(ranges):
+            part = total[k * RANGE : (k + 1) * RANGE]
             at = np.flatnonzero(part)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([part[at].astype(np.uint32).tobytes()], pa.binary())], names=["part", "cell", "n"])
+                rows.append((k, at.astype(np.uint16).tobytes(), part[at].astype(np.uint32).tobytes()))
+        for lo in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 64], strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "cell", "n"])
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, cell, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                held.setdefault(k, np.zeros(per_range, np.int64))[np.frombuffer(cell, np.uint16)] += np.frombuffer(n, np.uint32)
+                held.setdefault(k, np.zeros(RANGE, np.int64))[np.frombuffer(cell, np.uint16)] += np.frombuffer(n, np.uint32)
         for k, total in held.items():
-            at = np.flatnonzero(total >= least) + k * per_range
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32))], names=["cell"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(total.sum())]), pa.array([(np.flatnonzero(total >= least) + k * RANGE).astype(np.int32)], pa.list_(pa.int32()))], names=["n", "cells"])
 
-    texts = docs.select("text")
-    parts = texts.mapInArrow(sketch, "part int, cell binary, n binary").repartition(RANGES, "part")
+    parts = docs.select("text").mapInArrow(sketch, "part int, cell binary, n binary").repartition(ranges, "part")
+    got = parts.mapInArrow(merge, "n bigint, cells array<int>").toArrow()  # a row for each range; at most one in SHARE cells and texts is full
     may = np.zeros(cells, bool)
-    may[parts.mapInArrow(merge, "cell int").toPandas()["cell"].to_numpy(np.int64)] = True
+    for full in got.column("cells").to_pylist():
+        may[full] = True
+    return may, sum(got.column("n").to_pylist())
+
+
+def _common(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in at least SHARE (and two) of the documents, with exact document frequencies."""
+    least = max(2, int(np.ceil(SHARE * n_docs)))
+    bits = CELLS_LOG2
+    may, total = _cells(docs, bits, least)
+    need = int(8 * total / least - 1).bit_length()  # long texts: rare shingles together must not fill a cell
+    if total and bits < need:
+        bits = min(need, MOST_CELLS_LOG2)
+        may, total = _cells(docs, bits, least)
+    shift, texts = np.uint64(44 - bits), docs.select("text")
     shared = docs.sparkSession.sparkContext.broadcast(may)
 
     def count(batches):
@@ -243,9 +265,15 @@ def _bag(texts: list[str]) -> Bag:
     return Bag(data, off)
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """Those pairs (a, b) whose texts are similar enough."""
-    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+def _linked(pairs: DataFrame, texts: DataFrame, idf, most: int) -> DataFrame:
+    """Those of at most ``most`` pairs (a, b) whose texts are similar enough. Pairs of an a with many b are dealt out by salts."""
+    followers = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    least = max(HOT, -(-most // MOST_HOT))
+    hot = F.broadcast(followers.filter(F.col("n") > least).select("a", F.ceil(F.col("n") / HOT).cast("int").alias("salts")))  # fewer than MOST_HOT rows
+    salts = F.coalesce("salts", F.lit(1))
+    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(hot, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int"))
+    reps = pairs.select("a").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(hot, "a", "left")
+    rows = rows.join(reps.select("a", "text_a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")), ["a", "salt"])
 
     def work(batch: pa.RecordBatch):
         lo = 0
@@ -346,7 +374,7 @@ def _flat(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(doc, comp): the smallest node of each node's component. edges: (a, b) with a < b; nodes without edges are left out.
+    """(doc, comp), stored: the smallest node of each node's component. edges: (a, b) with a < b; nodes without edges are left out.
 
     Rounds of large and small stars, until all components are stars; each ends in a stored table of at most as
     many rows as there were edges.
@@ -361,7 +389,9 @@ def components(edges: DataFrame) -> DataFrame:
         new = stored(small.select(F.inline(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b"))))).filter(F.col("a") < F.col("b")).distinct())
         dropped(now)
         now = new
-    return now.select(F.col("b").alias("doc"), F.col("a").alias("comp")).unionByName(now.select(F.col("a").alias("doc"), F.col("a").alias("comp")).distinct())
+    out = stored(now.select(F.col("b").alias("doc"), F.col("a").alias("comp")).unionByName(now.select(F.col("a").alias("doc"), F.col("a").alias("comp")).distinct()))
+    dropped(now)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -384,24 +414,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = stored(rows.join(shared, ["band", "key"]))
     texts = stored(full.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
     others = members.filter(F.col("rep") != F.col("doc"))
-    links = stored(_linked(others.select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct(), texts, idf))
-    comp = stored(components(links))
+    pairs = stored(others.select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct())
+    links = stored(_linked(pairs, texts, idf, pairs.count()))
+    comp = components(links)
     more = stored(_rest(others.select("band", "key", "doc", "size"), comp, texts, idf))
     if not more.isEmpty():
         tree = comp.filter(F.col("doc") != F.col("comp")).select(F.col("comp").alias("a"), F.col("doc").alias("b"))
-        comp = stored(components(tree.unionByName(more)))
-    dropped(members, texts, links, more)
+        before, comp = comp, components(tree.unionByName(more))
+        dropped(before)
     classes = nodes.select("h1", "h2", "doc").join(comp, "doc", "left").select("h1", "h2", F.coalesce("comp", "doc").alias("class_id"))
-    out = signed.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id")
     lone = docs.filter(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
-    return out.unionByName(lone)
+    out = stored(signed.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id").unionByName(lone))
+    dropped(signed, nodes, members, texts, pairs, links, comp, more)
+    return out
 
 
 def keep_one(df: DataFrame) -> DataFrame:
-    """The rows (all columns) of df that stand for their class: one row of the smallest id; rows with a null id all stay."""
-    gone = near_duplicates(df).filter(F.col("doc_id") != F.col("class_id")).select("doc_id")
-    kept = df.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(df.filter(F.col("doc_id").isNull()))
+    """The rows (all columns) of df that stand for their class: the row of its smallest id; rows with a null id all stay.
+
+    Of rows that share an id, the one with the smallest hash of all columns (but maps) stays.
+    """
+    classes = near_duplicates(df)
+    gone = classes.filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
+    kept = df.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
+    again = classes.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    if not again.isEmpty():
+        plain = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+        at = next(n for i in range(len(df.columns) + 1) if (n := f"place{i}") not in {c.lower() for c in df.columns})
+        place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*plain)))
+        once = kept.join(again, "doc_id", "left_semi").select("*", place.alias(at)).filter(F.col(at) == 1).drop(at)
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
+    return kept.select(*df.columns).unionByName(df.filter(F.col("doc_id").isNull()))
 
 
 def op2_near_dup(spark, sf_dir: str) -> DataFrame:

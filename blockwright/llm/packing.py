@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 
 from blockwright.llm import text as tx
 from blockwright.llm import tokens as tk
-from blockwright.llm.spark import per_block, stored, table
+from blockwright.llm.spark import dropped, per_block, stored, table
 
 CAPACITY = 4096
 END = 1
@@ -126,7 +126,7 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """rows (doc_id, piece, length, ...; lengths 1 to capacity) with sequence_id and offset. rows is read three times."""
+    """rows (doc_id, piece, length, ...; lengths 1 to capacity; stored) with sequence_id and offset, stored; rows is dropped."""
     spark = rows.sparkSession
     counts = np.zeros(capacity + 1, np.int64)
     for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most `capacity` rows
@@ -151,7 +151,9 @@ def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         yield pa.RecordBatch.from_arrays([*out, pa.array(first[k] + over // n[k]), pa.array(offset[k] + over % n[k] * length)], names=[*wanted, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return per_block(ranked, work, schema + ", sequence_id bigint, offset bigint")
+    out = stored(per_block(ranked, work, schema + ", sequence_id bigint, offset bigint"))
+    dropped(rows)
+    return out
 
 
 def pack(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

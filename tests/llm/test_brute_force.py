@@ -155,6 +155,8 @@ def test_near_copies_against_all_pairs(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(frame).collect()} == want
     monkeypatch.setattr(near_dup, "BLOCK_DOCS", 7)  # buckets in many blocks
+    monkeypatch.setattr(near_dup, "HOT", 5)  # representatives with salted followers
+    monkeypatch.setattr(near_dup, "CELLS_LOG2", 12)  # a sketch that is too small at first
     assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(frame).collect()} == want
 
 
@@ -171,6 +173,42 @@ def test_bag_similarities_agree():
     assert ((got >= near_dup.SIMILARITY - near_dup.TIE) == dense)[other].all()
 
 
+def test_similar_at_exactly_the_threshold():
+    names = [f"w{i}" for i in range(40)]
+    texts = [names[:13], [*names[:12], "x"], names[:12], names[1:13]]  # 9, 9, 8 and 8 shingles; 8 in common of 10, then of 9
+    data, off = tx.buffers(pa.array([" ".join(t) for t in texts]))
+    bag = near_dup.Bag(data, off)
+    weight = np.ones(len(bag.hash), np.float32)
+    i, j = np.array([0, 0, 1, 2]), np.array([1, 2, 3, 3])
+    assert np.allclose(bag.similarities(weight, i, j), [0.8, 8 / 9, 7 / 10, 7 / 9])
+    assert bag.all_similar(weight, np.arange(4), np.arange(4))[i, j].tolist() == [True, True, False, False]
+
+
+def test_sketch_keeps_all_common_shingles(spark):
+    rng = random.Random(4)
+    shared = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps"], k=8)) for _ in range(20)]
+    texts = [" ".join([f"u{i}x{j}" for j in range(60)] + rng.sample(shared, 3)) for i in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = Counter(s for t in texts for s in set(shingles_of(t)))
+    for bits in (12, 20):
+        near_dup_bits, near_dup.CELLS_LOG2 = near_dup.CELLS_LOG2, bits
+        try:
+            keys, n = near_dup._common(frame, 300)
+        finally:
+            near_dup.CELLS_LOG2 = near_dup_bits
+        assert sorted(n.tolist()) == sorted(x for x in df.values() if x >= 2) and len(set(keys.tolist())) == len(keys)
+
+
+def test_tables_of_steps_are_removed(spark):
+    import os
+
+    folder = near_dup.stored(spark.range(1))._stored_at.rpartition("/")[0].removeprefix("file:")
+    before = set(os.listdir(folder))
+    near_dup.near_duplicates(spark.createDataFrame(near_fixture(), "doc_id long, text string")).collect()
+    packing.pack(spark.createDataFrame(near_fixture(), "doc_id long, text string")).collect()
+    assert len(set(os.listdir(folder)) - before) == 2  # the results
+
+
 def test_samples_estimate_similarity():
     rng = random.Random(2)
     a = [f"w{i}" for i in range(400)]
@@ -365,7 +403,7 @@ def test_packing_places_every_token(spark, docs):
 
 def test_packing_ranks_in_salted_groups(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 10)
-    rows = spark.range(500).selectExpr("id AS doc_id", "0 AS piece", "CAST(1000 + id % 3 AS BIGINT) AS length")
+    rows = packing.stored(spark.range(500).selectExpr("id AS doc_id", "0 AS piece", "CAST(1000 + id % 3 AS BIGINT) AS length"))
     spans = defaultdict(list)
     for r in packing.place(rows).collect():
         spans[r["sequence_id"]].append((r["offset"], r["length"]))
