@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from blockwright.llm.spark import table
 
 #: Branches of a group that one task takes, about, and limits on the groups and salts that are above that.
-HOT, MOST_HOT, MOST_SALTS = 1024, 10_000, 4096
+HOT, MOST_HOT, MOST_SALTS = 256, 10_000, 4096
 #: Conversations may lend each other a reply if their ids are equal without these low bits.
 BUCKET_LOG2 = 10
 _END = "<|end|>\n"
