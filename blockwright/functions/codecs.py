@@ -58,8 +58,10 @@ class Codec:
             return zstandard.ZstdCompressor(level=self.level, dict_data=given).compress(data)
         return Huffman.of(data).encode(data)[0]
 
-    def cost(self, payload: bytes, extra: bytes) -> int:
-        return len(payload) + 1 + len(extra) + (TABLE_BYTES if self.backend == "huffman" else 0)
+    def cost(self, payload: bytes, extra: bytes, version: int = 3) -> int:
+        """Bytes by which candidates are compared; version 2 counts the fields of a Huffman block too."""
+        fields = 1 + (6 if version == 2 and self.backend == "huffman" else 0)  # there: length of extra, padding, length of payload
+        return len(payload) + fields + len(extra) + (TABLE_BYTES if self.backend == "huffman" else 0)
 
 
 def inflate(backend: str, data: bytes, bound: int, dictionary: bytes = b"") -> bytes:
@@ -157,9 +159,36 @@ class Huffman:
             return b""
         if self.tree is None:
             raise FormatError("huffman: no symbols")
-        out, node, tree = bytearray(), self.tree, self.tree
         bits = np.unpackbits(np.frombuffer(data, np.uint8))
-        for bit in bits[: len(bits) - padding].tolist():
+        bits = bits[: len(bits) - padding]
+        longest = max(map(len, self.codes.values()))
+        if longest > 16:
+            return self._walk(bits, n)
+        # at each bit, the symbol whose code stands there and the bit after that code
+        ahead = np.zeros(len(bits), np.int32)
+        for j in range(longest):
+            ahead <<= 1
+            ahead[: max(0, len(bits) - j)] |= bits[j:]
+        symbol, size = np.zeros(1 << longest, np.uint8), np.zeros(1 << longest, np.uint8)
+        for s, code in self.codes.items():
+            lo = int(code, 2) << longest - len(code)
+            symbol[lo : lo + (1 << longest - len(code))] = s
+            size[lo : lo + (1 << longest - len(code))] = len(code)
+        found, step = symbol[ahead].tobytes(), (np.arange(len(bits)) + size[ahead]).tolist()
+        out, at, end = bytearray(n), 0, len(bits)
+        for i in range(n):
+            if at >= end:
+                raise TruncatedError("huffman: the payload ends too soon")
+            out[i] = found[at]
+            at = step[at]
+        if at > end:
+            raise TruncatedError("huffman: the payload ends too soon")
+        return bytes(out)
+
+    def _walk(self, bits: np.ndarray, n: int) -> bytes:
+        """Bit by bit, for codes of more than 16 bits."""
+        out, node, tree = bytearray(), self.tree, self.tree
+        for bit in bits.tolist():
             node = node[bit]
             if not isinstance(node, tuple):
                 out.append(node)

@@ -383,8 +383,8 @@ register_transform(16, "BWT_SUBBLOCK", _bwt_parts, _unbwt_parts)
 _plain(17, "DICT_RESERVED", lambda d: d, lambda d: d, searched=False)
 _plain(18, "RECORD_COLUMNS", record_columns, unrecord_columns, expansion=9, searched=False)
 _plain(19, "RLE", rle, unrle, expansion=3)
-_plain(100, "BIT_PLANE", lambda d: shuffle(d, 4) if _quads(d) else d, lambda d: unshuffle(d, 4) if _quads(d) else d, searched=False)
-XOR_PREV = 99
+XOR_PREV, BIT_PLANE = 99, 100
+_plain(BIT_PLANE, "BIT_PLANE", lambda d: shuffle(d, 4) if _quads(d) else d, lambda d: unshuffle(d, 4) if _quads(d) else d, searched=False)
 
 
 def encode(tid: int, data: bytes, memo: Memo | None = None) -> Encoded:

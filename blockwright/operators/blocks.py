@@ -18,6 +18,11 @@ def to_blocks(objects: DataFrame, block_size: int | Column = BLOCK_SIZE, id_col:
     return cut.select("object_id", "block_no", F.length(block).alias("orig_len"), block.alias("data"))
 
 
+def adaptive_bytes(n: int, block_size: int = 1 << 20, max_block: bool = False) -> int:
+    """``adaptive_size`` of one object of n bytes."""
+    return max(n, 1) if n <= (15 << 20 if max_block else 4 << 20) else block_size
+
+
 def adaptive_size(length: Column, block_size: int = 1 << 20, one_block_below: int = 4 << 20, max_block: bool = False) -> Column:
     """Block size by object length: small objects are one block; with max_block, those of up to 15 MiB."""
     limit = 15 << 20 if max_block else one_block_below
@@ -25,9 +30,8 @@ def adaptive_size(length: Column, block_size: int = 1 << 20, one_block_below: in
 
 
 def reassemble(blocks: DataFrame) -> DataFrame:
-    """(object_id, data): the blocks of each object in order, joined in linear time."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "data"))), lambda b: F.hex(b["data"])), "")
-    return blocks.groupBy("object_id").agg(F.unhex(joined).alias("data"))
+    """(object_id, data): the blocks of each object in order, joined; an object must fit a binary value (2 GiB)."""
+    return blocks.groupBy("object_id").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY block_no)").alias("data"))
 
 
 def pack_integers(value: Column, width: int) -> Column:

@@ -18,7 +18,8 @@ from blockwright.functions.codecs import Codec, Huffman
 class Search:
     """codec: prices and makes payloads; tids: transforms (default: all that are searched); version: 3 or 4 sets gates and ties;
     fast: a cheap codec screens all, and the best 4 and RAW are encoded; stop_below: with version 4, a cost below this
-    share of the block ends the search; strict: errors of a transform are raised, else the transform is left out and counted."""
+    share of the block ends the search, and later transforms aren't made; strict: errors of a transform are raised, else the
+    transform is left out, and a frame's ``skipped`` says which."""
 
     codec: Codec = field(default_factory=Codec)
     tids: tuple[int, ...] = ()
@@ -30,6 +31,8 @@ class Search:
     def order(self, n: int) -> list[k.Transform]:
         """Transforms that apply to a block of n bytes, in the order of ties."""
         chosen = [k.REGISTRY[t] for t in self.tids] if self.tids else [t for t in k.REGISTRY.values() if t.searched]
+        if not self.tids and self.version >= 4 and self.codec.backend == "lzma":
+            chosen.append(k.REGISTRY[k.BIT_PLANE])
         limit = 2048 if self.version < 4 else k.BWT_LIMIT
         gated = {5, 12} if self.version != 2 else {5}
         chosen = [t for t in chosen if self.tids or t.tid not in gated or n <= limit]
@@ -46,41 +49,48 @@ class Candidate:
     cost: int
 
 
-def transformed(data: bytes, search: Search) -> Iterator[tuple[k.Transform, bytes, bytes]]:
-    """(transform, bytes, extra) of all that apply."""
+def transformed(data: bytes, search: Search, skipped: list[str] | None = None) -> Iterator[tuple[k.Transform, bytes, bytes]]:
+    """(transform, bytes, extra) of all that apply, made one by one; skipped: takes the errors of those that are left out."""
     memo = k.Memo(data)
     for t in search.order(len(data)):
         try:
             got = t.encode(data, memo)
-        except Exception:
+        except Exception as e:
             if search.strict:
                 raise
+            if skipped is not None:
+                skipped.append(f"{t.name}: {type(e).__name__}: {e}")
             continue
         if got is not None and len(got[1]) <= 255:
             yield t, *got
 
 
-def candidates(data: bytes, search: Search) -> Iterator[Candidate]:
+def _digest(x: bytes) -> bytes:
+    return hashlib.blake2b(x, digest_size=16).digest()
+
+
+def _screened(made: list[tuple[k.Transform, bytes, bytes]]) -> list[tuple[k.Transform, bytes, bytes]]:
+    """The four that a cheap codec finds cheapest, and RAW."""
+    screen, seen, price = Codec("zstd", 1), {}, []
+    for _, x, e in made:
+        key = _digest(x)
+        if key not in seen:
+            seen[key] = len(screen.compress(x))
+        price.append(seen[key] + 1 + len(e))
+    best = sorted(range(len(made)), key=lambda i: (price[i], i))[:4]
+    return [m for i, m in enumerate(made) if i in best or m[0].tid == 0]
+
+
+def candidates(data: bytes, search: Search, skipped: list[str] | None = None) -> Iterator[Candidate]:
     """All that are encoded, in order. Equal transformed bytes are encoded once."""
-    made = list(transformed(data, search))
-    if search.fast:
-        screen = Codec("zstd", 1)
-        seen: dict[bytes, int] = {}
-        price = []
-        for _, x, e in made:
-            key = hashlib.blake2b(x, digest_size=16).digest()
-            if key not in seen:
-                seen[key] = len(screen.compress(x))
-            price.append(seen[key] + 1 + len(e))
-        best = sorted(range(len(made)), key=lambda i: (price[i], i))[:4]
-        made = [m for i, m in enumerate(made) if i in best or m[0].tid == 0]
+    made = transformed(data, search, skipped)
     payloads: dict[bytes, bytes] = {}
     least = None
-    for t, x, extra in made:
-        key = hashlib.blake2b(x, digest_size=16).digest()
+    for t, x, extra in _screened(list(made)) if search.fast else made:
+        key = _digest(x)
         if key not in payloads:
             payloads[key] = search.codec.compress(x)
-        got = Candidate(t.tid, t.name, extra, x, payloads[key], search.codec.cost(payloads[key], extra))
+        got = Candidate(t.tid, t.name, extra, x, payloads[key], search.codec.cost(payloads[key], extra, search.version))
         yield got
         if least is None or got.cost < least:
             least = got.cost
@@ -88,9 +98,9 @@ def candidates(data: bytes, search: Search) -> Iterator[Candidate]:
                 return
 
 
-def best(data: bytes, search: Search) -> Candidate:
+def best(data: bytes, search: Search, skipped: list[str] | None = None) -> Candidate:
     found = None
-    for c in candidates(data, search):
+    for c in candidates(data, search, skipped):
         if found is None or c.cost < found.cost:
             found = c
     if found is None:
@@ -98,7 +108,15 @@ def best(data: bytes, search: Search) -> Candidate:
     return found
 
 
-_FRAME = "object_id {id}, block_no int, tid int, name string, extra binary, orig_len int, transformed_len int, comp_len int, cost int, padding int, counts array<int>, payload binary"
+def xored(data: bytes, before: bytes, search: Search) -> Candidate:
+    """The block xored with the one before, plain: transform 99."""
+    x = k.xor_previous(data, before)
+    extra = b"XORP" + len(before).to_bytes(4, "big")
+    payload = search.codec.compress(x)
+    return Candidate(k.XOR_PREV, "XOR_PREV", extra, x, payload, search.codec.cost(payload, extra, search.version))
+
+
+_FRAME = "object_id {id}, block_no int, tid int, name string, extra binary, orig_len int, transformed_len int, comp_len int, cost int, padding int, counts array<int>, payload binary, skipped array<string>"
 
 
 def _huffman_parts(codec: Codec, x: bytes) -> tuple[int | None, list | None]:
@@ -132,18 +150,14 @@ def encode_blocks(blocks: DataFrame, search: Search = Search(), xor_previous: bo
                 part = batch.slice(lo, 64)
                 out: list[tuple] = []
                 for i, data in enumerate(part.column(2).to_pylist()):
-                    got = best(data, search)
+                    skipped: list[str] = []
+                    got = best(data, search, skipped)
                     before = part.column(3)[i].as_py() if xor_previous else None
-                    if before:
-                        x = k.xor_previous(data, before)
-                        extra = b"XORP" + len(before).to_bytes(4, "big")
-                        payload = search.codec.compress(x)
-                        cost = search.codec.cost(payload, extra)
-                        if cost < got.cost:
-                            got = Candidate(k.XOR_PREV, "XOR_PREV", extra, x, payload, cost)
+                    if before and (other := xored(data, before, search)).cost < got.cost:
+                        got = other
                     padding, counts = _huffman_parts(search.codec, got.transformed)
-                    out.append((got.tid, got.name, got.extra, len(data), len(got.transformed), len(got.payload), got.cost, padding, counts, got.payload))
-                kinds = [pa.int32(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
+                    out.append((got.tid, got.name, got.extra, len(data), len(got.transformed), len(got.payload), got.cost, padding, counts, got.payload, skipped))
+                kinds = [pa.int32(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names=names)
 
     return rows.mapInArrow(work, schema)

@@ -75,8 +75,10 @@ def run_sizes(objects: DataFrame) -> DataFrame:
 def ngrams(objects: DataFrame, size: int = 6, least: int = 3, top: int = 4096) -> DataFrame:
     """(gram, n, first_object, first_pos): the top n-grams by count, of equal counts by first place.
 
-    Counts are merged in each task before they are exchanged; size is 1 to 8 bytes; gram is hexadecimal.
+    Counts are merged in each task before they are exchanged; size is 1 to 8 bytes; gram is hexadecimal.  Ids may be
+    numbers or strings, and are compared as such.
     """
+    kind = "string" if objects.schema["object_id"].dataType.simpleString() == "string" else "bigint"
     if not 1 <= size <= 8:
         raise ValueError("n-grams have 1 to 8 bytes")
 
@@ -87,11 +89,11 @@ def ngrams(objects: DataFrame, size: int = 6, least: int = 3, top: int = 4096) -
         def flush():
             keys, obj, pos, times = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((pos, obj, keys))
+            order = np.lexsort((pos, np.unique(obj, return_inverse=True)[1], keys))
             keys, obj, pos, times = keys[order], obj[order], pos[order], times[order]
             at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             total = np.add.reduceat(times, at)
-            return pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(total), pa.array(obj[at]), pa.array(pos[at])], names=["k", "n", "o", "p"])
+            return pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(total), pa.array(obj[at], pa.string() if obj.dtype == object else pa.int64()), pa.array(pos[at])], names=["k", "n", "o", "p"])
 
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -103,7 +105,7 @@ def ngrams(objects: DataFrame, size: int = 6, least: int = 3, top: int = 4096) -
                 for j in range(size):
                     g = g << np.uint64(8) | x[j : j + m]
                 keys, first, times = np.unique(g, return_index=True, return_counts=True)
-                held.append((keys, np.full(len(keys), key), first.astype(np.int64), times.astype(np.int64)))
+                held.append((keys, np.full(len(keys), key, object if isinstance(key, str) else np.int64), first.astype(np.int64), times.astype(np.int64)))
                 n += len(keys)
                 if n > 1 << 21:
                     yield flush()
@@ -111,7 +113,7 @@ def ngrams(objects: DataFrame, size: int = 6, least: int = 3, top: int = 4096) -
         if held:
             yield flush()
 
-    rows = objects.select(F.col("object_id").cast("long"), "data").mapInArrow(f, "k bigint, n bigint, o bigint, p bigint")
+    rows = objects.select(F.col("object_id").cast(kind), "data").filter(F.col("object_id").isNotNull()).mapInArrow(f, f"k bigint, n bigint, o {kind}, p bigint")
     total = rows.groupBy("k").agg(F.sum("n").alias("n"), F.min(F.struct("o", "p")).alias("first")).filter(F.col("n") >= least)
     best = total.select(F.lpad(F.hex("k"), 2 * size, "0").alias("gram"), "n", F.col("first.o").alias("first_object"), F.col("first.p").alias("first_pos"))
     return best.orderBy(F.desc("n"), "first_object", "first_pos", "gram").limit(top)
@@ -137,8 +139,8 @@ def contexts(objects: DataFrame) -> DataFrame:
 def chunk_bounds(data: bytes, multiplier: int = 191, most: int = 1024, least: int = MIN_CHUNK, limit: int = MAX_CHUNK) -> list[tuple[int, int]]:
     """(start, end) of content-defined chunks.
 
-    h = h * multiplier + byte, never reset; a chunk ends before a place that is ``least`` past its start, where the low
-    12 bits of h are 0 or ``limit`` is reached.  After more than ``most`` chunks the rest is one.  As only the low 12 bits
+    h = h * multiplier + byte, never reset; a chunk ends with the first byte that is at least ``least`` past its first, and
+    where the low 12 bits of h are 0 or that is ``limit`` past.  After more than ``most`` chunks the rest is one.  As only the low 12 bits
     count, h at a place is a sum over the bytes of a window: odd multipliers have powers of a short period mod 4096.
     """
     n = len(data)
@@ -168,12 +170,12 @@ def chunk_bounds(data: bytes, multiplier: int = 191, most: int = 1024, least: in
     out, start = [], 0
     while start < n and len(out) <= most:
         k = int(np.searchsorted(cuts, start + least))
-        end = min(int(cuts[k]) if k < len(cuts) else n, start + limit)
-        if end >= n:
+        last = min(int(cuts[k]) if k < len(cuts) else n, start + max(least, limit))
+        if last >= n:
             break
-        out.append((start, end))
-        start = end
-    return [*out, (start, n)]
+        out.append((start, last + 1))
+        start = last + 1
+    return [*out, (start, n)] if start < n else out
 
 
 def chunks(objects: DataFrame, **options: int) -> DataFrame:

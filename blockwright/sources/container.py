@@ -10,8 +10,10 @@ from typing import BinaryIO
 
 from blockwright import guards
 from blockwright.functions import codecs, kernels
+from blockwright.operators.blocks import BLOCK_SIZE, adaptive_bytes
+from blockwright.operators.dictionary import SAMPLE_BYTES, dictionary_for, shared
 from blockwright.operators.frames import decode_frame
-from blockwright.operators.search import Search, best
+from blockwright.operators.search import Search, best, xored
 
 # Fixed values of the format.
 MAGIC = b"RISA"
@@ -129,8 +131,11 @@ def decode_one(h: Header, f: Frame, previous: bytes | None = None) -> bytes:
     return decode_frame(h.backend, f.tid, f.extra, f.orig_len, f.payload, None, f.counts, f.padding, h.dictionary if h.backend == "zstd" else b"", previous)
 
 
-def frame_of(data: bytes, search: Search) -> Frame:
+def frame_of(data: bytes, search: Search, previous: bytes | None = None) -> Frame:
+    """The cheapest frame of a block. previous: the block before, if this one may be xored with it."""
     got = best(data, search)
+    if previous and (other := xored(data, previous, search)).cost < got.cost:
+        got = other
     padding, counts = 0, None
     if search.codec.backend == "huffman":
         h = codecs.Huffman.of(got.transformed)
@@ -141,15 +146,38 @@ def frame_of(data: bytes, search: Search) -> Frame:
     return Frame(got.tid, got.extra, len(data), got.payload, padding, counts)
 
 
-def compress(data: bytes, level: int = 3, block_size: int = 65536, backend: str = "zstd", fast: bool = False, version: int = 3, dictionary: bytes = b"") -> bytes:
-    """A container of one object."""
-    codec = codecs.Codec(backend, codecs.native_level(backend, level), dictionary=dictionary)
-    search = Search(codec, version=version, fast=fast)
+def pack(data: bytes, search: Search, block_size: int | None = None, version: int = 3, xor_previous: bool = False, max_block: bool = False) -> bytes:
+    """A container of one object, by a search and with its codec's dictionary.
+
+    block_size: by default 64 KiB, and by the object's length in version 4 (see ``adaptive_bytes``).
+    """
+    if block_size is None:
+        block_size = adaptive_bytes(len(data), max_block=max_block) if version >= 4 else BLOCK_SIZE
     if block_size < 1 or version == 2 and block_size > 65535:
         raise ValueError(f"block size {block_size}")
+    if xor_previous and version < 4:
+        raise ValueError("only version 4 holds blocks that refer to the one before")
     parts = [data[i : i + block_size] for i in range(0, len(data), block_size)] or [b""]
-    out = [pack_header(Header(version, backend, len(parts), block_size, dictionary))]
-    return b"".join(out + [pack_frame(frame_of(p, search), backend, version) for p in parts])
+    out = [pack_header(Header(version, search.codec.backend, len(parts), block_size, search.codec.dictionary))]
+    for i, part in enumerate(parts):
+        out.append(pack_frame(frame_of(part, search, parts[i - 1] if xor_previous and i else None), search.codec.backend, version))
+    return b"".join(out)
+
+
+def compress(data: bytes, level: int = 3, block_size: int | None = None, backend: str = "zstd", fast: bool = False, version: int = 3, dictionary: bytes = b"", use_dict: bool = False, force_dict: bool = False, two_pass: bool = False, max_block: bool = False, xor_previous: bool = False) -> bytes:
+    """A container of one object.
+
+    Dictionaries are for zstd, in versions 3 and 4: one that is given; or, with use_dict, one made of the object if it
+    pays; with force_dict whether or not it pays.  two_pass (version 4) makes it of more of the object.  max_block and
+    xor_previous: see ``pack``.
+    """
+    native = codecs.native_level(backend, level)
+    if (use_dict or force_dict) and not dictionary:
+        if backend != "zstd" or version < 3:
+            raise ValueError("dictionaries are for zstd in versions 3 and 4")
+        dictionary = dictionary_for(data, version, native, force_dict, two_pass)
+    codec = codecs.Codec(backend, native, extreme=version >= 4 and backend == "lzma" and native == 9, dictionary=dictionary)
+    return pack(data, Search(codec, version=version, fast=fast), block_size, version, xor_previous, max_block)
 
 
 def frames(file: BinaryIO, max_total: int | None = None) -> Iterator[tuple[Header, Frame]]:
@@ -186,17 +214,30 @@ def decompress(data: bytes, max_output_size: int | None = None) -> bytes:
     return b"".join(blocks(io.BytesIO(data), max_output_size))
 
 
-def compress_stream(source: BinaryIO, sink: BinaryIO, block_size: int = 65536, backend: str = "zstd", level: int | None = None, fast: bool = False) -> int:
-    """Frames after a header without a block count; holds one block. Gives the number of blocks."""
+def compress_stream(source: BinaryIO, sink: BinaryIO, block_size: int = BLOCK_SIZE, backend: str = "zstd", level: int | None = None, fast: bool = False, use_dict: bool = False) -> int:
+    """Frames after a header without a block count; holds one block. Gives the number of blocks.
+
+    use_dict (zstd): the first million bytes are held and a dictionary is trained on them; blocks are cut as without.
+    """
     if backend == "huffman":
         raise ValueError("streams don't take huffman")
-    codec = codecs.Codec(backend, codecs.DEFAULT_LEVEL[backend] if level is None else level)
-    sink.write(pack_header(Header(3, backend, STREAMING, block_size)))
-    n = 0
-    while data := source.read(block_size):
+    if use_dict and backend != "zstd":
+        raise ValueError("dictionaries are for zstd")
+    ahead = b""
+    while use_dict and len(ahead) < SAMPLE_BYTES and (got := source.read(SAMPLE_BYTES - len(ahead))):
+        ahead += got
+    codec = codecs.Codec(backend, codecs.DEFAULT_LEVEL[backend] if level is None else level, dictionary=shared(ahead) if use_dict else b"")
+    sink.write(pack_header(Header(3, backend, STREAMING, block_size, codec.dictionary)))
+    at = n = 0
+    while True:
+        data = ahead[at : at + block_size]
+        at += len(data)
+        while len(data) < block_size and (got := source.read(block_size - len(data))):
+            data += got
+        if not data:
+            return n
         sink.write(pack_frame(frame_of(data, Search(codec, fast=fast)), backend))
         n += 1
-    return n
 
 
 def decompress_stream(source: BinaryIO, sink: BinaryIO, max_output_size: int | None = None) -> int:

@@ -21,4 +21,4 @@ def write_stream(objects: DataFrame, path: str, checkpoint: str, search: Search
 
 def read_blocks(spark, path: str, search: Search = Search()) -> DataFrame:
     """Blocks of the frames that a stream has written."""
-    return decode_frames(spark.read.parquet(path), search.codec.backend, search.codec.dictionary)
+    return decode_frames(spark.read.parquet(path), search.codec.backend, search.codec.dictionary, linked=False)

@@ -113,3 +113,7 @@ def test_command_line(tmp_path, capsys):
     assert cli.main(["report", str(b)]) == 0 and "zstd" in capsys.readouterr().out
     b.write_bytes(b"no container")
     assert cli.main(["decompress", str(b), str(d)]) == 1
+
+
+def test_doctor(capsys):
+    assert cli.main(["doctor"]) == 0 and "transform 19 RLE\tok" in capsys.readouterr().out

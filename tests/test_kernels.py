@@ -136,8 +136,19 @@ def test_huffman():
         counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
         assert h.size(counts) == len(payload) + c.TABLE_BYTES
         assert max(h.counts, default=0) <= 65535
+        bits = np.unpackbits(np.frombuffer(payload, np.uint8))[: len(payload) * 8 - padding]
+        assert not data or h._walk(bits, len(data)) == data
+        for n in range(0, len(payload), max(1, len(payload) // 7)):
+            with pytest.raises(TruncatedError):
+                h.decode(payload[:n], len(data))
     with pytest.raises(TruncatedError):
         c.Huffman.of(b"abracadabra").decode(b"", 5)
+    fib = [1, 1]
+    while len(fib) < 22:
+        fib.append(fib[-1] + fib[-2])
+    data = b"".join(bytes((i,)) * n for i, n in enumerate(fib))
+    h = c.Huffman.of(data)
+    assert max(map(len, h.codes.values())) > 16 and h.decode(h.encode(data)[0], len(data), h.encode(data)[1]) == data
 
 
 def test_levels():

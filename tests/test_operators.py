@@ -1,20 +1,22 @@
 import hashlib
+import io
 import math
 import random
 import struct
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from blockwright import api
+from blockwright import api, guards
 from blockwright.functions import kernels as k
 from blockwright.functions.codecs import Codec
 from blockwright.operators import dictionary, stats
 from blockwright.operators.blocks import adaptive_size, reassemble, to_blocks
 from blockwright.operators.frames import decode_frames, roundtrip
-from blockwright.operators.search import Search, best, candidate_table, candidates, choose, encode_blocks
+from blockwright.operators.search import Search, best, candidate_table, candidates, choose, encode_blocks, transformed
 from blockwright.sources import container, datasource
 
 OBJECTS = [("a", b""), ("b", None), ("c", b"x"), ("d", bytes(range(256)) * 40), ("e", b"word " * 3000), ("f", struct.pack("<2000I", *range(5, 2005)))]
@@ -73,7 +75,9 @@ def test_choice_table(spark):
 def test_limits_and_errors(spark):
     frames = encode_blocks(to_blocks(objects(spark), 4096), Search(Codec("zlib", 6)))
     with pytest.raises(Exception, match="declared in all"):
-        decode_frames(frames, "zlib", max_total=100)
+        decode_frames(frames, "zlib", max_total=100).collect()
+    over = decode_frames(frames, "zlib", permissive=True, max_total=5000).filter("error_class IS NOT NULL").collect()
+    assert {r["error_class"] for r in over} == {"OutputLimitError"} and {r["object_id"] for r in over} == {k for k, v in WANT.items() if len(v) > 5000}
     broken = frames.withColumn("orig_len", F.when(F.col("object_id") == "c", 50).otherwise(F.col("orig_len")))
     got = {r["object_id"]: r["error_class"] for r in decode_frames(broken, "zlib", permissive=True).filter("error_class IS NOT NULL").collect()}
     assert got == {"c": "FormatError"}
@@ -81,6 +85,59 @@ def test_limits_and_errors(spark):
         decode_frames(broken, "zlib").collect()
 
 
+def test_plans_start_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans", "plans")
+    try:
+        for linked in (False, True):
+            roundtrip(objects(spark), Search(Codec("zlib", 6)), 4096, linked)
+        decode_frames(encode_blocks(to_blocks(objects(spark), 4096)), "zlib", max_total=10)
+        assert not tracker.getJobIdsForGroup("plans")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_search_makes_no_transform_after_it_ends():
+    made = []
+    search = Search(Codec("zlib", 6), version=4)
+    for t, *_ in transformed(b"a" * 50_000, search):
+        made.append(t.tid)
+        if len(made) == 2:
+            break
+    assert made == [0, 19]
+    assert [c.tid for c in candidates(b"a" * 50_000, search)] == [0]
+
+
+def test_errors_of_transforms_are_told(spark):
+    k.register_transform(201, "FAULTY", lambda d, m: 1 / 0, lambda d, e: d, searched=False)
+    try:
+        search = Search(Codec("zlib", 6), tids=(0, 201), strict=False)
+        one = spark.createDataFrame([(1, b"abc")], "object_id long, data binary")
+        assert best(b"abc", search).tid == 0
+        with pytest.raises(ZeroDivisionError):
+            best(b"abc", Search(Codec("zlib", 6), tids=(0, 201)))
+        skipped: list = []
+        best(b"abc", search, skipped)
+        assert skipped == ["FAULTY: ZeroDivisionError: division by zero"]
+        assert encode_blocks(to_blocks(one), Search(Codec("zlib", 6))).first()["skipped"] == []
+    finally:
+        del k.REGISTRY[201]
+
+
+def test_linked_blocks_after_a_bad_one(spark):
+    data = hashlib.sha256(b"x").digest() * 40
+    frames = encode_blocks(to_blocks(spark.createDataFrame([(1, data)], "object_id long, data binary"), 320), Search(Codec("zlib", 6), tids=(0,)), xor_previous=True)
+    assert [r["tid"] for r in frames.orderBy("block_no").collect()] == [0, 99, 99, 99]
+    broken = frames.withColumn("orig_len", F.when(F.col("block_no") == 1, 7).otherwise(F.col("orig_len")))
+    got = {r["block_no"]: r["error_message"] for r in decode_frames(broken, "zlib", permissive=True).collect()}
+    assert got[0] is None and "over 71 bytes" in got[1] and got[2] == got[3] == "the block before can't be decoded"
+
+
+def test_ngrams_of_string_ids(spark):
+    grams = stats.ngrams(spark.createDataFrame([("b", b"xyxyxy"), ("a", b"qxy"), (None, b"xyz")], "object_id string, data binary"), 2, 2, 1).collect()
+    assert [(r["gram"], r["n"], r["first_object"], r["first_pos"]) for r in grams] == [("7879", 4, "a", 1)]
+
+
 def test_api(spark):
     assert back(api.decode(api.encode(objects(spark), "object_id", "data", backend="zlib", level=1), "zlib")) == WANT
     text = spark.createDataFrame([(1, "grüß"), (2, None)], "id long, text string")
@@ -124,8 +181,8 @@ def slow_chunks(data, multiplier=191, most=1024):
     for i, b in enumerate(data):
         h = (h * multiplier + b) % 2**32
         if (h % 4096 == 0 or i - start >= 8192) and i - start >= 1024:
-            out.append((start, i))
-            start = i
+            out.append((start, i + 1))
+            start = i + 1
             if len(out) > most:
                 break
     return out + [(start, len(data))] if start < len(data) else out
@@ -159,6 +216,141 @@ def test_dictionary(spark):
     assert inflate("zstd", codec.compress(data), len(data), trained) == data
 
 
+def slow_grams(data, size, least):
+    seen = Counter(data[i : i + size] for i in range(len(data) - size + 1))
+    return sorted((g for g, n in seen.items() if n >= least), key=lambda g: (-seen[g], data.find(g)))
+
+
+def test_ranked_grams():
+    for seed in range(6):
+        data = bytes(random.Random(seed).choices(b"abc", k=400))
+        for size in (1, 3, 8):
+            assert dictionary.ranked_grams(data, size, 2) == slow_grams(data, size, 2)
+    assert dictionary.ranked_grams(b"ab", 3) == []
+
+
+def log_lines(n, seed=1):
+    rng = random.Random(seed)
+    return b"".join(f'{{"time": {1600000000 + i}, "level": "{rng.choice(["INFO", "WARN"])}", "user": "u{rng.randint(1, 99)}", "message": "request handled in {rng.randint(1, 900)} ms"}}\n'.encode() for i in range(n))
+
+
+def test_dictionaries_of_one_object():
+    data = log_lines(9000)
+    assert len(data) > 1 << 19
+    for version in (3, 4):
+        made = dictionary.dictionary_for(data, version, 3, force=True)
+        assert 512 < len(made) <= (dictionary.STORED if version == 4 else dictionary.TARGET)
+        assert dictionary.dictionary_for(b"short", version, 3, force=True) == b""
+        packed = container.compress(data, 1, 4096, version=version, force_dict=True)
+        assert container.decompress(packed) == data and container.Reader(io.BytesIO(packed)).header().dictionary == made
+        payloads = [sum(len(f.payload) for _, f in container.frames(io.BytesIO(x))) for x in (packed, container.compress(data, 1, 4096, version=version))]
+        assert version == 4 or payloads[0] < payloads[1]  # small blocks gain by a trained one; 8-grams may not help
+        plain = container.compress(data, 1, 65536, version=version, use_dict=True)
+        kept = container.Reader(io.BytesIO(plain)).header().dictionary
+        pays = dictionary.shared_pays(data, made, 3) if version == 3 else dictionary.gathered_pays(data, made, 3)
+        assert bool(kept) == pays and container.decompress(plain) == data
+    noise = random.Random(2).randbytes(100_000)
+    assert not dictionary.dictionary_for(noise, 3, 3) and not dictionary.dictionary_for(noise, 4, 3)
+    assert dictionary.gathered(data, sample_bytes=1 << 12)[:8] in data
+    large = log_lines(100, 3) * 1200
+    assert len(large) > 8 << 20 and dictionary.gathered(large)
+    with pytest.raises(ValueError):
+        container.compress(data, backend="lzma", use_dict=True)
+    chunks = [b"", b"abc", b"x" * 300]
+    assert dictionary.unpack_chunks(dictionary.pack_chunks(chunks)) == chunks
+    assert dictionary.unpack_chunks(dictionary.pack_chunks(chunks, 10)) == chunks[:2]
+    with pytest.raises(guards.TruncatedError):
+        dictionary.unpack_chunks(b"\0\5ab")
+
+
+def test_version_4_in_full(spark):
+    block = random.Random(1).randbytes(3000)
+    data = block * 3 + bytes(x ^ 1 for x in block) + struct.pack("<900f", *(20 + i / 900 for i in range(900)))
+    found = set()
+    for backend in ("lzma", "zstd", "zlib", "huffman"):
+        for options in ({"block_size": 3000, "xor_previous": True}, {"block_size": 3600}, {}, {"max_block": True}):
+            made = container.compress(data, 4, backend=backend, version=4, **options)
+            assert container.decompress(made) == data
+            found |= {f.tid for _, f in container.frames(io.BytesIO(made))}
+            if "block_size" not in options:
+                assert container.Reader(io.BytesIO(made)).header().num_blocks == 1
+    floats = struct.pack("<3000f", *(16 + random.Random(i).random() for i in range(3000)))
+    made = container.compress(floats, 4, backend="lzma", version=4)
+    found |= {f.tid for _, f in container.frames(io.BytesIO(made))}
+    assert {k.XOR_PREV, k.BIT_PLANE} <= found and container.decompress(made) == floats
+    with pytest.raises(ValueError):
+        container.compress(data, version=3, xor_previous=True)
+    rows = spark.createDataFrame([("a", data), ("b", b""), ("c", block)], "object_id string, data binary")
+    want = {"a": data, "b": b"", "c": block}
+    frames = api.encode(rows, "object_id", "data", "lzma", version=4)
+    assert frames.count() == 3 and back(api.decode(frames, "lzma")) == want
+    shared = dictionary.train([log_lines(20, s) for s in range(60)], 4096)
+    frames = api.encode(rows, "object_id", "data", block_size=1000, dictionary=shared)
+    assert back(api.decode(frames, dictionary=shared)) == want
+
+
+def test_shared_dictionary(spark):
+    rows = spark.createDataFrame([(i, log_lines(30, i)) for i in range(200)], "object_id long, data binary")
+    made = api.shared_dictionary(rows, "object_id", "data", 1, 4096)
+    assert made
+    size = lambda d: api.encode(rows, "object_id", "data", level=1, block_size=4096, dictionary=d).agg(F.sum("comp_len")).first()[0]
+    assert size(made) < size(b"")
+    noise = spark.createDataFrame([(i, random.Random(i).randbytes(9000)) for i in range(20)], "object_id long, data binary")
+    assert api.shared_dictionary(noise, "object_id", "data") == b""
+
+
+def test_arrow_codec(spark):
+    codec = api.BlockCodec(1, 4096)
+    data = log_lines(50)
+    for given in (data, bytearray(data), pa.py_buffer(data)):
+        assert codec.decompress(codec.compress(given)).to_pybytes() == data
+    assert codec.decompress(codec.compress(data, asbytes=True), asbytes=True) == data
+    with pytest.raises(guards.OutputLimitError):
+        codec.decompress(codec.compress(data), 10)
+    df = spark.createDataFrame([(1, data), (2, None), (3, b"")], "id long, data binary")
+    there = df.select("id", api.packed(F.col("data"), 1).alias("data"))
+    assert {r["id"]: r["data"] for r in there.select("id", api.unpacked(F.col("data")).alias("data")).collect()} == {1: data, 2: None, 3: b""}
+
+
+def test_files_and_streams_of_containers(spark, tmp_path):
+    datasource.register(spark)
+    made = datasource.containers_of(objects(spark), Search(Codec("zstd", 3)), 4096)
+    folder = tmp_path / "containers"
+    made.write.format("blockcontainers").mode("append").save(str(folder))
+    assert sorted(p.name for p in folder.iterdir()) == [f"{i}.blocks" for i in "abcdef"]
+    files = spark.read.format("binaryFile").load(str(folder)).selectExpr("regexp_extract(path, '([^/]*)[.]blocks$', 1) AS object_id", "content")
+    assert back(datasource.open_containers(files)) == WANT
+
+    data = log_lines(300)
+    whole = io.BytesIO()
+    container.compress_stream(io.BytesIO(data), whole, 5000, level=3)
+    whole = whole.getvalue()
+    source, out, state = tmp_path / "stream", tmp_path / "out", tmp_path / "state"
+    for n in (10, 3000, 3001, len(whole)):  # cut in the header, in a frame, and grown by a byte
+        source.write_bytes(whole[:n])
+        stream = spark.readStream.format("framestream").option("max_blocks_per_trigger", 3).load(str(source))
+        query = stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(state)).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    rows = spark.read.parquet(str(out)).orderBy("block_no").collect()
+    assert [r["block_no"] for r in rows] == list(range(-(-len(data) // 5000))) and b"".join(bytes(r["data"]) for r in rows) == data
+
+
+def test_streams_with_dictionaries():
+    data = log_lines(4000)
+    for size in (1000, 70_000):
+        made, plain, out = io.BytesIO(), io.BytesIO(), io.BytesIO()
+        container.compress_stream(io.BytesIO(data), made, size, level=3, use_dict=True)
+        container.compress_stream(io.BytesIO(data), plain, size, level=3)
+        assert container.Reader(io.BytesIO(made.getvalue())).header().dictionary
+        assert [f.orig_len for _, f in container.frames(io.BytesIO(made.getvalue()))] == [f.orig_len for _, f in container.frames(io.BytesIO(plain.getvalue()))]
+        assert container.decompress_stream(io.BytesIO(made.getvalue()), out) == len(data) and out.getvalue() == data
+    with pytest.raises(ValueError):
+        container.compress_stream(io.BytesIO(data), io.BytesIO(), backend="lzma", use_dict=True)
+
+
 def test_streaming(spark, tmp_path):
     from blockwright.streaming.frames import read_blocks, write_stream
 
