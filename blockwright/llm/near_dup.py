@@ -197,7 +197,7 @@ def _cells(docs: DataFrame, bits: int, least: int) -> tuple[np.ndarray, int]:
         for k, total in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([int(total.sum())]), pa.array([(np.flatnonzero(total >= least) + k * RANGE).astype(np.int32)], pa.list_(pa.int32()))], names=["n", "cells"])
 
-    parts = docs.select("text").mapInArrow(sketch, "part int, cell binary, n binary").repartition(ranges, "part")
+    parts = docs.select("text").mapInArrow(sketch, "part int, cell binary, n binary").repartition("part")
     got = parts.mapInArrow(merge, "n bigint, cells array<int>").toArrow()  # a row for each range; at most one in SHARE cells and texts is full
     may = np.zeros(cells, bool)
     for full in got.column("cells").to_pylist():
@@ -210,7 +210,7 @@ def _common(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     least = max(2, int(np.ceil(SHARE * n_docs)))
     bits = CELLS_LOG2
     may, total = _cells(docs, bits, least)
-    need = int(8 * total / least - 1).bit_length()  # long texts: rare shingles together must not fill a cell
+    need = int(2 * total / least).bit_length()  # long texts: rare shingles together must not fill a cell
     if total and bits < need:
         bits = min(need, MOST_CELLS_LOG2)
         may, total = _cells(docs, bits, least)
