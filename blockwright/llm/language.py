@@ -288,9 +288,13 @@ def identify(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: st
     return per_block(df.select(id_col, text_col), work, "doc_id bigint, lang_pred string, score double")
 
 
-def keep_identified(df: DataFrame, models: Models, text_col: str = "text", most_excess: float = 4.0, spare: float = 256.0) -> DataFrame:
+def keep_identified(df: DataFrame, models: Models, text_col: str = "text", most_excess: float = 2.5, spare: float = 256.0) -> DataFrame:
     """The rows (all columns) whose language is told: not ``und``, and a code at most ``most_excess`` bits a byte,
-    and ``spare`` bits a text, longer than the language's own text took.  So a short text needs only a letter."""
+    and ``spare`` bits a text, longer than the language's own text took.
+
+    Text of another script or language, of encoded bytes or of shouted words takes 4 to 20 bits more a byte, prose with
+    numbers, keys and repeated words up to 2 (see the README).  A short text needs only a letter.  Null texts go.
+    """
     at = df.columns.index(text_col)
 
     def work(batch: pa.RecordBatch):

@@ -700,6 +700,16 @@ def test_contexts_of_a_language_with_little_text():
     assert (model.contexts(data, np.array([0, len(data)]))[3:] > 0).all()
 
 
+def test_texts_of_no_learned_language_go(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rng = random.Random(1)
+    some = [r["text"] for r in docs.orderBy("doc_id").limit(30).collect()]
+    bad = ["".join(rng.choices("абвгдежзиклмнопрст ", k=300)), "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(300)), "".join(rng.choices("ABCDEFGHQXZabcxyz0123456789+/", k=600)), "".join(rng.choices("QXZKWJ!#", k=500)), "12 ½", "", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([*some, "É.", *bad])], "doc_id long, text string")
+    kept = {r["doc_id"] for r in language.keep_identified(frame, language.train(docs)).collect()}
+    assert kept == set(range(31))
+
+
 def test_language_accuracy(spark):
     rows = language.op8_language_id(spark, SMALL.replace("0.001", "0.01"))
     truth = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "lang")
