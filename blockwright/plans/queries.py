@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -138,18 +139,29 @@ def roundtrip_modelled_documents(spark, sf_dir):
     return stats.map_objects(_documents(spark, sf_dir).repartition("object_id"), f, [("codec", "string", _STR), ("n_bytes", "bigint", _I64), ("sha256", "string", _STR)])
 
 
-def _container(version: int, backend: str):
+def _container(version: int, backend: str, level: int):
     def f(spark, sf_dir):
-        made = containers_of(_documents(spark, sf_dir), Search(Codec(backend, 3), tids=_LIGHT, version=version), BLOCK, version)
-        return _digests(open_containers(made))
+        search = Search(Codec(backend, level), version=version, fast=True)
+        return _digests(open_containers(containers_of(_documents(spark, sf_dir), search, BLOCK, version, xor_previous=version == 4)))
 
+    f.__name__ = f"roundtrip_container_v{version}"
+    f.__doc__ = f"Each document as a container of version {version}, by the screened search of all its transforms, and back."
     return f
 
 
-for _version, _backend in ((2, "zlib"), (3, "zstd"), (4, "lzma")):
-    _f = _container(_version, _backend)
-    _f.__name__ = f"roundtrip_container_v{_version}"
-    query(_source_digests("documents", "doc_id", "text"))(_f)
+for _version, _backend, _level in ((2, "zlib", 6), (3, "zstd", 3), (4, "lzma", 0)):
+    query(_source_digests("documents", "doc_id", "text"))(_container(_version, _backend, _level))
+
+
+@query("SELECT version, object_id, n_bytes, sha256 FROM (" + _source_digests("documents", "doc_id", "text") + "), (SELECT unnest([3, 4])::BIGINT AS version)")
+def roundtrip_dictionary(spark, sf_dir):
+    """Each document with a dictionary of its own, where it is long enough to make one and whether or not it pays, and back."""
+    out = None
+    for version in (3, 4):
+        made = containers_of(_documents(spark, sf_dir), Search(Codec("zstd", 3), tids=_LIGHT, version=version), BLOCK, version, force_dict=True)
+        one = _digests(open_containers(made)).select(F.lit(version).cast("long").alias("version"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(_source_digests("documents", "doc_id", "text"))
@@ -160,7 +172,7 @@ def stream_roundtrip(spark, sf_dir):
     single = len(source.inputFiles()) == 1
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4)
     rows = (stream.option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if single else stream.parquet(f"{sf_dir}/documents.parquet"))
-    search = Search(Codec("zstd", 3), tids=_LIGHT)
+    search = Search(Codec("zstd", 3), fast=True)
     path = fresh_path(spark, "frames")
     write_stream(stats.objects_of(rows, "doc_id", "text"), path, fresh_path(spark, "state"), search, BLOCK).awaitTermination()
     from blockwright.operators.blocks import reassemble
@@ -204,11 +216,23 @@ def _transform(tid: int):
 
 _D1, _D2 = "((v - p + 256) % 256)", "((v - 2 * p + q + 512) % 256)"
 _ZZ = "CASE WHEN {0} < 128 THEN 2 * {0} ELSE 511 - 2 * {0} END"
+
+
+def _moved_sql(key: str) -> str:
+    """y: move-to-front of the bytes v at pos of table b, by the number of symbols since a symbol's last place."""
+    return f"""w AS (SELECT {key}, pos, v, lag(pos) OVER (PARTITION BY {key}, v ORDER BY pos) AS prev, lead(pos) OVER (PARTITION BY {key}, v ORDER BY pos) AS nxt FROM b),
+g AS (SELECT {key}, pos, unnest(generate_series(prev + 1, pos - 1)) AS q FROM w WHERE prev IS NOT NULL AND prev + 1 < pos),
+k AS (SELECT g.{key}, g.pos, count(*) AS y FROM g JOIN w ON w.{key} = g.{key} AND w.pos = g.q AND (w.nxt IS NULL OR w.nxt > g.pos) GROUP BY g.{key}, g.pos),
+f AS (SELECT a.{key}, a.pos, a.v + count(o.pos) AS y FROM w a LEFT JOIN w o ON o.{key} = a.{key} AND o.prev IS NULL AND o.pos < a.pos AND o.v > a.v WHERE a.prev IS NULL GROUP BY a.{key}, a.pos, a.v),
+y AS (SELECT w.{key}, w.pos, CASE WHEN prev IS NULL THEN f.y ELSE coalesce(k.y, 0) END::INT AS y FROM w LEFT JOIN k USING ({key}, pos) LEFT JOIN f USING ({key}, pos))"""
+
+
 _EVERY = {
     1: _digest_sql(_D1),
     2: _digest_sql("xor(v, p)"),
     3: _digest_sql(f"CASE WHEN pos < 2 THEN {_D1} ELSE {_D2} END"),
-    4: None,
+    4: f"""WITH {_BYTES}, {_moved_sql("doc_id")}
+SELECT d.doc_id AS object_id, count(y.y) AS n_out, sha256(coalesce(string_agg(printf('%02X', y.y), '' ORDER BY y.pos), '')) AS sha256 FROM d LEFT JOIN y USING (doc_id) GROUP BY d.doc_id""",
     5: None,
     6: _digest_sql("v", "CASE WHEN n < 4 THEN 0 ELSE pos % 2 END"),
     7: _digest_sql("v", "CASE WHEN n < 8 THEN 0 ELSE pos % 4 END"),
@@ -228,7 +252,14 @@ s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN n
 y AS (SELECT doc_id, pos, (v - lag(v, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) + 256) % 256 AS y FROM s)
 SELECT d.doc_id AS object_id, count(y.y) AS n_out, sha256(coalesce(string_agg(printf('%02X', y.y), '' ORDER BY y.pos), '')) AS sha256 FROM d LEFT JOIN y USING (doc_id) GROUP BY d.doc_id""",
     16: None,
-    18: None,
+    18: r"""WITH l AS (SELECT doc_id, unnest(generate_series(1, len(x))) AS line, unnest(x) AS s FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+k AS (SELECT doc_id, line, regexp_extract_all(s, '[ \t\r\f\x0B]+|[^ \t\r\f\x0B]+') AS k FROM l),
+t AS (SELECT doc_id, line, unnest(generate_series(1, len(k))) AS c, hex(encode(unnest(k))) AS x FROM k),
+c AS (SELECT doc_id, c, string_agg(x, '0A' ORDER BY line) AS x FROM t GROUP BY doc_id, c),
+cs AS (SELECT doc_id, string_agg(printf('%08X', (length(x) // 2)::INT), '' ORDER BY c) AS sizes, string_agg(x, '' ORDER BY c) AS body FROM c GROUP BY doc_id),
+ls AS (SELECT doc_id, printf('%08X', count(*)::INT) || printf('%08X', max(len(k))::INT) AS head, string_agg(printf('%08X', len(k)::INT), '' ORDER BY line) AS counts FROM k GROUP BY doc_id),
+y AS (SELECT doc_id, head || counts || coalesce(sizes, '') || coalesce(body, '') AS y FROM ls LEFT JOIN cs USING (doc_id))
+SELECT doc_id AS object_id, (length(y) // 2)::BIGINT AS n_out, sha256(y) AS sha256 FROM y""",
     19: f"""WITH {_BYTES},
 w AS (SELECT doc_id, pos, v, CASE WHEN v = lag(v) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS new FROM b),
 r AS (SELECT doc_id, v, run, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM w) GROUP BY doc_id, v, run),
@@ -239,6 +270,46 @@ for _tid, _sql in _EVERY.items():
     query(_sql)(_transform(_tid))
 
 
+# Rotations are sorted as strings in SQL, so these take the short texts of benchmark; transform_bwt_* take all documents.
+
+_ROTATED = _BYTES.replace("doc_id", "item_id").replace("documents", "benchmark").partition("\n")[0] + f"""
+r AS (SELECT item_id, s, row_number() OVER (PARTITION BY item_id ORDER BY substr(x || x, 2 * s + 1, 2 * len(h)), s) - 1 AS k, h[(s + len(h) - 1) % len(h) + 1] AS last
+  FROM (SELECT item_id, h, array_to_string(h, '') AS x, unnest(generate_series(0, len(h) - 1)) AS s FROM d WHERE len(h) > 0)),
+b AS (SELECT item_id, k AS pos, ('0x' || last)::INT AS v FROM r), {_moved_sql("item_id")},
+u AS (SELECT *, sum(new) OVER (PARTITION BY item_id ORDER BY pos) AS run FROM (SELECT *, CASE WHEN y = lag(y) OVER (PARTITION BY item_id ORDER BY pos) THEN 0 ELSE 1 END AS new FROM y)),
+z AS (SELECT item_id, run, CASE WHEN y > 0 THEN repeat(printf('%02X', y), n) ELSE repeat('00000000FF', n // 259) || CASE WHEN n % 259 < 4 THEN repeat('00', n % 259) ELSE '00000000' || printf('%02X', (n % 259 - 4)::INT) END END AS x
+  FROM (SELECT item_id, run, y, count(*) AS n FROM u GROUP BY item_id, run, y)),
+e AS (SELECT item_id, string_agg(x, '' ORDER BY run) AS x FROM z GROUP BY item_id)"""
+
+
+def _rotated_sql(extra: str, hexed: str) -> str:
+    """extra: the field's hexadecimal from the primary index p; hexed: the bytes', from tables y, z of the item."""
+    return f"""WITH {_ROTATED},
+o AS ({hexed})
+SELECT d.item_id AS object_id, coalesce({extra}, '00000000') AS extra, coalesce(length(o.x) // 2, 0)::BIGINT AS n_out, sha256(coalesce(o.x, '')) AS sha256
+FROM d LEFT JOIN o USING (item_id) LEFT JOIN r ON r.item_id = d.item_id AND r.s = 0"""
+
+
+def _rotated(tid: int):
+    def f(spark, sf_dir):
+        def digest(data: bytes) -> list[tuple]:
+            got, extra = kernels.encode(tid, data)
+            return [(extra.hex().upper(), len(got), hashlib.sha256(got.hex().upper().encode()).hexdigest())]
+
+        objects = stats.objects_of(_table(spark, sf_dir, "benchmark"), "item_id", "text")
+        return stats.map_objects(objects, digest, [("extra", "string", _STR), ("n_out", "bigint", _I64), ("sha256", "string", _STR)])
+
+    f.__name__ = f"benchmark_{kernels.REGISTRY[tid].name.lower()}"
+    f.__doc__ = f"Extra field, length and digest of each benchmark item's bytes after transform {tid}."
+    return f
+
+
+_PRIMARY = "printf('%08X', r.k::INT)"
+_PLAIN = "SELECT item_id, string_agg(printf('%02X', y), '' ORDER BY pos) AS x FROM y GROUP BY item_id"
+for _tid, _hexed in ((5, _PLAIN), (12, "SELECT item_id, x FROM e"), (16, _PLAIN)):
+    query(_rotated_sql(_PRIMARY, _hexed))(_rotated(_tid))
+
+
 @query(_digest_sql("CASE WHEN pos < 4096 THEN v ELSE xor(v, before) END", ctes="").replace("FROM b)", ", lag(v, 4096, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM b)"))
 def transform_xor_previous(spark, sf_dir):
     """Digest of each document's blocks of 4096 bytes, each xored with the one before."""
@@ -269,13 +340,13 @@ def column_delta2_zigzag(spark, sf_dir):
 
 @query("""WITH t AS (SELECT l_orderkey // 1024 AS block, l_orderkey AS x, xor(l_orderkey, lag(l_orderkey, 1, 0) OVER (PARTITION BY l_orderkey // 1024 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS y FROM lineitem)
 SELECT block, plane::BIGINT AS plane, count(*) AS n_rows, sum((x >> (8 * plane)::INT) & 255)::BIGINT AS sum_raw, sum((y >> (8 * plane)::INT) & 255)::BIGINT AS sum_xor, count(CASE WHEN (y >> (8 * plane)::INT) & 255 = 0 THEN 1 END) AS n_zero
-FROM t, (SELECT unnest([0, 1, 2, 3]) AS plane) GROUP BY block, plane""")
+FROM t, (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS plane) GROUP BY block, plane""")
 def column_byte_planes(spark, sf_dir):
     """Byte planes of order keys, as they are and xored with the key before, per block."""
     w = W.partitionBy("block").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     t = _table(spark, sf_dir, "lineitem").withColumn("block", F.floor(F.col("l_orderkey") / 1024))
     t = t.withColumn("y", F.col("l_orderkey").bitwiseXOR(F.lag("l_orderkey", 1, 0).over(w)))
-    planes = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("plane"), F.shiftright("l_orderkey", 8 * k).bitwiseAND(F.lit(255)).alias("x"), F.shiftright("y", 8 * k).bitwiseAND(F.lit(255)).alias("y")) for k in range(4)]))
+    planes = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("plane"), F.shiftright("l_orderkey", 8 * k).bitwiseAND(F.lit(255)).alias("x"), F.shiftright("y", 8 * k).bitwiseAND(F.lit(255)).alias("y")) for k in range(8)]))
     return t.select("block", planes.alias("p")).groupBy("block", "p.plane").agg(F.count("*").alias("n_rows"), F.sum("p.x").alias("sum_raw"), F.sum("p.y").alias("sum_xor"), F.count(F.when(F.col("p.y") == 0, 1)).alias("n_zero"))
 
 
@@ -324,18 +395,31 @@ def token_columns(spark, sf_dir):
     return stats.record_columns(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+_CHUNKS = f"""WITH RECURSIVE {_BYTES},
+p AS (SELECT 0 AS i, 1 AS up, 1 AS down UNION ALL SELECT i + 1, up * 191 % 4096, down * 3903 % 4096 FROM p WHERE i < 63),
+q AS (SELECT doc_id, pos, sum(v * down % 4096) OVER (PARTITION BY doc_id ORDER BY pos) % 4096 * up % 4096 AS low FROM b JOIN p ON pos % 64 = i),
+cut AS (SELECT doc_id, list(pos ORDER BY pos) AS cuts FROM q WHERE low = 0 GROUP BY doc_id),
+o AS (SELECT doc_id, len(h) AS n, array_to_string(h, '') AS hex, coalesce(cuts, []) AS cuts FROM d LEFT JOIN cut USING (doc_id)),
+s AS (
+  SELECT doc_id, 0 AS chunk_no, 0::BIGINT AS start, n, cuts, least(coalesce(list_filter(cuts, lambda x: x >= 1024)[1], n), 8192, n - 1) + 1 AS fin FROM o WHERE n > 0
+  UNION ALL
+  SELECT doc_id, chunk_no + 1, fin, n, cuts, CASE WHEN chunk_no + 1 > 1024 THEN n ELSE least(coalesce(list_filter(cuts, lambda x: x >= fin + 1024)[1], n), fin + 8192, n - 1) + 1 END FROM s WHERE fin < n),
+c AS (SELECT doc_id AS object_id, chunk_no::INT AS chunk_no, start, fin - start AS size, sha256(unhex(substr(hex, 2 * start + 1, 2 * (fin - start)))) AS sha256 FROM s JOIN o USING (doc_id)),
+u AS (SELECT sha256, size, count(*) AS n FROM c WHERE size >= 8 GROUP BY sha256, size HAVING count(*) > 1 ORDER BY n DESC, sha256 LIMIT 4096)"""
+
+
+@query(f"{_CHUNKS} SELECT * FROM c")
 def chunk_layout(spark, sf_dir):
-    """Content-defined chunks of each document."""
+    """Content-defined chunks of each document. After 1025 chunks the rest of a document is one (the rule's own limit)."""
     return stats.chunks(_documents(spark, sf_dir))
 
 
-@query()
+@query(f"{_CHUNKS} SELECT * FROM u")
 def chunk_duplicates(spark, sf_dir):
     return stats.duplicate_chunks(stats.chunks(_documents(spark, sf_dir)))
 
 
-@query()
+@query(f"{_CHUNKS} SELECT c.object_id, count(*) AS n_chunks, count(u.n) AS n_known, coalesce(sum(CASE WHEN u.n > 0 THEN c.size END), 0)::BIGINT AS known_bytes FROM c LEFT JOIN u USING (sha256, size) GROUP BY c.object_id")
 def chunk_substitution(spark, sf_dir):
     """Bytes that a dictionary of the commonest chunks would save, by document."""
     found = stats.chunks(_documents(spark, sf_dir))
@@ -356,7 +440,7 @@ def order_entropy_cost(data: bytes) -> int:
 
 def _packed_orders(spark, sf_dir) -> DataFrame:
     orders = _table(spark, sf_dir, "orders")
-    return pack_column(orders, F.col("o_orderkey"), ["o_orderkey"], F.concat(F.lit("o"), F.floor(F.col("o_orderkey") / 1024)), 4)
+    return pack_column(orders, F.col("o_orderkey"), ["o_orderkey"], F.concat(F.lit("o"), F.floor(F.col("o_orderkey") / 1024)), 8)
 
 
 def _priced_objects(spark, sf_dir) -> DataFrame:
@@ -366,7 +450,7 @@ def _priced_objects(spark, sf_dir) -> DataFrame:
 
 @query(f"""WITH {_BYTES},
 o AS (SELECT 'o' || (o_orderkey // 1024) AS id, row_number() OVER (PARTITION BY o_orderkey // 1024 ORDER BY o_orderkey) - 1 AS i, o_orderkey AS x FROM orders),
-a AS (SELECT 'd' || doc_id AS id, pos, v FROM b UNION ALL SELECT id, 4 * i + k AS pos, ((x >> (8 * k)::INT) & 255)::INT AS v FROM o, (SELECT unnest([0, 1, 2, 3]) AS k)),
+a AS (SELECT 'd' || doc_id AS id, pos, v FROM b UNION ALL SELECT id, 8 * i + k AS pos, ((x >> (8 * k)::INT) & 255)::INT AS v FROM o, (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS k)),
 c AS (SELECT id, pos // {BLOCK} AS block, pos % {BLOCK} AS pos, v FROM a),
 w AS (SELECT *, lag(v, 1, 0) OVER (PARTITION BY id, block ORDER BY pos) AS p, lag(v, 2, 0) OVER (PARTITION BY id, block ORDER BY pos) AS q FROM c),
 y AS (SELECT id, block, 0 AS tid, v AS y FROM w UNION ALL SELECT id, block, 1, {_D1} FROM w UNION ALL SELECT id, block, 2, xor(v, p) FROM w UNION ALL SELECT id, block, 11, CASE WHEN pos < 2 THEN v ELSE {_D2} END FROM w),
@@ -418,10 +502,16 @@ def screen_misses(spark, sf_dir):
     return stats.map_objects(_priced_objects(spark, sf_dir), f, [("block_no", "bigint", _I64), ("best", "string", _STR), ("screened", "string", _STR), ("lost_bytes", "bigint", _I64)])
 
 
+def _zstd_long(data: bytes) -> bytes:
+    """Level 22 with matches over a window of 128 MiB."""
+    wide = zstandard.ZstdCompressionParameters.from_level(22, window_log=27, enable_ldm=True)
+    return zstandard.ZstdCompressor(compression_params=wide).compress(data)
+
+
 @query()
 def codec_report(spark, sf_dir):
     """Bytes of all documents, each compressed on its own, by codec."""
-    codecs = {"zlib-9": Codec("zlib", 9).compress, "xz-9": Codec("lzma", 9).compress, "zstd-19": Codec("zstd", 19).compress, "bzip2-9": lambda d: bz2.compress(d, 9), "huffman": lambda d: b"\0" * 512 + Codec("huffman").compress(d)}
+    codecs = {"zlib-9": Codec("zlib", 9).compress, "xz-9": Codec("lzma", 9).compress, "zstd-19": Codec("zstd", 19).compress, "zstd-22": Codec("zstd", 22).compress, "zstd-22-long": _zstd_long, "bzip2-9": lambda d: bz2.compress(d, 9), "huffman": lambda d: b"\0" * 512 + Codec("huffman").compress(d)}
 
     def f(data: bytes) -> list[tuple]:
         return [(name, len(data), len(c(data))) for name, c in codecs.items()]
@@ -430,9 +520,16 @@ def codec_report(spark, sf_dir):
     return rows.groupBy("codec").agg(F.sum("raw").alias("raw_bytes"), F.sum("packed").alias("packed_bytes"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BYTES},
+c AS (SELECT doc_id, list(n ORDER BY n) AS w FROM (SELECT doc_id, v, count(*) AS n FROM b GROUP BY doc_id, v) GROUP BY doc_id),
+m AS (SELECT doc_id, CASE WHEN len(w) = 1 THEN [0, w[1]] ELSE w END AS w, 0::BIGINT AS bits FROM c
+  UNION ALL SELECT doc_id, list_sort(list_append(w[3:], w[1] + w[2])), bits + w[1] + w[2] FROM m WHERE len(w) > 1)
+SELECT d.doc_id AS object_id, len(d.h)::BIGINT AS n_bytes, ((coalesce(max(bits), 0) + 7) // 8 + 512)::BIGINT AS huffman_bytes FROM d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id, d.h""")
 def huffman_sizes(spark, sf_dir):
-    """Bytes of each document's order-0 Huffman code with its table, estimated from counts."""
+    """Bytes of each document's order-0 Huffman code with its table, estimated from counts.
+
+    The SQL sums the weights of merges, which is the least for counts that aren't scaled down to 16 bits.
+    """
 
     def f(data: bytes) -> list[tuple]:
         n = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
@@ -443,13 +540,22 @@ def huffman_sizes(spark, sf_dir):
 
 @query()
 def dictionary_gate(spark, sf_dir):
-    """Whether a zstd dictionary trained on a sample of blocks pays."""
+    """Whether a zstd dictionary trained on a sample of blocks of all documents pays on the first 64 KiB of the sample, which is all that the rule prices."""
     pieces = dictionary.sample(to_blocks(_documents(spark, sf_dir), dictionary.PIECE))
     trained = dictionary.train(pieces)
     without, with_it, pays = dictionary.gate(pieces, trained, 19)
     return spark.createDataFrame([(len(trained), without, with_it, pays)], "dictionary_bytes long, without long, with_dictionary long, pays boolean")
 
 
-@query()
+# Id, name, most bytes made of one, rank in version 4, whether it is searched.
+_LISTED = """(0, 'RAW', 1, 0, true), (1, 'DELTA', 1, 4, true), (2, 'XOR_DELTA', 1, 7, true), (3, 'DELTA2', 1, 8, true), (4, 'MTF', 1, 1004, true),
+(5, 'BWT_MTF', 1, 2, true), (6, 'SHUFFLE_2', 1, 9, true), (7, 'SHUFFLE_4', 1, 5, true), (8, 'SHUFFLE_8', 1, 10, true), (9, 'DELTA_ZIGZAG', 1, 11, true),
+(10, 'DELTA2_ZIGZAG', 1, 12, true), (11, 'ORDER2', 1, 13, true), (12, 'BWT_MTF_RLE', 2, 6, true), (13, 'FLOAT_SPLIT', 1, 14, true), (14, 'BIT_TRANSPOSE', 1, 15, true),
+(15, 'SHUFFLE4_DELTA', 1, 16, true), (16, 'BWT_SUBBLOCK', 1, 3, true), (17, 'DICT_RESERVED', 1, 17, false), (18, 'RECORD_COLUMNS', 9, 1018, false), (19, 'RLE', 3, 1, true),
+(99, 'XOR_PREV', 1, 1099, false), (100, 'BIT_PLANE', 1, 1100, false)"""
+
+
+@query(f"SELECT * FROM (VALUES {_LISTED}) t(tid, name, expansion, rank, searched)")
 def transform_registry(spark, sf_dir):
+    """The transforms, as registered. Searches by version 4 and lzma try BIT_PLANE too, and XOR_PREV is an option."""
     return spark.createDataFrame([(r["tid"], r["name"], r["expansion"], r["rank"], r["searched"]) for r in kernels.listing()], "tid int, name string, expansion int, rank int, searched boolean")
