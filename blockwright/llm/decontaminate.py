@@ -191,3 +191,15 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: All pairs of shingles that are equal, counted.
+ORACLE = f"""
+WITH t AS (SELECT item_id, row_number() OVER () AS own, {tx.WORDS_SQL} AS k FROM benchmark WHERE text IS NOT NULL),
+i AS (SELECT own, item_id, size, k[at_word : at_word + size - 1] AS s FROM (SELECT own, item_id, k, least({SHINGLE}, len(k)) AS size, unnest(generate_series(1, len(k) - least({SHINGLE}, len(k)) + 1)) AS at_word FROM t WHERE len(k) > 0)),
+n AS (SELECT own, item_id, size, count(DISTINCT s) AS n_item FROM i GROUP BY ALL),
+d AS (SELECT doc_id, row_number() OVER () AS row, {tx.WORDS_SQL} AS k FROM documents),
+g AS (SELECT DISTINCT doc_id, row, size, k[at_word : at_word + size - 1] AS s FROM (SELECT doc_id, row, k, size, unnest(generate_series(1, len(k) - size + 1)) AS at_word FROM d, (SELECT DISTINCT size FROM n) WHERE len(k) >= size)),
+c AS (SELECT doc_id, row, own, count(DISTINCT s) AS n_common FROM g JOIN (SELECT DISTINCT own, size, s FROM i) USING (size, s) GROUP BY ALL)
+SELECT doc_id, item_id, n_common, n_item, n_common / n_item::DOUBLE AS containment FROM c JOIN n USING (own) WHERE n_common >= ceil({CONTAINMENT}::DOUBLE * n_item)
+"""

@@ -16,9 +16,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from blockwright.llm import text as tx
-from blockwright.llm.spark import per_block
+from blockwright.llm.spark import per_block, table
 
 # Phrases whose every place counts, and their labels.
 BASE = {
@@ -148,7 +149,7 @@ class Scanner:
         self.pair = np.zeros((len(vocabulary) + 1,) * 2, bool)  # adjacent words of templates; the last row: other words
         for s in self.seqs:
             self.pair[s[:-1], s[1:]] = True
-        self.single = {s[0]: i for i, s in enumerate(self.seqs) if len(s) == 1}
+        self.single = {s[0]: i for i, s in enumerate(self.seqs[: self.n_base]) if len(s) == 1}
         self.automaton = Automaton(self.seqs)
 
     def runs(self, ids: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
@@ -160,14 +161,14 @@ class Scanner:
         return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) + 1).tolist(), strict=True))
 
     def matches(self, ids: np.ndarray, lo: int, hi: int):
-        """Whole base phrases (phrase, start), and maximal matches (start, end, state) of a word range."""
+        """Whole base phrases of two words or more (phrase, start), and maximal matches (start, end, state) of a word range."""
         words = ids[lo:hi].tolist()
         phrases, long, before = [], [], (0, 0)
         for at, (state, length) in enumerate(self.automaton.statistics(words)):
             if before[1] >= length and before[1] >= self.scan.least:  # the match before couldn't go on
                 long.append((lo + at - before[1], lo + at, before[0]))
             for which, size in self.automaton.whole[state]:
-                if which < self.n_base and size <= length:
+                if which < self.n_base and 1 < size <= length:
                     phrases.append((which, lo + at + 1 - size))
             before = (state, length)
         if before[1] >= self.scan.least:
@@ -223,6 +224,9 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n = hi - lo
             places: dict[int, list] = {}
             matched: dict[int, list] = {}
+            for word, which in s.single.items():
+                for at in np.flatnonzero(ids == word).tolist():
+                    places.setdefault(int(np.searchsorted(words.off, at, "right")) - 1, []).append((which, at))
             for a, b in s.runs(ids, words.off):
                 phrases, long = s.matches(ids, a, b)
                 if phrases or long:
@@ -251,6 +255,21 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
-    from blockwright.llm.spark import table
-
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def license_base(spark, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1's rows: words, and places (-1: none) and labels of base phrases."""
+    places = [F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("first_word", "last_word")]
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", *places, "base_labels")
+
+
+BASE_ORACLE = f"""
+WITH w AS (SELECT doc_id, {tx.WORDS_SQL} AS k FROM documents),
+p AS (SELECT unnest({[p.split() for p in BASE]}) AS phrase, unnest({list(BASE.values())}) AS label),
+i AS (SELECT doc_id, k, unnest(generate_series(1, len(k))) AS i FROM w),
+f AS (SELECT doc_id, label, i - 1 AS at_word FROM i JOIN p ON k[i : i + len(phrase) - 1] = phrase)
+SELECT w.doc_id, any_value(len(w.k))::BIGINT AS n_words, count(label) AS n_base, coalesce(min(at_word), -1)::BIGINT AS first_word, coalesce(max(at_word), -1)::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (label IS NOT NULL)), ','), '') AS base_labels
+FROM w LEFT JOIN f USING (doc_id) GROUP BY w.doc_id
+"""

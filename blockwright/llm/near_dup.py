@@ -449,3 +449,23 @@ def keep_one(df: DataFrame) -> DataFrame:
 
 def op2_near_dup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: All pairs of texts with a shingle in common, and what they reach, in DuckDB's SQL. It knows nothing of bands.
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, text, {tx.WORDS_SQL} AS k FROM documents WHERE doc_id IS NOT NULL),
+own AS (SELECT k, min(doc_id) AS node FROM w WHERE text IS NOT NULL AND len(k) > 0 GROUP BY k),
+s AS (SELECT node, k[i : i + {SHINGLE - 1}] AS s, count(*) AS tf FROM (SELECT node, k, unnest(generate_series(1, greatest(len(k) - {SHINGLE - 1}, 1))) AS i FROM own) GROUP BY ALL),
+many AS (SELECT node, count(*) AS n FROM w JOIN own USING (k) WHERE text IS NOT NULL GROUP BY node),
+df AS (SELECT s, sum(n) / (SELECT count(*) FROM w WHERE text IS NOT NULL)::DOUBLE AS share FROM s JOIN many USING (node) GROUP BY s),
+x AS (SELECT node, s, tf, (1 + {SLOPE} * ln(least(greatest(share, {SHARE}), 1)) / ln({SHARE}::DOUBLE))::FLOAT::DOUBLE AS idf FROM s JOIN df USING (s)),
+total AS (SELECT node, sum((1 + ln(tf)) * idf) AS t FROM x GROUP BY node),
+low AS (SELECT a.node AS a, b.node AS b, sum((1 + ln(least(a.tf, b.tf))) * a.idf) AS low FROM x a JOIN x b ON a.s = b.s AND a.node < b.node GROUP BY ALL),
+e AS (SELECT a, b FROM low JOIN total p ON p.node = a JOIN total q ON q.node = b WHERE low >= ({SIMILARITY}::DOUBLE - {TIE}) * (p.t + q.t - low)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT node AS a, node AS b FROM own UNION SELECT r.a, y.b FROM r JOIN both_ways y ON y.a = r.b),
+c AS (SELECT a AS node, min(b) AS class_id FROM r GROUP BY a)
+SELECT doc_id, class_id FROM w JOIN own USING (k) JOIN c USING (node) WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, min(doc_id) OVER (PARTITION BY text) FROM w WHERE text IS NOT NULL AND len(k) = 0
+UNION ALL SELECT doc_id, doc_id FROM w WHERE text IS NULL
+"""

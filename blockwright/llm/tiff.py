@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from blockwright.llm.spark import per_block
+from blockwright.llm.spark import per_block, table
 
 # Fixed values of the format: tags, field sizes, compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -394,6 +394,16 @@ def media_digests(media: DataFrame) -> DataFrame:
 
 
 def op3_tiff_media(spark, sf_dir: str) -> DataFrame:
-    from blockwright.llm.spark import table
-
     return media_digests(text_media(table(spark, sf_dir, "documents")))
+
+
+def media_payload(spark, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3's rows: sizes and the digest of the bytes read back."""
+    return op3_tiff_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+PAYLOAD_ORACLE = """
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, n, h, greatest((n + 63) // 64 * 64, 64) AS size FROM d)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(unhex(h || repeat('00', size - n))) AS payload_sha256 FROM p
+"""

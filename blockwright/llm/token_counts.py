@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from blockwright.llm import tokens as tk
 from blockwright.llm.spark import per_block, table
@@ -140,5 +141,21 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return per_block(df.select(id_col, text_col, *([sections_col] if sections_col else [])), work, SCHEMA)
 
 
+def token_sections(spark, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6's rows: the sections, and that their tokens are the document's."""
+    rows = op6_token_counts(spark, sf_dir)
+    own = rows.groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.sum(F.col("end") - F.col("start")).alias("n_chars"), F.max("end").alias("last_end"), F.sum(F.col("section").cast("long") * F.col("start")).alias("starts"), (F.sum("n_tokens") - F.max("doc_tokens")).cast("long").alias("lost_tokens"))
+    return own
+
+
+SECTIONS_ORACLE = """
+WITH l AS (SELECT doc_id, unnest(generate_series(1, len(x))) AS k, len(x) AS n, unnest(x) AS s FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+e AS (SELECT doc_id, k, n, s, length(s) + CASE WHEN k < n THEN 1 ELSE 0 END AS size FROM l),
+f AS (SELECT * FROM e WHERE size > 0 OR n = 1),
+p AS (SELECT doc_id, k - 1 AS section, size, sum(size) OVER (PARTITION BY doc_id ORDER BY k) - size AS start FROM f)
+SELECT doc_id, count(*) AS n_sections, sum(size)::BIGINT AS n_chars, max(start + size)::BIGINT AS last_end, sum(section * start)::BIGINT AS starts, 0::BIGINT AS lost_tokens FROM p GROUP BY doc_id
+"""
+
+
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tk.tokenizer_path("byte_bpe_50k.tiktoken"))

@@ -104,6 +104,16 @@ def test_license_spans(spark):
     assert got[3]["labels"] == "apache-2.0" and got[4]["labels"] == ""
 
 
+def test_base_phrases_of_one_word():
+    scan = licenses.Scanner({"unlicense": "public-domain", "all rights reserved": "reserved"}, [], licenses.Scan())
+    text = b"Unlicense: all rights reserved, unlicense unlicensed"
+    words = tx.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    ids = scan.lookup(words.hash)
+    assert list(scan.single.values()) == [0] and [int(np.flatnonzero(ids == w)[k]) for w in scan.single for k in (0, 1)] == [0, 4]
+    ids[ids < 0] = len(scan.pair) - 1
+    assert [p for a, b in scan.runs(ids, words.off) for p in scan.matches(ids, a, b)[0]] == [(1, 1)]
+
+
 # Near copies
 
 

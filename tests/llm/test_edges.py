@@ -9,7 +9,7 @@ from tests.conftest import SMALL
 import corpus_pipeline
 from blockwright.llm import chat, decontaminate, language, licenses, lm_score, near_dup, packing, quality, tiff, token_counts
 from blockwright.llm import tokens as tk
-from blockwright.llm.queries import ORACLES, QUERIES
+from blockwright.llm.queries import OPERATORS, ORACLES, QUERIES
 
 BPE = tk.tokenizer_path("byte_bpe_50k.tiktoken")
 _rng = random.Random(1)
@@ -118,4 +118,11 @@ def test_pipeline(spark):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in OPERATORS) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_against_sql(spark, duck, name):
+    show = lambda f: sorted(map(str, f[sorted(f.columns)].itertuples(index=False, name=None)))
+    got, want = QUERIES[name](spark, SMALL).toPandas(), duck.sql(ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and len(got) and show(got) == show(want)
