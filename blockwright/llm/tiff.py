@@ -26,6 +26,10 @@ INTEGERS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I", 16: "Q", 17
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
 
+#: Most bytes of a page's samples; and no scheme makes more than EXPANSION bytes of one.
+MAX_PAGE, EXPANSION = 1 << 30, 4096
+
+
 class TiffError(ValueError):
     """The bytes are no TIFF file of the kinds that are read here."""
 
@@ -267,9 +271,13 @@ def decode_page(data: bytes, order: str, tags: dict) -> Page:
     if not w or h is None or bits not in (8, 16, 32) or len(set(tags.get(BITS, (bits,)))) > 1:
         raise TiffError(f"{bits} bits a sample, {w} x {h} pixels")
     kind = np.dtype(f"u{bits // 8}")
+    if w < 0 or h < 0 or spp < 1 or w * h * spp * kind.itemsize > min(MAX_PAGE, EXPANSION * len(data)):
+        raise TiffError(f"{w} x {h} pixels of {spp} samples in a file of {len(data)} bytes")
     tiled = TILE_OFFSETS in tags
     tw, th = (page.tag(TILE_WIDTH), page.tag(TILE_HEIGHT)) if tiled else (w, min(h or 1, page.tag(ROWS_PER_STRIP, h) or h or 1))
     offsets, counts = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, ())
+    if not tw or not th or tw < 0 or th < 0 or tw * th * spp * kind.itemsize > MAX_PAGE:
+        raise TiffError(f"tiles of {tw} x {th}")
     planes = spp if page.tag(PLANAR, 1) == 2 else 1
     inner, across, down = spp // planes, -(-w // tw), -(-h // th)
     if len(offsets) != len(counts) or len(offsets) < planes * across * down:
@@ -306,7 +314,7 @@ def each_page(data: bytes):
             page = tags if isinstance(tags, TiffError) else decode_page(data, order, tags)
         except TiffError as e:
             page = e
-        except (ValueError, TypeError, ArithmeticError, MemoryError) as e:  # sizes that make no sense
+        except (ValueError, TypeError, LookupError, ArithmeticError, MemoryError) as e:  # sizes that make no sense
             page = TiffError(f"{type(e).__name__}: {e}")
         yield page
 
@@ -378,7 +386,11 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Reads the files of ``text_media`` back, page by page, and digests what they hold."""
+    """Reads the files of ``text_media`` back, page by page, and digests what they hold.
+
+    Equal files give equal rows; rows that share an id, or have none, stay rows of their own.  Media that are no TIFF
+    file end the query: they come from ``text_media``, which makes one of every text, null and empty ones too.
+    """
     from hashlib import sha256
 
     def work(batch: pa.RecordBatch):

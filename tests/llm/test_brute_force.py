@@ -291,6 +291,66 @@ def test_tiff_codecs_and_damage():
             tiff.decode(bad)
 
 
+def test_tiff_codes_written_by_hand():
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")  # the example in descriptions of PackBits
+    plain = bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22" + "AA" * 10)
+    assert tiff.packbits_decode(packed, len(plain)) == plain and tiff.packbits_decode(b"\x80" + packed, len(plain)) == plain
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]  # the example in the format's description, 9 bits each
+    bits = "".join(f"{c:09b}" for c in codes)
+    data = int(bits.ljust(88, "0"), 2).to_bytes(11, "big")
+    assert tiff.lzw_decode(data, 9) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]) and tiff.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]))[: len(data)] == data
+    with pytest.raises(tiff.TiffError):
+        tiff.lzw_decode(data, 10)
+    with pytest.raises(tiff.TiffError):
+        tiff.packbits_decode(packed, len(plain) + 1)
+
+
+def with_fields(data, changes):
+    """A one-page file with other (kind, count, value) in some fields."""
+    data = bytearray(data)
+    at = struct.unpack_from("<I", data, 4)[0]
+    for i in range(struct.unpack_from("<H", data, at)[0]):
+        field = at + 2 + 12 * i
+        tag = struct.unpack_from("<H", data, field)[0]
+        if tag in changes:
+            struct.pack_into("<HHII", data, field, *([tag, *changes[tag]] if changes[tag] else [60000, 3, 1, 0]))
+    return bytes(data)
+
+
+def test_tiff_sizes_that_make_no_sense(spark):
+    tiled = tiff.encode([np.ones((9, 9), np.uint8)], tile=(16, 16))
+    plain = tiff.encode([np.ones((9, 9), np.uint8)], tiff.NONE)
+    files = [
+        with_fields(tiled, {tiff.TILE_WIDTH: None}),
+        with_fields(tiled, {tiff.TILE_WIDTH: (4, 1, 0)}),
+        with_fields(plain, {tiff.WIDTH: (4, 0, 0)}),
+        with_fields(plain, {tiff.SAMPLES: (3, 1, 0), tiff.PLANAR: (3, 1, 2)}),
+        with_fields(plain, {tiff.WIDTH: (4, 1, 4 * 10**9), tiff.HEIGHT: (4, 1, 4 * 10**9)}),
+        with_fields(plain, {tiff.WIDTH: (4, 1, 30_000), tiff.HEIGHT: (4, 1, 30_000)}),
+        with_fields(tiled, {tiff.TILE_WIDTH: (4, 1, 10**9), tiff.TILE_HEIGHT: (4, 1, 10**9)}),
+        with_fields(plain, {tiff.HEIGHT: (9, 1, 0xFFFFFFFF)}),
+        with_fields(plain, {tiff.BITS: (3, 0, 0)}),
+    ]
+    rows = tiff.read_pages(spark.createDataFrame(list(enumerate(files)), "media_id long, media binary")).collect()
+    assert sorted((r["media_id"], r["page"]) for r in rows) == [(i, 0) for i in range(len(files))] and all(r["error"] and r["pixels"] is None for r in rows)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_tiff_flipped_bytes_give_pages_or_errors(seed):
+    rng = np.random.default_rng(seed)
+    whole = [tiff.encode([rng.integers(0, 9, (20, 30), np.uint8), rng.integers(0, 9, (12, 9, 3)).astype(np.uint16)], how, 2, 8, tile) for how in (tiff.LZW, tiff.PACKBITS, tiff.DEFLATE) for tile in (None, (16, 16))]
+    for data in whole:
+        for _ in range(60):
+            bad = bytearray(data)
+            for at in rng.integers(0, len(bad), rng.integers(1, 5)):
+                bad[at] = rng.integers(0, 256)
+            try:
+                for page in tiff.each_page(bytes(bad[: rng.integers(1, len(bad) + 1)] if rng.random() < 0.3 else bad)):
+                    assert isinstance(page, (tiff.Page, tiff.TiffError))
+            except tiff.TiffError:
+                pass
+
+
 def test_tiff_float_predictor():
     image = np.linspace(-5, 5, 60, dtype=">f4").reshape(6, 10)
     raw = image.view(np.uint8).reshape(6, 10, 4).transpose(0, 2, 1).reshape(6, 40)
@@ -710,6 +770,13 @@ def test_contexts_of_a_language_with_little_text():
     assert (model.contexts(data, np.array([0, len(data)]))[3:] > 0).all()
 
 
+def test_equal_codes_give_the_first_language_by_name():
+    models = language.Models(["aa", "bb", "cc"], np.zeros(3), [])
+    bits = np.array([[5.0, 5.0, 5.0], [9.0, 7.0, 7.0]])
+    langs, share, _ = models.predict(bits, np.array([0, 2, 4]), np.array([True, True]))
+    assert langs == ["aa", "bb"] and abs(share[0] - 1 / 3) < 1e-9 and abs(share[1] - 1 / 2.25) < 1e-9
+
+
 def test_texts_of_no_learned_language_go(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rng = random.Random(1)
@@ -766,6 +833,49 @@ def test_trees():
     assert (quality.fit(x[:50], np.ones(50)).score(x[:3]) > 0.9).all()
 
 
+def test_trees_against_a_plain_search():
+    """One tree of depth 1 and 2 against all splits of the bins, by the same gain."""
+    rng = np.random.default_rng(8)
+    for depth in (1, 2):
+        x = rng.integers(0, 12, (300, 3)).astype(np.float32)
+        y = ((x[:, 1] > 6) ^ (rng.random(300) < 0.2)).astype(float)
+        s = quality.Settings(trees=1, depth=depth, bins=64, leaf=20)
+        model = quality.fit(x, y, s)
+        p = (y.sum() + 1) / (len(y) + 2)
+        grad, hess = p - y, np.full(len(y), p * (1 - p))
+
+        def grow(rows, d, s=s, x=x, grad=grad, hess=hess, depth=depth):
+            leaf = -s.rate * grad[rows].sum() / (hess[rows].sum() + s.shrink)
+            if d == depth:
+                return {i: leaf for i in rows}
+            best = None
+            for f in range(3):
+                for limit in sorted(set(x[:, f]))[:-1]:
+                    left = [i for i in rows if x[i, f] <= limit]
+                    right = [i for i in rows if x[i, f] > limit]
+                    if min(len(left), len(right)) < s.leaf:
+                        continue
+                    part = lambda r: grad[r].sum() ** 2 / (hess[r].sum() + s.shrink)
+                    gain = part(left) + part(right) - part(rows)
+                    if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
+                        best = (gain, left, right)
+            if best is None:
+                return {i: leaf for i in rows}
+            return grow(best[1], d + 1) | grow(best[2], d + 1)
+
+        want = grow(list(range(300)), 0)
+        got = model.raw(x) - model.base
+        assert np.allclose([want[i] for i in range(300)], got, atol=1e-6)
+
+
+def test_a_score_of_exactly_the_limit_is_good(spark):
+    none = np.zeros((0, 3), np.float32)
+    trees = quality.Trees(1.0, 1, none.astype(np.int16), none, none)
+    score = float(trees.score(np.zeros((1, len(quality.NAMES)), np.float32))[0])
+    frame = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    assert quality.keep_good(frame, trees, least=score).count() == 2 and quality.keep_good(frame, trees, least=np.nextafter(score, 1)).count() == 0
+
+
 def test_quality_accuracy(spark):
     folder = SMALL.replace("0.001", "0.01")
     rows = quality.op10_quality(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").collect()
