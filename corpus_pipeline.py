@@ -9,31 +9,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from blockwright.llm import decontaminate, language, near_dup, packing, quality
-from blockwright.llm.spark import stored, table
+from blockwright.llm.spark import dropped, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told."""
+    """Documents whose language is told: null texts, texts without a letter and texts of no learned language go. Without any lang all go."""
     return language.keep_identified(docs, language.train(docs))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as good."""
+    """Documents that score as good; a null text counts as empty. Without labels all score 0.5, and go."""
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies: its smallest id's. Null texts are like none; rows without an id all stay."""
     return near_dup.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null texts hold none, and null or wordless items are in none."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
+    """Pieces of documents with their places in sequences; a null text is an empty one, and each row is a document of its own."""
     return packing.pack(docs)
 
 
@@ -50,10 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from documents; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, from documents; each result is written to the shared folder, read again, and removed when the next one is there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = stored(docs)
+        if before is not None:  # the last stage stores its pieces' places itself
+            dropped(before)
+        before = docs
     return docs
