@@ -78,22 +78,33 @@ def ngrams(objects: DataFrame, size: int = 6, least: int = 3, top: int = 4096) -
     Counts are merged in each task before they are exchanged; size is 1 to 8 bytes; gram is hexadecimal.  Ids may be
     numbers or strings, and are compared as such.
     """
-    kind = "string" if objects.schema["object_id"].dataType.simpleString() == "string" else "bigint"
     if not 1 <= size <= 8:
         raise ValueError("n-grams have 1 to 8 bytes")
+    kind = "string" if objects.schema["object_id"].dataType.simpleString() == "string" else "bigint"
+    objects = objects.filter(F.col("object_id").isNotNull())
+    packed = False  # whether an object and a place in it are one number, which hash aggregation takes
+    if kind == "bigint":
+        ends = objects.agg(F.min("object_id").alias("lo"), F.max("object_id").alias("hi")).first()
+        packed = ends["lo"] is None or 0 <= ends["lo"] and ends["hi"] < 1 << 31
 
     def f(batches):
         held: list[tuple] = []
         n = 0
 
         def flush():
-            keys, obj, pos, times = (np.concatenate(c) for c in zip(*held, strict=True))
-            held.clear()
-            order = np.lexsort((pos, np.unique(obj, return_inverse=True)[1], keys))
-            keys, obj, pos, times = keys[order], obj[order], pos[order], times[order]
+            held.sort(key=lambda x: x[0])
+            keys = np.concatenate([x[1] for x in held])
+            sizes = [len(x[1]) for x in held]
+            owner = np.repeat(np.arange(len(held)), sizes)
+            pos = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            order = np.argsort(keys, kind="stable")  # so the first of equal ones is of the first object
+            keys = keys[order]
             at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            total = np.add.reduceat(times, at)
-            return pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(total), pa.array(obj[at], pa.string() if obj.dtype == object else pa.int64()), pa.array(pos[at])], names=["k", "n", "o", "p"])
+            first = order[at]
+            names = pa.array([x[0] for x in held], pa.string() if kind == "string" else pa.int64()).take(pa.array(owner[first]))
+            held.clear()
+            place = [pa.array(names.to_numpy() << 32 | pos[first])] if packed else [names, pa.array(pos[first])]
+            return pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(np.diff(np.append(at, len(keys)))), *place], names=["k", "n", *(["first"] if packed else ["o", "p"])])
 
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -104,19 +115,20 @@ def ngrams(objects: DataFrame, size: int = 6, least: int = 3, top: int = 4096) -
                 g = np.zeros(m, np.uint64)
                 for j in range(size):
                     g = g << np.uint64(8) | x[j : j + m]
-                keys, first, times = np.unique(g, return_index=True, return_counts=True)
-                held.append((keys, np.full(len(keys), key, object if isinstance(key, str) else np.int64), first.astype(np.int64), times.astype(np.int64)))
-                n += len(keys)
-                if n > 1 << 21:
+                held.append((key, g))
+                n += m
+                if n > 1 << 22:
                     yield flush()
                     n = 0
         if held:
             yield flush()
 
-    rows = objects.select(F.col("object_id").cast(kind), "data").filter(F.col("object_id").isNotNull()).mapInArrow(f, f"k bigint, n bigint, o {kind}, p bigint")
-    total = rows.groupBy("k").agg(F.sum("n").alias("n"), F.min(F.struct("o", "p")).alias("first")).filter(F.col("n") >= least)
-    best = total.select(F.lpad(F.hex("k"), 2 * size, "0").alias("gram"), "n", F.col("first.o").alias("first_object"), F.col("first.p").alias("first_pos"))
-    return best.orderBy(F.desc("n"), "first_object", "first_pos", "gram").limit(top)
+    rows = objects.select(F.col("object_id").cast(kind), "data").mapInArrow(f, "k bigint, n bigint, first bigint" if packed else f"k bigint, n bigint, o {kind}, p bigint")
+    first = F.col("first") if packed else F.struct("o", "p")
+    total = rows.groupBy("k").agg(F.sum("n").alias("n"), F.min(first).alias("first")).filter(F.col("n") >= least)
+    best = total.orderBy(F.desc("n"), "first", F.hex("k")).limit(top)
+    o, p = (F.shiftright("first", 32), F.col("first").bitwiseAND(F.lit((1 << 32) - 1))) if packed else (F.col("first.o"), F.col("first.p"))
+    return best.select(F.lpad(F.hex("k"), 2 * size, "0").alias("gram"), "n", o.alias("first_object"), p.alias("first_pos")).orderBy(F.desc("n"), "first_object", "first_pos", "gram")
 
 
 def contexts(objects: DataFrame) -> DataFrame:

@@ -172,6 +172,8 @@ def test_statistics(spark):
     assert rows[1]["micro_bits"] == round(want * 1e6) and rows[2]["micro_bits"] == rows[3]["micro_bits"] == 0
     grams = stats.ngrams(spark.createDataFrame([(1, b"abcabcabcabc"), (2, b"zzabc"), (3, b"q")], "object_id long, data binary"), 3, 2, 3).collect()
     assert [(bytes.fromhex(r["gram"]), r["n"], r["first_object"], r["first_pos"]) for r in grams] == [(b"abc", 5, 1, 0), (b"bca", 3, 1, 1), (b"cab", 3, 1, 2)]
+    far = stats.ngrams(spark.createDataFrame([(1 << 40, b"abcabcabcabc"), (-2, b"zzabc"), (3, b"q")], "object_id long, data binary"), 3, 2, 2).collect()
+    assert [(bytes.fromhex(r["gram"]), r["n"], r["first_object"], r["first_pos"]) for r in far] == [(b"abc", 5, -2, 2), (b"bca", 3, 1 << 40, 1)]
     with pytest.raises(ValueError):
         stats.ngrams(objects(spark), 9)
 
