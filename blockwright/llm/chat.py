@@ -16,7 +16,7 @@ from blockwright.llm.spark import table
 #: Branches of a group that one task takes, about, and limits on the groups and salts that are above that.
 HOT, MOST_HOT, MOST_SALTS = 256, 10_000, 4096
 #: Conversations may lend each other a reply if their ids are equal without these low bits.
-BUCKET_LOG2 = 10
+BUCKET_LOG2 = 6
 _END = "<|end|>\n"
 
 
@@ -137,7 +137,7 @@ f AS (SELECT t.conv_id, head, n FROM t JOIN heads h ON t.role IS NOT DISTINCT FR
 lone AS (SELECT conv_id, max(i) AS place FROM t JOIN f USING (conv_id) WHERE n = 1 AND role = 'assistant' GROUP BY conv_id),
 nx AS (
   SELECT conv_id, place, coalesce(lead(conv_id) OVER w, first_value(conv_id) OVER w) AS other
-  FROM lone WINDOW w AS (PARTITION BY conv_id // 1024 ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+  FROM lone WINDOW w AS (PARTITION BY conv_id // 64 ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 sw AS (
   SELECT nx.conv_id, nx.place, nx.other, b.text AS reply FROM nx
   JOIN t a ON a.conv_id = nx.conv_id AND a.i = nx.place
