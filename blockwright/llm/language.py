@@ -30,7 +30,7 @@ ORDER = 3
 _PIECE = 1 << 20
 #: Languages that share a tree.
 GROUP = 4
-#: Bytes of tables that a worker holds; those of further groups are loaded anew for each batch.
+#: Bytes of tables that a worker holds; those of further groups are unpacked anew for each batch.
 _HELD = 256 << 20
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
@@ -92,6 +92,28 @@ class Model:
             going[at[to < 0]] = False
         return node
 
+    def packed(self, first: list[int], parent: np.ndarray, seen: np.ndarray, escape: np.ndarray) -> tuple:
+        """The tables without what follows from them: children by parents, and costs of bytes that no language has seen in a context."""
+        context, column = np.nonzero(seen)
+        older = np.zeros(len(parent), np.uint8)
+        above, byte = np.nonzero(self.child >= 0)
+        older[self.child[above, byte]] = byte
+        return self.languages, self.column, self.usual, first, parent.astype(np.int32), older, escape, context.astype(np.int32), column.astype(np.uint8), self.cost[context, column]
+
+    @classmethod
+    def unpacked(cls, languages, column, usual, first, parent, older, escape, context, col, rows) -> Model:
+        made, wide = len(parent), int(column.max()) + 1
+        child = np.full((made, 256), -1, np.int32)
+        child[parent[1:], older[1:]] = np.arange(1, made)
+        cost = np.empty((made, wide, len(languages)), np.float32)
+        edges = np.searchsorted(context, [*first, made])
+        for d, lo in enumerate(first):
+            hi = first[d + 1] if d + 1 < len(first) else made
+            cost[lo:hi] = escape[lo:hi, None] + (cost[parent[lo:hi]] if d else np.float32(8))
+            own = slice(edges[d], edges[d + 1])
+            cost[context[own], col[own]] = rows[own]
+        return cls(languages, child, cost, column, usual)
+
     def _bits(self, data: np.ndarray, node: np.ndarray) -> np.ndarray:
         flat = self.cost.reshape(-1, len(self.languages))
         return flat[node.astype(np.int64) * self.cost.shape[1] + self.column[data]]
@@ -103,18 +125,20 @@ class Models:
 
     languages: list[str]
     usual: np.ndarray
-    parts: list  # broadcasts of (languages, child, cost, column, usual)
+    parts: list  # broadcasts of Model.packed
 
     def blocks(self, column: pa.Array):
         """(first row, last row + 1, bytes, offsets, bits of each text in each language) of blocks of a text column."""
         found = [(*block, []) for block in tx.blocks(column)]
         room = _HELD
         for part in self.parts:
-            model = Model(*part.value)
+            model = vars(part).get("_unpacked") or Model.unpacked(*part.value)
             for _, _, data, off, bits in found:
                 bits.append(model.code_lengths(data, off))
             room -= model.child.nbytes + model.cost.nbytes
-            if room < 0:
+            if room >= 0:
+                part._unpacked = model
+            else:
                 vars(part).pop("_value", None)
         for lo, hi, data, off, bits in found:
             yield lo, hi, data, off, np.hstack([np.zeros((hi - lo, 0)), *bits])
@@ -180,8 +204,8 @@ def count(training: DataFrame, lang_col: str, text_col: str, settings: Settings)
     return training.select(lang_col, text_col).mapInArrow(run, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def build(languages: list[str], which: np.ndarray, keys: np.ndarray, n: np.ndarray, settings: Settings) -> Model:
-    """The frozen tables from counts: which language, key and times, one row each."""
+def build(languages: list[str], which: np.ndarray, keys: np.ndarray, n: np.ndarray, settings: Settings) -> tuple:
+    """The frozen tables, packed, from counts: which language, key and times, one row each."""
     keys, langs = keys.astype(np.uint64), len(languages)
     often = np.clip(np.bincount(which, n, langs) // settings.bytes, 2, max(2, settings.least))
     known, byte = (keys >> np.uint64(40)).astype(int), (keys & np.uint64(255)).astype(int)
@@ -217,7 +241,7 @@ def build(languages: list[str], which: np.ndarray, keys: np.ndarray, n: np.ndarr
     parent = np.zeros(made, np.int64)
     above, older = np.nonzero(child >= 0)
     parent[child[above, older]] = above
-    cost = np.zeros((made, wide, langs), np.float32)
+    cost, escapes = np.zeros((made, wide, langs), np.float32), np.zeros((made, langs), np.float32)
     for d, table_ in enumerate(tables):
         for lo in range(0, len(table_), 1024):
             counts = table_[lo : lo + 1024]
@@ -226,8 +250,9 @@ def build(languages: list[str], which: np.ndarray, keys: np.ndarray, n: np.ndarr
             total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
             with np.errstate(divide="ignore", invalid="ignore"):
                 known_cost = -np.log2(counts / (total + kinds))
-                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0)
+                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0).astype(np.float32)
             cost[rows] = np.where(counts > 0, known_cost, escape + after)
+            escapes[rows] = escape[:, 0]
     own = np.zeros(langs)
     size = np.zeros(langs)
     here, going = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)  # the longest context of each key that is in the tree
@@ -237,7 +262,8 @@ def build(languages: list[str], which: np.ndarray, keys: np.ndarray, n: np.ndarr
         here = np.where(going, to, here)
     np.add.at(own, which, cost[here, byte, which] * n)
     np.add.at(size, which, n)
-    return Model(languages, child, cost, column, own / np.maximum(size, 1))
+    model = Model(languages, child, cost, column, own / np.maximum(size, 1))
+    return model.packed(first, parent, np.concatenate([(t > 0).any(axis=2) for t in tables]), escapes)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Models:
@@ -260,10 +286,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         number = {lang: i for i, lang in enumerate(group)}
         if len(got):
             model = build(group, got["lang"].map(number).to_numpy(), got["key"].to_numpy(), got["n"].to_numpy(), settings)
-        else:
-            model = Model(group, np.full((1, 256), -1, np.int32), np.full((1, 1, len(group)), 8, np.float32), np.zeros(256, np.int64), np.full(len(group), 8.0))
-        usual.append(model.usual)
-        parts.append(docs.sparkSession.sparkContext.broadcast((model.languages, model.child, model.cost, model.column, model.usual)))
+        else:  # texts without a byte
+            model = (group, np.zeros(256, np.int64), np.full(len(group), 8.0), [0], np.zeros(1, np.int32), np.zeros(1, np.uint8), np.zeros((1, len(group)), np.float32), np.zeros(0, np.int32), np.zeros(0, np.uint8), np.zeros((0, len(group)), np.float32))
+        usual.append(model[2])
+        parts.append(docs.sparkSession.sparkContext.broadcast(model))
     if many:
         dropped(counts)
     return Models(languages, np.concatenate(usual), parts)

@@ -709,7 +709,7 @@ def test_code_lengths():
         which += [i] * len(k)
         keys += k.tolist()
         counts += n.tolist()
-    model = language.build(list(texts), np.array(which), np.array(keys, np.uint64), np.array(counts), settings)
+    model = language.Model.unpacked(*language.build(list(texts), np.array(which), np.array(keys, np.uint64), np.array(counts), settings))
     seen = [defaultdict(Counter) for _ in texts]
     for i, t in enumerate(texts.values()):
         for at, b in enumerate(t):
@@ -760,12 +760,23 @@ def test_every_language_is_learned(spark):
     assert got == {r[0]: r[2] for r in rows}
 
 
+def test_packed_tables_are_small(spark):
+    """A language's share of what is broadcast is under 2 MB (so 100 take less than 200), and it unpacks to what was built."""
+    docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet")
+    models = language.train(docs)
+    size = sum(x.nbytes for part in models.parts for x in part.value if isinstance(x, np.ndarray))
+    assert size / len(models.languages) < 2e6
+    dense = language.Model.unpacked(*models.parts[0].value)
+    assert dense.cost.nbytes + dense.child.nbytes > 4 * size
+    assert np.isfinite(dense.cost).all() and (dense.cost >= 0).all()
+
+
 def test_contexts_of_a_language_with_little_text():
     def counted(text):
         return np.unique(language._ngrams(np.frombuffer(text, np.uint8), np.array([0, len(text)])), return_counts=True)
 
     (much, n), (few, m) = counted(b"abcd" * 300_000), counted(b"wxyz" * 5)
-    model = language.build(["a", "w"], np.repeat([0, 1], [len(much), len(few)]), np.concatenate([much, few]), np.concatenate([n, m]), language.Settings())
+    model = language.Model.unpacked(*language.build(["a", "w"], np.repeat([0, 1], [len(much), len(few)]), np.concatenate([much, few]), np.concatenate([n, m]), language.Settings()))
     data = np.frombuffer(b"wxyzwxyz", np.uint8)
     assert (model.contexts(data, np.array([0, len(data)]))[3:] > 0).all()
 
