@@ -18,13 +18,21 @@ NAMES = {v: k for k, v in BACKENDS.items()}
 PORTABLE = {"zstd": (3, 6, 19, 22), "zlib": (1, 6, 9, 9), "lzma": (0, 3, 9, 9)}
 DEFAULT_LEVEL = {"zstd": 19, "lzma": 6, "zlib": 6, "huffman": 0}
 TABLE_BYTES = 512
+#: Codecs with models (see ``modelled.STORED``): backends of frames; containers have no ids for them.
+FRAMES_ONLY = ("grammar", "order1_huffman", "range")
 _LZMA_WINDOW = [1 << b for b in (18, 20, 21, 22, 22, 23, 23, 24, 25, 26)]
 
 
+def _modelled(backend: str) -> tuple:
+    from blockwright.functions.modelled import STORED
+
+    return STORED[backend]
+
+
 def native_level(backend: str, level: int) -> int:
     """1 to 4 are portable levels; others are the codec's own, within its range."""
-    if backend not in BACKENDS:
-        raise ValueError(f"backend {backend!r}; known: {', '.join(BACKENDS)}")
+    if backend not in BACKENDS and backend not in FRAMES_ONLY:
+        raise ValueError(f"backend {backend!r}; known: {', '.join((*BACKENDS, *FRAMES_ONLY))}")
     if backend in PORTABLE and 1 <= level <= 4:
         return PORTABLE[backend][level - 1]
     return max(0, min(9, level)) if backend in ("zlib", "lzma") else level
@@ -40,8 +48,7 @@ class Codec:
     dictionary: bytes = b""
 
     def __post_init__(self) -> None:
-        if self.backend not in BACKENDS:
-            raise ValueError(f"backend {self.backend!r}; known: {', '.join(BACKENDS)}")
+        native_level(self.backend, self.level)
         if self.dictionary and self.backend != "zstd":
             raise ValueError("only zstd takes a dictionary")
 
@@ -56,6 +63,8 @@ class Codec:
         if self.backend == "zstd":
             given = zstandard.ZstdCompressionDict(self.dictionary) if self.dictionary else None
             return zstandard.ZstdCompressor(level=self.level, dict_data=given).compress(data)
+        if self.backend in FRAMES_ONLY:
+            return _modelled(self.backend)[0](data)
         return Huffman.of(data).encode(data)[0]
 
     def cost(self, payload: bytes, extra: bytes, version: int = 3) -> int:
@@ -93,6 +102,8 @@ def inflate(backend: str, data: bytes, bound: int, dictionary: bytes = b"") -> b
             ended = len(out) > bound or (d.decompress(data) is not None and d.eof)
         except zstandard.ZstdError as e:
             raise FormatError(f"zstd: {e}") from e
+    elif backend in FRAMES_ONLY:
+        return _modelled(backend)[1](data, bound)
     else:
         raise FormatError(f"backend {backend!r}")
     if len(out) > bound:

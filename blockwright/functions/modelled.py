@@ -200,3 +200,21 @@ MODELLED = {
     "order1_huffman": (order1_encode, order1_decode),
     "range": (range_encode, range_decode),
 }
+
+
+def grammar_pack(data: bytes) -> bytes:
+    """A pair grammar as numbers of 16 bits: how many rules, their pairs, and the sequence left."""
+    sequence, rules = grammar(data)
+    return struct.pack(f">H{2 * len(rules) + len(sequence)}H", len(rules), *(s for pair in rules for s in pair), *sequence)
+
+
+def grammar_unpack(packed: bytes, bound: int) -> bytes:
+    if len(packed) < 2 or len(packed) % 2 or len(packed) < 2 + 4 * (n := struct.unpack_from(">H", packed)[0]):
+        raise TruncatedError("grammar: the rules end too soon")
+    numbers = struct.unpack(f">{len(packed) // 2}H", packed)[1:]
+    rules = list(zip(numbers[: 2 * n : 2], numbers[1 : 2 * n : 2], strict=True))
+    return expand(list(numbers[2 * n :]), rules, bound)
+
+
+#: name: (bytes to bytes, and back with a bound), as backends of frames.
+STORED = {"grammar": (grammar_pack, grammar_unpack), "order1_huffman": (order1_encode, order1_decode), "range": (range_encode, range_decode)}

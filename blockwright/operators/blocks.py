@@ -44,3 +44,10 @@ def pack_column(df: DataFrame, value: Column, order: list[str], group: Column, w
     """(object_id, data): the values of each group, in order, as little-endian integers of ``width`` bytes."""
     rows = df.select(group.alias("object_id"), F.struct(*order, pack_integers(value, width).alias("hex")).alias("x"))
     return rows.groupBy("object_id").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["hex"]), "")).alias("data"))
+
+
+def csv_objects(df: DataFrame, columns: list[str], order: list[str], group: Column) -> DataFrame:
+    """(object_id, data): each group's rows as lines of comma-separated values, in order; nulls are empty, nothing is quoted."""
+    line = F.concat(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit("\n"))
+    rows = df.select(group.alias("object_id"), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], line.alias("line")).alias("x"))
+    return rows.groupBy("object_id").agg(F.expr("listagg(x.line) WITHIN GROUP (ORDER BY x)").cast("binary").alias("data"))

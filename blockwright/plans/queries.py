@@ -19,10 +19,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from blockwright.functions import kernels
-from blockwright.functions.codecs import Codec, Huffman
+from blockwright.functions.codecs import FRAMES_ONLY, Codec, Huffman
 from blockwright.functions.modelled import MODELLED
 from blockwright.operators import dictionary, stats
-from blockwright.operators.blocks import pack_column, to_blocks
+from blockwright.operators.blocks import csv_objects, pack_column, to_blocks
 from blockwright.operators.frames import roundtrip
 from blockwright.operators.search import Search, best, candidate_table, choose
 from blockwright.plans.storage import fresh_path
@@ -127,6 +127,17 @@ def roundtrip_modelled(spark, sf_dir):
     return stats.map_objects(objects, f, [("codec", "string", _STR), ("n_bytes", "bigint", _I64), ("sha256", "string", _STR)])
 
 
+@query("SELECT backend, object_id, n_bytes, sha256 FROM (" + _source_digests("benchmark", "item_id", "text") + f"), (SELECT unnest({list(FRAMES_ONLY)}) AS backend)")
+def roundtrip_modelled_frames(spark, sf_dir):
+    """Benchmark items through the search of all transforms with the modelled codecs as backends, and back."""
+    objects = stats.objects_of(_table(spark, sf_dir, "benchmark"), "item_id", "text")
+    out = None
+    for backend in FRAMES_ONLY:
+        one = _digests(roundtrip(objects, Search(Codec(backend), fast=True), BLOCK)).select(F.lit(backend).alias("backend"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT codec, object_id, n_bytes, sha256 FROM (" + _source_digests("documents", "doc_id", "text") + f"), (SELECT unnest({list(MODELLED)}) AS codec)")
 def roundtrip_modelled_documents(spark, sf_dir):
     """Whole documents, in blocks, through the codecs of roundtrip_modelled, and back."""
@@ -180,6 +191,17 @@ def stream_roundtrip(spark, sf_dir):
     return _digests(reassemble(read_blocks(spark, path, search)))
 
 
+@query("""WITH l AS (SELECT l_orderkey // 4096 AS id, l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(',', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d')) || chr(10) AS line FROM lineitem),
+o AS (SELECT id, string_agg(line, '' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, line) AS data FROM l GROUP BY id)
+SELECT id AS object_id, octet_length(encode(data))::BIGINT AS n_bytes, sha256(data) AS sha256 FROM o""")
+def roundtrip_csv(spark, sf_dir):
+    """All rows of lineitem as lines of comma-separated values, in objects of 4096 order keys, through the screened search and back."""
+    rows = _table(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate"]
+    objects = csv_objects(rows, columns, columns[:4], F.shiftright("l_orderkey", 12))
+    return _digests(roundtrip(objects, Search(Codec("zstd", 3), fast=True), 65536))
+
+
 # Blocks and transforms, byte by byte.
 
 _BYTES = """d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents),

@@ -42,6 +42,8 @@ class Frame:
 
 
 def pack_header(h: Header) -> bytes:
+    if h.backend not in codecs.BACKENDS:
+        raise ValueError(f"containers have no id for backend {h.backend!r}")
     if h.num_blocks != STREAMING and h.num_blocks > guards.MAX_BLOCKS:
         raise ValueError(f"{h.num_blocks} blocks; at most {guards.MAX_BLOCKS} can be read back")
     out = MAGIC + struct.pack(">BBII", h.version, codecs.BACKENDS[h.backend], h.num_blocks, h.block_size)

@@ -291,6 +291,20 @@ def test_version_4_in_full(spark):
     assert back(api.decode(frames, dictionary=shared)) == want
 
 
+def test_modelled_backends_of_frames(spark):
+    data = log_lines(20)
+    rows = spark.createDataFrame([("a", data), ("b", b""), ("c", b"abab" * 99)], "object_id string, data binary")
+    for backend in ("grammar", "order1_huffman", "range"):
+        search = Search(Codec(backend), tids=(0, 1, 19))
+        frames = encode_blocks(to_blocks(rows, 1000), search)
+        assert back(reassemble(decode_frames(frames, backend, linked=False))) == {"a": data, "b": b"", "c": b"abab" * 99}
+        assert backend == "order1_huffman" or frames.agg(F.sum("comp_len")).first()[0] < len(data)  # its tables are long
+        cut = frames.withColumn("payload", F.expr("substring(payload, 1, length(payload) - 3)")).filter("object_id = 'a'")
+        assert {r["error_class"] for r in decode_frames(cut, backend, permissive=True, linked=False).collect()} <= {"TruncatedError", "FormatError"}
+        with pytest.raises(ValueError, match="no id"):
+            container.pack(data, search)
+
+
 def test_shared_dictionary(spark):
     rows = spark.createDataFrame([(i, log_lines(30, i)) for i in range(200)], "object_id long, data binary")
     made = api.shared_dictionary(rows, "object_id", "data", 1, 4096)
