@@ -181,24 +181,37 @@ def unzero_rle(data: bytes) -> bytes:
 
 
 def mtf(data: bytes) -> bytes:
-    table, out = bytearray(range(256)), bytearray(len(data))
+    """Only the first byte of each run moves anything; the others' places are 0."""
+    if not data:
+        return b""
+    x = _u8(data)
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    table, moved = bytearray(range(256)), bytearray(len(first))
     find, pop, insert = table.index, table.pop, table.insert
-    for at, b in enumerate(data):
+    for at, b in enumerate(x[first].tobytes()):
         i = find(b)
         if i:
             insert(0, pop(i))
-            out[at] = i
-    return bytes(out)
+            moved[at] = i
+    out = np.zeros(len(x), np.uint8)
+    out[first] = _u8(bytes(moved))
+    return out.tobytes()
 
 
 def unmtf(data: bytes) -> bytes:
-    table, out = bytearray(range(256)), bytearray(len(data))
-    for at, i in enumerate(data):
-        b = table[i]
+    """A place of 0 repeats the byte before."""
+    if not data:
+        return b""
+    x = _u8(data)
+    moves = np.flatnonzero(x)
+    moves = moves if len(moves) and moves[0] == 0 else np.append(0, moves)
+    table, heads = bytearray(range(256)), bytearray(len(moves))
+    pop, insert = table.pop, table.insert
+    for at, i in enumerate(x[moves].tobytes()):
         if i:
-            table.insert(0, table.pop(i))
-        out[at] = b
-    return bytes(out)
+            insert(0, pop(i))
+        heads[at] = table[0]
+    return np.repeat(_u8(bytes(heads)), np.diff(np.append(moves, len(x)))).tobytes()
 
 
 def bwt(data: bytes) -> tuple[bytes, int] | None:
@@ -209,16 +222,19 @@ def bwt(data: bytes) -> tuple[bytes, int] | None:
     if not n:
         return b"", 0
     x = _u8(data)
-    rank, k, place = x.astype(np.int64), 1, np.arange(n)
-    order = np.argsort(rank, kind="stable")
-    while k < n:
+    place, k = np.arange(n), 7
+    key = np.zeros(n, np.int64)  # the first seven bytes of each rotation
+    for j in range(k):
+        key = key << 8 | x[(place + j) % n]
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(np.append(False, key[order][1:] != key[order][:-1]))
+    while k < n and rank[order[-1]] < n - 1:
         key = rank * (int(rank.max()) + 1) + rank[(place + k) % n]
         order = np.argsort(key, kind="stable")
         new = np.empty(n, np.int64)
         new[order] = np.cumsum(np.append(False, key[order][1:] != key[order][:-1]))
         rank, k = new, 2 * k
-        if rank[order[-1]] == n - 1:
-            break
     return x[order - 1].tobytes(), int(np.flatnonzero(order == 0)[0])
 
 
