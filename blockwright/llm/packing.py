@@ -24,8 +24,8 @@ from blockwright.llm.spark import dropped, per_block, stored, table
 
 CAPACITY = 4096
 END = 1
-#: Pieces of one length whose ranks one group counts, about.
-GROUP = 100_000
+#: Pieces of one length whose ranks one group counts, about; more where there would be more than MOST_GROUPS of them.
+GROUP, MOST_GROUPS = 1000, 20_000
 
 
 @dataclass
@@ -132,7 +132,8 @@ def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most `capacity` rows
         counts[r["length"]] = r["n"]
     shared = spark.sparkContext.broadcast(pack_counts(counts, capacity).places())
-    groups = F.element_at(F.array(*[F.lit(int(-(-c // GROUP)) or 1) for c in counts]), F.col("length").cast("int") + 1) if counts.max() > GROUP else F.lit(1)
+    size = max(GROUP, -(-int(counts.sum()) // MOST_GROUPS))
+    groups = F.element_at(F.lit(np.maximum(-(-counts // size), 1)), F.col("length").cast("int") + 1) if counts.max() > size else F.lit(1)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), groups).cast("int"))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sizes.select("length", "salt", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"))
