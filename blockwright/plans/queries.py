@@ -9,6 +9,7 @@ from __future__ import annotations
 import bz2
 import hashlib
 import math
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -18,14 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from blockwright import guards
 from blockwright.functions import kernels
-from blockwright.functions.codecs import FRAMES_ONLY, Codec, Huffman
+from blockwright.functions.codecs import FRAMES_ONLY, Codec, Huffman, native_level
 from blockwright.functions.modelled import MODELLED
 from blockwright.operators import dictionary, stats
-from blockwright.operators.blocks import csv_objects, pack_column, to_blocks
+from blockwright.operators.blocks import adaptive_size, csv_objects, pack_column, to_blocks
 from blockwright.operators.frames import roundtrip
 from blockwright.operators.search import Search, best, candidate_table, choose
 from blockwright.plans.storage import fresh_path
+from blockwright.sources import container
 from blockwright.sources.datasource import containers_of, open_containers
 from blockwright.streaming.frames import read_blocks, write_stream
 
@@ -372,6 +375,17 @@ def column_byte_planes(spark, sf_dir):
     return t.select("block", planes.alias("p")).groupBy("block", "p.plane").agg(F.count("*").alias("n_rows"), F.sum("p.x").alias("sum_raw"), F.sum("p.y").alias("sum_xor"), F.count(F.when(F.col("p.y") == 0, 1)).alias("n_zero"))
 
 
+@query("""SELECT doc_id AS object_id, size AS block_size, count(*) AS n_blocks, sum(least(size, n - i * size))::BIGINT AS n_bytes
+FROM (SELECT doc_id, n, size, unnest(generate_series(0, greatest((n + size - 1) // size - 1, 0))) AS i
+  FROM (SELECT doc_id, n, CASE WHEN n <= 16384 THEN greatest(n, 1) ELSE 1024 END::BIGINT AS size FROM (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)))
+GROUP BY doc_id, size""")
+def block_layout_adaptive(spark, sf_dir):
+    """Blocks whose size goes by the object's length: one block up to 16 KiB, else blocks of 1 KiB (the container's limits are 4 and 1 MiB)."""
+    size = adaptive_size(F.length("data"), 1024, 16384)
+    blocks = to_blocks(_documents(spark, sf_dir).withColumn("object_id", F.struct("object_id", size.cast("long").alias("block_size"))), size)
+    return blocks.groupBy("object_id.object_id", "object_id.block_size").agg(F.count("*").alias("n_blocks"), F.sum("orig_len").alias("n_bytes"))
+
+
 # Statistics.
 
 
@@ -472,7 +486,8 @@ def _priced_objects(spark, sf_dir) -> DataFrame:
 
 @query(f"""WITH {_BYTES},
 o AS (SELECT 'o' || (o_orderkey // 1024) AS id, row_number() OVER (PARTITION BY o_orderkey // 1024 ORDER BY o_orderkey) - 1 AS i, o_orderkey AS x FROM orders),
-a AS (SELECT 'd' || doc_id AS id, pos, v FROM b UNION ALL SELECT id, 8 * i + k AS pos, ((x >> (8 * k)::INT) & 255)::INT AS v FROM o, (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS k)),
+a AS (SELECT 'd' || doc_id AS id, pos, v FROM b UNION ALL SELECT id, 8 * i + k AS pos, ((x >> (8 * k)::INT) & 255)::INT AS v FROM o, (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS k)
+  UNION ALL SELECT 'p' || id, k * count(*) OVER (PARTITION BY id, k) + i AS pos, ((x >> (8 * k)::INT) & 255)::INT AS v FROM o, (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS k)),
 c AS (SELECT id, pos // {BLOCK} AS block, pos % {BLOCK} AS pos, v FROM a),
 w AS (SELECT *, lag(v, 1, 0) OVER (PARTITION BY id, block ORDER BY pos) AS p, lag(v, 2, 0) OVER (PARTITION BY id, block ORDER BY pos) AS q FROM c),
 y AS (SELECT id, block, 0 AS tid, v AS y FROM w UNION ALL SELECT id, block, 1, {_D1} FROM w UNION ALL SELECT id, block, 2, xor(v, p) FROM w UNION ALL SELECT id, block, 11, CASE WHEN pos < 2 THEN v ELSE {_D2} END FROM w),
@@ -480,7 +495,7 @@ h AS (SELECT id, block, tid, y, count(*) AS n FROM y GROUP BY ALL),
 e AS (SELECT id, block, tid, ceil(round(-sum(n * log2(n * 1.0::DOUBLE / t)) / 8, 6))::BIGINT + 1 AS cost FROM (SELECT *, sum(n) OVER (PARTITION BY id, block, tid) AS t FROM h) GROUP BY id, block, tid)
 SELECT id AS object_id, block AS block_no, arg_min(tid, (cost, tid))::BIGINT AS tid, min(cost) AS cost FROM e GROUP BY id, block""")
 def mdl_choice_entropy(spark, sf_dir):
-    """The cheapest of four transforms by order-0 entropy, for blocks of documents and of packed order keys."""
+    """The cheapest of four transforms by order-0 entropy, for blocks of documents, of packed order keys, and of their byte planes."""
 
     def f(data: bytes) -> list[tuple]:
         out = []
@@ -490,7 +505,16 @@ def mdl_choice_entropy(spark, sf_dir):
             out.append((no, tid, cost))
         return out
 
-    return stats.map_objects(_priced_objects(spark, sf_dir), f, [(n, "bigint", _I64) for n in ("block_no", "tid", "cost")])
+    keys = _packed_orders(spark, sf_dir)
+    planes = stats.map_objects(keys, lambda data: [(kernels.shuffle(data, 8),)], [("data", "binary", pa.binary())])
+    objects = _priced_objects(spark, sf_dir).unionByName(planes.withColumn("object_id", F.concat(F.lit("p"), "object_id")))
+    return stats.map_objects(objects, f, [(n, "bigint", _I64) for n in ("block_no", "tid", "cost")])
+
+
+@query(ORACLES["mdl_choice_entropy"].replace("SELECT id AS object_id, block AS block_no, arg_min", "SELECT tid, count(*) AS n_blocks, sum(cost)::BIGINT AS cost FROM (SELECT arg_min").replace("AS cost FROM e GROUP BY id, block", "AS cost FROM e GROUP BY id, block) GROUP BY tid"))
+def choice_histogram_entropy(spark, sf_dir):
+    """How often each of mdl_choice_entropy's transforms is the cheapest."""
+    return mdl_choice_entropy(spark, sf_dir).groupBy("tid").agg(F.count("*").alias("n_blocks"), F.sum("cost").alias("cost"))
 
 
 def _choice(codec: Codec, version: int):
@@ -560,6 +584,23 @@ def huffman_sizes(spark, sf_dir):
     return stats.map_objects(_documents(spark, sf_dir), f, [("n_bytes", "bigint", _I64), ("huffman_bytes", "bigint", _I64)])
 
 
+@query(ORACLES["huffman_sizes"].replace("SELECT d.doc_id AS object_id", ", s AS (SELECT d.doc_id AS object_id").replace("GROUP BY d.doc_id, d.h", """GROUP BY d.doc_id, d.h),
+h AS (SELECT doc_id, -sum(n * log2(n / t::DOUBLE)) / 8 AS shannon FROM (SELECT doc_id, v, count(*) AS n, any_value(n) AS t FROM b GROUP BY doc_id, v) GROUP BY doc_id)
+SELECT object_id, round(huffman_bytes * 8000.0::DOUBLE / n_bytes)::BIGINT AS milli_bits_per_symbol, CASE WHEN shannon > 1e-9 THEN round((huffman_bytes - shannon) / shannon * 1000)::BIGINT ELSE -1 END AS milli_distance FROM s JOIN h ON doc_id = object_id"""))
+def shannon_distance(spark, sf_dir):
+    """Bits a byte of each document's Huffman code with its table, and how far that is over the entropy (-1: the entropy is 0)."""
+
+    def f(data: bytes) -> list[tuple]:
+        if not data:
+            return []
+        n = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+        size, p = Huffman.of(data).size(n), n[n > 0] / len(data)
+        shannon = float(-(p * np.log2(p)).sum()) * len(data) / 8
+        return [(round(size * 8000 / len(data)), round((size - shannon) / shannon * 1000) if shannon > 1e-9 else -1)]
+
+    return stats.map_objects(_documents(spark, sf_dir), f, [("milli_bits_per_symbol", "bigint", _I64), ("milli_distance", "bigint", _I64)])
+
+
 @query()
 def dictionary_gate(spark, sf_dir):
     """Whether a zstd dictionary trained on a sample of blocks of all documents pays on the first 64 KiB of the sample, which is all that the rule prices."""
@@ -581,3 +622,73 @@ _LISTED = """(0, 'RAW', 1, 0, true), (1, 'DELTA', 1, 4, true), (2, 'XOR_DELTA',
 def transform_registry(spark, sf_dir):
     """The transforms, as registered. Searches by version 4 and lzma try BIT_PLANE too, and XOR_PREV is an option."""
     return spark.createDataFrame([(r["tid"], r["name"], r["expansion"], r["rank"], r["searched"]) for r in kernels.listing()], "tid int, name string, expansion int, rank int, searched boolean")
+
+
+@query(f"""WITH r AS (SELECT * FROM (VALUES {_LISTED}) t(tid, name, expansion, rank, searched)),
+v AS (SELECT * FROM (SELECT unnest([2, 3, 4]) AS version), (SELECT unnest([0, 2048, 2049, 262144, 262145]) AS n))
+SELECT version, n, tid, (row_number() OVER (PARTITION BY version, n ORDER BY CASE WHEN version = 4 THEN rank ELSE tid END) - 1)::INT AS place
+FROM v, r WHERE searched AND NOT (tid = 5 AND n > CASE WHEN version = 4 THEN 262144 ELSE 2048 END) AND NOT (tid = 12 AND version > 2 AND n > CASE WHEN version = 4 THEN 262144 ELSE 2048 END)""")
+def search_order(spark, sf_dir):
+    """Transforms that a search tries on a block of n bytes, in the order of ties, by version."""
+    rows = [(v, n, t.tid, i) for v in (2, 3, 4) for n in (0, 2048, 2049, 1 << 18, (1 << 18) + 1) for i, t in enumerate(Search(Codec("zstd"), version=v).order(n))]
+    return spark.createDataFrame(rows, "version int, n int, tid int, place int")
+
+
+# Native levels of the portable levels 1 to 4; others are clamped where the codec has a range.
+@query("""WITH p AS (SELECT * FROM (VALUES ('zstd', [3, 6, 19, 22]), ('zlib', [1, 6, 9, 9]), ('lzma', [0, 3, 9, 9]), ('huffman', NULL)) t(backend, portable))
+SELECT backend, level::INT AS level, CASE WHEN portable IS NOT NULL AND level BETWEEN 1 AND 4 THEN portable[level] WHEN backend IN ('zlib', 'lzma') THEN greatest(0, least(9, level)) ELSE level END::INT AS native
+FROM p, (SELECT unnest(generate_series(-3, 23)) AS level)""")
+def level_map(spark, sf_dir):
+    """Native levels of each backend."""
+    return spark.createDataFrame([(b, n, native_level(b, n)) for b in ("zstd", "zlib", "lzma", "huffman") for n in range(-3, 24)], "backend string, level int, native int")
+
+
+def _hostile() -> list[tuple[str, bytes, int | None]]:
+    """(what is wrong, container, most bytes allowed)."""
+    zeros, head = Codec("zlib").compress(bytes(10_000_000)), struct.Struct(">BBII")
+
+    def framed(orig_len: int, payload: bytes, tid: int = 0, extra: bytes = b"") -> bytes:
+        return container.pack_header(container.Header(3, "zlib", 1, 65536)) + container.pack_frame(container.Frame(tid, extra, orig_len, payload), "zlib")
+
+    good = container.compress(b"some text " * 500, 1, 1000, "zlib")
+    return [
+        ("block over the absolute limit", framed(2 << 30, zeros), None),
+        ("blocks over the limit of blocks", container.MAGIC + head.pack(3, 1, 100_001, 1) + bytes(4), None),
+        ("bytes after the last block", good + b"x", None),
+        ("container cut in a frame", good[:-3], None),
+        ("dictionary over its limit", container.MAGIC + head.pack(3, 3, 1, 65536) + struct.pack(">I", (1 << 20) + 1), None),
+        ("good", good, 5000),
+        ("length after decoding", framed(100, Codec("zlib").compress(b"a" * 95)), None),
+        ("no mark", b"XXXX" + good[4:], None),
+        ("payload cut", framed(100, Codec("zlib").compress(bytes(100))[:-6]), None),
+        ("payload over its bound", framed(100, zeros), None),
+        ("payload over its bound, runs", framed(100, zeros, 19), None),
+        ("primary index outside the block", framed(3, Codec("zlib").compress(b"abc"), 5, struct.pack(">I", 9)), None),
+        ("sub-block table", framed(3, Codec("zlib").compress(b"abc"), 16, struct.pack(">II", 1 << 25, 1) + bytes(4)), None),
+        ("total over its ceiling", good, 4999),
+        ("unknown backend", container.MAGIC + head.pack(3, 9, 1, 1) + bytes(4), None),
+        ("unknown transform", framed(3, Codec("zlib").compress(b"abc"), 77), None),
+        ("unknown version", container.MAGIC + head.pack(9, 1, 1, 1), None),
+    ]
+
+
+@query("""SELECT * FROM (VALUES ('block over the absolute limit', 'OutputLimitError'), ('blocks over the limit of blocks', 'FormatError'), ('bytes after the last block', 'FormatError'),
+('container cut in a frame', 'TruncatedError'), ('dictionary over its limit', 'FormatError'), ('good', ''), ('length after decoding', 'FormatError'), ('no mark', 'FormatError'),
+('payload cut', 'TruncatedError'), ('payload over its bound', 'OutputLimitError'), ('payload over its bound, runs', 'OutputLimitError'), ('primary index outside the block', 'FormatError'),
+('sub-block table', 'FormatError'), ('total over its ceiling', 'OutputLimitError'), ('unknown backend', 'FormatError'), ('unknown transform', 'FormatError'), ('unknown version', 'FormatError')) t(what, error)""")
+def guard_errors(spark, sf_dir):
+    """The error that decoding ends with, for containers with something wrong."""
+    rows = spark.createDataFrame([(what, data, most) for what, data, most in _hostile()], "what string, data binary, most long")
+
+    def work(batches):
+        for batch in batches:
+            errors = []
+            for data, most in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                try:
+                    container.decompress(data, most)
+                    errors.append("")
+                except guards.BlockError as e:
+                    errors.append(type(e).__name__)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(errors, _STR)], names=["what", "error"])
+
+    return rows.mapInArrow(work, "what string, error string")

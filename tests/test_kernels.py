@@ -10,6 +10,7 @@ from blockwright.functions import codecs as c
 from blockwright.functions import kernels as k
 from blockwright.guards import FormatError, OutputLimitError, TruncatedError
 
+# Inputs at the boundaries of the transforms' rules.
 CASES = [b"", b"a", b"ab", b"aaaa", b"a" * 1000, b"\0" * 1000, b"\xff" * 1000, bytes(range(256)) * 4, b"hello world " * 1000, b"\0\0\0\0ab" * 100, b"\xff\xfe\xfd" * 500, b"\0\1" * 2000, b"ab" * 1500, b"abc" * 1000, b"banana" * 200]
 CASES += [b"\0" * n for n in (3, 4, 5, 258, 259, 260, 263, 518)] + [b"a" * n for n in (65534, 65535, 65536, 70000)] + [b"x" + b"\0" * n + b"y" for n in (3, 4, 259, 262, 263)]
 CASES += [bytes(range(256)) * 300 + b"q" * n for n in (0, 1, 3)]
@@ -77,6 +78,7 @@ def test_bwt_against_sorted_rotations():
 
 
 def test_golden_vectors():
+    # Fixed values.
     assert k.delta(bytes((10, 11, 13))) == bytes((10, 1, 2))
     assert k.shuffle(b"abcd" * 4, 4) == b"aaaabbbbccccdddd"
     assert k.bwt(b"banana") == (b"nnbaaa", 3)
