@@ -183,7 +183,8 @@ class _ContainerWriter(DataSourceWriter):
 class Containers(DataSource):
     """``df.write.format("blockcontainers").mode("append").save(path)``: one file for each row (object_id, content).
 
-    ``containers_of`` makes such rows; ``binaryFile`` and ``read_frames`` read the files back.
+    ``containers_of`` makes such rows; ``binaryFile`` and ``read_frames`` read the files back.  Ids name the files, so
+    they must differ: of rows that share one, one file is left.
     """
 
     @classmethod
@@ -201,18 +202,19 @@ _STREAMED = "block_no bigint, version int, backend string, tid int, orig_len int
 
 
 class _StreamReader(SimpleDataSourceStreamReader):
-    """Frames of a growing stream container; an offset is a byte, a block's number and the block before's place."""
+    """Frames of a growing stream container; an offset is a byte, the number of blocks before it and the bytes they declare."""
 
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.most = int(options.get("max_blocks_per_trigger", 1024))
+        self.max_total = int(options["max_total"]) if "max_total" in options else None
 
     def initialOffset(self) -> dict:
-        return {"at": 0, "no": 0}
+        return {"at": 0, "no": 0, "total": 0}
 
     def _from(self, start: dict, end: int | None) -> tuple[list, dict]:
         system, at = _opened(self.path)
-        rows, now, no = [], start["at"], start["no"]
+        rows, now, no, total = [], start["at"], start["no"], start["total"]
         if system.get_file_info(at).type != fs.FileType.File:
             return rows, start
         with system.open_input_file(at) as f:
@@ -224,11 +226,12 @@ class _StreamReader(SimpleDataSourceStreamReader):
                 while (end is None and len(rows) < self.most or end is not None and now < end) and (frame := reader.frame(h)):
                     if frame.tid == kernels.XOR_PREV:
                         raise guards.FormatError("streams hold no blocks that refer to the one before")
+                    guards.check_total(total + frame.orig_len, self.max_total)
                     rows.append((no, h.version, h.backend, frame.tid, frame.orig_len, len(frame.payload), c.decode_one(h, frame)))
-                    now, no = f.tell(), no + 1
+                    now, no, total = f.tell(), no + 1, total + frame.orig_len
             except guards.TruncatedError:  # its end isn't written yet
                 pass
-        return rows, {"at": now, "no": no}
+        return rows, {"at": now, "no": no, "total": total}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows, end = self._from(start, None)
@@ -241,7 +244,8 @@ class _StreamReader(SimpleDataSourceStreamReader):
 class FrameStream(DataSource):
     """``spark.readStream.format("framestream").load(path)``: decoded blocks of a stream container that may still grow.
 
-    A frame whose end isn't there yet waits for a later batch; damage ends the query.
+    A frame whose end isn't there yet waits for a later batch; damage, or blocks that declare more than the option
+    ``max_total`` in all, end the query.
     """
 
     @classmethod

@@ -350,6 +350,9 @@ def test_files_and_streams_of_containers(spark, tmp_path):
             query.processAllAvailable()
         finally:
             query.stop()
+    limited = spark.readStream.format("framestream").option("max_total", 9000).load(str(source)).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "other")).start()
+    with pytest.raises(Exception, match="declared in all"):
+        limited.processAllAvailable()
     rows = spark.read.parquet(str(out)).orderBy("block_no").collect()
     assert [r["block_no"] for r in rows] == list(range(-(-len(data) // 5000))) and b"".join(bytes(r["data"]) for r in rows) == data
 
