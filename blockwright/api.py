@@ -12,9 +12,9 @@ from blockwright.operators.frames import decode_frames
 from blockwright.operators.search import Search, encode_blocks
 from blockwright.operators.stats import objects_of
 from blockwright.sources.arrow import BlockCodec, packed, unpacked
-from blockwright.sources.container import compress, compress_stream, decompress, decompress_stream
+from blockwright.sources.container import choices, compress, compress_stream, compress_v2, decompress, decompress_stream
 
-__all__ = ["BlockCodec", "compress", "compress_stream", "decode", "decompress", "decompress_stream", "encode", "packed", "shared_dictionary", "unpacked"]
+__all__ = ["BlockCodec", "choices", "compress", "compress_stream", "compress_v2", "decode", "decompress", "decompress_stream", "encode", "packed", "shared_dictionary", "unpacked"]
 
 
 def encode(df: DataFrame, id_col: str, data_col: str, backend: str = "zstd", level: int = 3, block_size: int | None = None, fast: bool = False, version: int = 3, xor_previous: bool = False, dictionary: bytes = b"", max_block: bool = False) -> DataFrame:

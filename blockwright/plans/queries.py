@@ -163,7 +163,7 @@ def _container(version: int, backend: str, level: int):
     return f
 
 
-for _version, _backend, _level in ((2, "zlib", 6), (3, "zstd", 3), (4, "lzma", 0)):
+for _version, _backend, _level in ((1, "huffman", 0), (2, "zlib", 6), (3, "zstd", 3), (4, "lzma", 0)):
     query(_source_digests("documents", "doc_id", "text"))(_container(_version, _backend, _level))
 
 

@@ -1,11 +1,14 @@
-"""The byte container: one object's header and frames, big-endian, versions 2, 3 and 4, and streams of frames."""
+"""The byte container: one object's header and frames, big-endian, versions 1 to 4, and streams of frames."""
 
 from __future__ import annotations
 
+import io
 import lzma
 import struct
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import partial
 from typing import BinaryIO
 
 from blockwright import guards
@@ -18,6 +21,9 @@ from blockwright.operators.search import Search, best, xored
 # Fixed values of the format.
 MAGIC = b"RISA"
 STREAMING = 0xFFFFFFFF
+#: Version 1's ids of transforms, and those of today.
+FIRST_IDS = {0: 0, 1: 1, 2: 2, 3: 5}
+FIRST_BLOCK = 4096
 
 
 @dataclass
@@ -46,6 +52,8 @@ def pack_header(h: Header) -> bytes:
         raise ValueError(f"containers have no id for backend {h.backend!r}")
     if h.num_blocks != STREAMING and h.num_blocks > guards.MAX_BLOCKS:
         raise ValueError(f"{h.num_blocks} blocks; at most {guards.MAX_BLOCKS} can be read back")
+    if h.version == 1:
+        return MAGIC + struct.pack(">BI", 1, h.num_blocks)
     out = MAGIC + struct.pack(">BBII", h.version, codecs.BACKENDS[h.backend], h.num_blocks, h.block_size)
     if h.version == 3:
         out += struct.pack(">I", len(h.dictionary)) + h.dictionary
@@ -58,8 +66,12 @@ def pack_header(h: Header) -> bytes:
 def pack_frame(f: Frame, backend: str, version: int = 3) -> bytes:
     if len(f.extra) > 255:
         raise ValueError("the extra field is over 255 bytes")
-    if version == 2 and f.orig_len > 65535:
-        raise ValueError("version 2 holds blocks of at most 65535 bytes")
+    if version < 3 and f.orig_len > 65535:
+        raise ValueError(f"version {version} holds blocks of at most 65535 bytes")
+    if version == 1:
+        tid = {v: k for k, v in FIRST_IDS.items()}[f.tid]
+        extra = f.extra[2:]  # a primary index in 2 bytes
+        return struct.pack(">BBHBB256HI", tid, 0, f.orig_len, len(extra), f.padding, *f.counts, len(f.payload)) + extra + f.payload
     head = struct.pack(">BB", f.tid, len(f.extra)) + struct.pack(">H" if version == 2 else ">I", f.orig_len)
     if backend == "huffman":
         head += struct.pack(">B256H", f.padding, *f.counts)
@@ -87,14 +99,17 @@ class Reader:
     def header(self) -> Header:
         if self.take(4) != MAGIC:
             raise guards.FormatError("no container: the first four bytes aren't the mark")
-        version, backend, num, size = self.unpack(">BBII")
-        if version not in (2, 3, 4):
+        (version,) = self.unpack(">B")
+        if version not in (1, 2, 3, 4):
             raise guards.FormatError(f"version {version} is unknown")
+        backend, num, size = self.unpack(">BII") if version > 1 else (codecs.BACKENDS["huffman"], *self.unpack(">I"), FIRST_BLOCK)
         if backend not in codecs.NAMES:
             raise guards.FormatError(f"backend {backend} is unknown")
+        if version == 1 and num == STREAMING:
+            raise guards.FormatError("version 1 has no streams")
         if num != STREAMING and num > guards.MAX_BLOCKS:
             raise guards.FormatError(f"{num} blocks are declared; the limit is {guards.MAX_BLOCKS}")
-        dictionary, read = b"", 14
+        dictionary, read = b"", 14 if version > 1 else 9
         if version == 3:
             (n,) = self.unpack(">I")
             guards.check_dictionary(n)
@@ -116,6 +131,12 @@ class Reader:
         if not first:
             return None
         tid = first[0]
+        if h.version == 1:
+            _, orig_len, n_extra, padding, *counts, n = self.unpack(">BHBB256HI")
+            if tid not in FIRST_IDS:
+                raise guards.FormatError(f"transform {tid} is unknown in version 1")
+            extra = self.take(n_extra)
+            return Frame(FIRST_IDS[tid], extra, orig_len, self.take(n), padding, counts)
         (n_extra,) = self.unpack(">B")
         (orig_len,) = self.unpack(">H" if h.version == 2 else ">I")
         guards.check_declared(orig_len)
@@ -151,12 +172,16 @@ def frame_of(data: bytes, search: Search, previous: bytes | None = None) -> Fram
 def pack(data: bytes, search: Search, block_size: int | None = None, version: int = 3, xor_previous: bool = False, max_block: bool = False) -> bytes:
     """A container of one object, by a search and with its codec's dictionary.
 
-    block_size: by default 64 KiB, and by the object's length in version 4 (see ``adaptive_bytes``).
+    block_size: by default 64 KiB (4 KiB in version 1), and by the object's length in version 4 (see ``adaptive_bytes``).
     """
     if block_size is None:
-        block_size = adaptive_bytes(len(data), max_block=max_block) if version >= 4 else BLOCK_SIZE
-    if block_size < 1 or version == 2 and block_size > 65535:
+        block_size = adaptive_bytes(len(data), max_block=max_block) if version >= 4 else BLOCK_SIZE if version > 1 else FIRST_BLOCK
+    if block_size < 1 or version < 3 and block_size > 65535:
         raise ValueError(f"block size {block_size}")
+    if version == 1:
+        if search.codec.backend != "huffman":
+            raise ValueError("version 1 holds Huffman codes only")
+        search = replace(search, tids=tuple(t for t in FIRST_IDS.values() if t != 5 or block_size <= 2048))
     if xor_previous and version < 4:
         raise ValueError("only version 4 holds blocks that refer to the one before")
     parts = [data[i : i + block_size] for i in range(0, len(data), block_size)] or [b""]
@@ -182,6 +207,16 @@ def compress(data: bytes, level: int = 3, block_size: int | None = None, backend
     return pack(data, Search(codec, version=version, fast=fast), block_size, version, xor_previous, max_block)
 
 
+#: Version 2's usual form: Huffman codes of small blocks.
+compress_v2 = partial(compress, backend="huffman", block_size=4096, version=2)
+
+
+def choices(packed: bytes) -> Counter[str]:
+    """How often each transform was chosen in a container."""
+    names = {t.tid: t.name for t in kernels.REGISTRY.values()} | {kernels.XOR_PREV: "XOR_PREV"}
+    return Counter(names[f.tid] for _, f in frames(io.BytesIO(packed)))
+
+
 def frames(file: BinaryIO, max_total: int | None = None) -> Iterator[tuple[Header, Frame]]:
     """Header and each frame of a container or stream; what follows the last block is an error."""
     r = Reader(file)
@@ -208,9 +243,7 @@ def blocks(file: BinaryIO, max_total: int | None = None) -> Iterator[bytes]:
 
 
 def decompress(data: bytes, max_output_size: int | None = None) -> bytes:
-    """The object of a container of version 2, 3 or 4. A stream's container is for ``blocks``."""
-    import io
-
+    """The object of a container of version 1 to 4. A stream's container is for ``blocks``."""
     if Reader(io.BytesIO(data)).header().num_blocks == STREAMING:
         raise guards.FormatError("this is a streaming container; read it as a stream")
     return b"".join(blocks(io.BytesIO(data), max_output_size))

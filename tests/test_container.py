@@ -5,6 +5,7 @@ import pytest
 
 from blockwright import __main__ as cli
 from blockwright import guards
+from blockwright.functions import kernels
 from blockwright.functions.codecs import Codec
 from blockwright.sources import container as c
 
@@ -117,3 +118,29 @@ def test_command_line(tmp_path, capsys):
 
 def test_doctor(capsys):
     assert cli.main(["doctor"]) == 0 and "transform 19 RLE\tok" in capsys.readouterr().out
+
+
+def test_version_1():
+    for data in (b"", b"a", TEXT, bytes(range(256)) * 50, struct.pack("<1000I", *range(1000))):
+        for size in (None, 2000):
+            made = c.compress(data, block_size=size, backend="huffman", version=1)
+            assert c.decompress(made) == data and made[:5] == b"RISA\x01"
+    used = [f.tid for _, f in c.frames(io.BytesIO(c.compress(bytes(range(250)) * 8 + TEXT, block_size=2000, backend="huffman", version=1)))]
+    assert used[0] == 1 and 5 in used
+    # A block of two symbols, by hand
+    counts = [0] * 256
+    counts[97], counts[98] = 2, 1
+    whole = b"RISA\x01" + struct.pack(">I", 1) + struct.pack(">BBHBB256HI", 0, 0, 3, 0, 5, *counts, 1) + bytes([0b11000000])
+    assert c.decompress(whole) == b"aab"
+    for bad in (whole[:-1], whole + b"x", whole[:9] + b"\x04" + whole[10:], whole[:5] + b"\xff" * 4 + whole[9:]):
+        with pytest.raises(guards.BlockError):
+            c.decompress(bad)
+    with pytest.raises(ValueError):
+        c.compress(TEXT, version=1)
+
+
+def test_presets_and_choices():
+    made = c.compress_v2(TEXT)
+    assert made[4] == 2 and c.decompress(made) == TEXT
+    assert sum(c.choices(made).values()) == -(-len(TEXT) // 4096)
+    assert c.choices(c.compress(b"\0" * 5000, 1, 1000, "zlib")).keys() <= {t.name for t in kernels.REGISTRY.values()}
