@@ -256,6 +256,11 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
     return per_block(docs.select("doc_id", "text"), work, "doc_id bigint, h1 bigint, h2 bigint, size bigint, bands array<bigint>")
 
 
+def _mixed(signed: DataFrame) -> DataFrame:
+    """(doc_id, mixed): whether an id's rows have different words."""
+    return signed.groupBy("doc_id").agg(((F.min("h1") != F.max("h1")) | (F.min("h2") != F.max("h2"))).alias("mixed"))
+
+
 #: Pairs that are verified at once, about; and texts, in bytes.
 _PAIRS, _BYTES = 4096, 4 << 20
 
@@ -399,7 +404,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Two texts are linked if the weighted Jaccard similarity of their shingles is at least SIMILARITY; texts of
     the same words are linked; texts without words are linked if they are equal; a null text is linked to none.
-    A class is a component of links.  Rows that share an id are one document.  Other columns are not read.
+    A class is a component of links.  Rows that share an id are one document if they have the same words; else
+    nobody can tell which text an id means, and the id is a class of its own.  Other columns are not read.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
     spark = df.sparkSession
@@ -407,7 +413,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_docs = full.count()
     keys, counts = _common(full, n_docs)
     idf = spark.sparkContext.broadcast(Idf(keys, counts, n_docs))
-    signed = stored(_signatures(full, idf))
+    every = stored(_signatures(full, idf))
+    mixed = stored(_mixed(every).filter("mixed").select("doc_id"))
+    signed = every if mixed.isEmpty() else every.join(mixed, "doc_id", "left_anti")
     nodes = stored(signed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "size", "bands")).alias("x")).select("h1", "h2", F.col("x.doc_id").alias("doc"), F.col("x.size").alias("size"), F.col("x.bands").alias("bands")))
     rows = nodes.select("doc", "size", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("band", "key").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).filter(F.col("rep") < F.col("last")).drop("last")
@@ -423,26 +431,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         before, comp = comp, components(tree.unionByName(more))
         dropped(before)
     classes = nodes.select("h1", "h2", "doc").join(comp, "doc", "left").select("h1", "h2", F.coalesce("comp", "doc").alias("class_id"))
-    lone = docs.filter(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
+    lone = docs.filter(F.col("text").isNull()).select("doc_id").unionByName(every.join(mixed, "doc_id", "left_semi").select("doc_id")).select("doc_id", F.col("doc_id").alias("class_id"))
     out = stored(signed.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id").unionByName(lone))
-    dropped(signed, nodes, members, texts, pairs, links, comp, more)
+    dropped(every, mixed, nodes, members, texts, pairs, links, comp, more)
     return out
 
 
 def keep_one(df: DataFrame) -> DataFrame:
     """The rows (all columns) of df that stand for their class: the row of its smallest id; rows with a null id all stay.
 
-    Of rows that share an id, the one with the smallest hash of all columns (but maps) stays.
+    Of rows that share an id and their words, the one with the smallest hash of all columns (but maps) stays; of rows
+    that share an id only, one of each text.
     """
     classes = near_duplicates(df)
     gone = classes.filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
     kept = df.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
     again = classes.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     if not again.isEmpty():
+        rows = kept.join(again, "doc_id", "left_semi")  # of few ids: their words are compared again
+        words = _signatures(rows, rows.sparkSession.sparkContext.broadcast(Idf(np.zeros(0, np.uint64), np.zeros(0), 1)))
+        words = _mixed(words)
+        free = [f"x{i}" for i in range(len(df.columns) + 2) if f"x{i}" not in {c.lower() for c in df.columns}][:2]
         plain = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
-        at = next(n for i in range(len(df.columns) + 1) if (n := f"place{i}") not in {c.lower() for c in df.columns})
-        place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*plain)))
-        once = kept.join(again, "doc_id", "left_semi").select("*", place.alias(at)).filter(F.col(at) == 1).drop(at)
+        rows = rows.join(words.select("doc_id", F.col("mixed").alias(free[0])), "doc_id", "left")
+        place = F.row_number().over(W.partitionBy("doc_id", F.when(F.col(free[0]), F.col("text"))).orderBy(F.xxhash64(*plain)))
+        once = rows.select("*", place.alias(free[1])).filter(F.col(free[1]) == 1).drop(*free)
         kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
     return kept.select(*df.columns).unionByName(df.filter(F.col("doc_id").isNull()))
 

@@ -86,6 +86,22 @@ def test_near_copies_keep_one(spark, odd):
     assert sorted(i for i in ids if i is not None) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10] and ids.count(None) == 2
 
 
+def test_near_copies_of_ids_that_come_again(spark):
+    """An id with different texts loses none of them; one with the same words is one document."""
+    a, b = "plain words of one text here and some more of it", "quite another text with words of its own and nothing shared"
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (5, b, "x"), (7, b, "x"), (8, a + "!", "y"), (9, a, "x"), (9, a + ".", "y"), (3, "third text alone in the world, twice the same", "x"), (3, "third text alone in the world, twice the same.", "y"), (4, None, "x"), (4, "a text beside a null one", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, x0 string").repartition(4)
+    got = near_dup.near_duplicates(frame).collect()
+    assert sorted(map(tuple, got)) == sorted([(1, 1), (5, 5), (5, 5), (5, 5), (7, 7), (8, 1), (9, 1), (9, 1), (3, 3), (3, 3), (4, 4), (4, 4)])
+    kept = near_dup.keep_one(frame)
+    assert kept.columns == frame.columns
+    by = {}
+    for r in kept.collect():
+        by.setdefault(r["doc_id"], []).append(r["text"])
+    assert {k: len(v) for k, v in by.items()} == {1: 1, 5: 2, 7: 1, 3: 1, 4: 2}
+    assert set(by[5]) == {a, b}
+
+
 def test_chat_edges(spark):
     schema = "conv_id long, turn long, role string, text string, chosen string, prompt int"
     empty = spark.createDataFrame([], schema)
