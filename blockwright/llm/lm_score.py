@@ -164,7 +164,7 @@ def counts(blocks: DataFrame, size: int, parts: int = PARTS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (keys, b, t))], names=names)
 
     schema = "part int, keys binary, background binary, target binary"
-    return blocks.select("target", "lengths", "tokens").mapInArrow(count, schema).repartition(parts, "part").mapInArrow(merge, schema)
+    return _dealt(blocks.select("target", "lengths", "tokens").mapInArrow(count, schema), parts, "part").mapInArrow(merge, schema)
 
 
 def _single(merged: DataFrame, size: int) -> np.ndarray:
