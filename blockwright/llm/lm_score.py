@@ -44,7 +44,7 @@ BLOCKS_A_TASK = 4096
 BROADCAST_IDS = 1_000_000
 #: Blocks that a task of the last step holds one after the other, about.
 _FINISHED = 16
-_FLUSH = 1 << 22
+_FLUSH = 1 << 21
 _BLOCK = "block bigint, ids array<bigint>, target array<boolean>, lengths array<bigint>, tokens binary"
 
 
