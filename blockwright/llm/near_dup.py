@@ -38,6 +38,8 @@ CELLS_LOG2, MOST_CELLS_LOG2 = 20, 26
 RANGE = 4096
 #: Followers of a representative that one task takes, about, and most representatives whose followers are dealt to several.
 HOT, MOST_HOT = 2048, 10_000
+#: Most ids of rows that go (8 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 _ODD = tx.mix(np.arange(101, 101 + BANDS * R, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -445,6 +447,8 @@ def keep_one(df: DataFrame) -> DataFrame:
     """
     classes = near_duplicates(df)
     gone = classes.filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     kept = df.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
     again = classes.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     if not again.isEmpty():
