@@ -181,11 +181,12 @@ def roundtrip_dictionary(spark, sf_dir):
 @query(_source_digests("documents", "doc_id", "text"))
 def stream_roundtrip(spark, sf_dir):
     """Documents as a file stream, encoded micro-batch by micro-batch into frames, then decoded."""
-    source = _table(spark, sf_dir, "documents")
-    # a directory, or the one file of that name in its directory
-    single = len(source.inputFiles()) == 1
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4)
-    rows = (stream.option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if single else stream.parquet(f"{sf_dir}/documents.parquet"))
+    table = f"{sf_dir}/documents.parquet"
+    # a stream takes a plain path for a directory, whatever it holds; one file is found by a pattern
+    at = spark._jvm.org.apache.hadoop.fs.Path(table)
+    single = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    stream = spark.readStream.schema(_table(spark, sf_dir, "documents").schema).option("maxFilesPerTrigger", 4)
+    rows = stream.parquet(f"{sf_dir}/documents.parque[t]" if single else table)
     search = Search(Codec("zstd", 3), fast=True)
     path = fresh_path(spark, "frames")
     write_stream(stats.objects_of(rows, "doc_id", "text"), path, fresh_path(spark, "state"), search, BLOCK).awaitTermination()

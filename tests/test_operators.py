@@ -381,6 +381,30 @@ def test_streaming(spark, tmp_path):
     assert back(reassemble(read_blocks(spark, str(tmp_path / "out"), search))) == {i: bytes([i]) * (i * 50) for i in range(40)}
 
 
+@pytest.mark.parametrize("layout", ["one part", "parts", "file", "file in a directory of its name", "by language", "no rows", "beside directories by a column"])
+def test_stream_of_a_table_in_any_layout(spark, tmp_path, layout):
+    from blockwright.plans.queries import QUERIES
+
+    table = tmp_path / "documents.parquet"
+    rows = spark.createDataFrame([(i, None if i == 3 else "text é " * (i * 200), "ab"[i % 2]) for i in range(0 if layout == "no rows" else 9)], "doc_id long, text string, lang string")
+    one = layout in ("one part", "no rows", "file", "file in a directory of its name", "beside directories by a column")
+    made = rows.coalesce(1).write if one else rows.repartition(3).write
+    if layout == "by language":
+        made = made.partitionBy("lang")
+    if layout in ("one part", "parts", "by language", "no rows"):
+        made.parquet(str(table))
+    else:
+        made.parquet(str(tmp_path / "made"))
+        if layout == "file in a directory of its name":
+            table.mkdir()
+        next((tmp_path / "made").glob("*.parquet")).rename(table / table.name if table.is_dir() else table)
+    if layout == "beside directories by a column":
+        rows.write.partitionBy("lang").parquet(str(tmp_path / "labels.parquet"))
+    got = {r["object_id"]: (r["n_bytes"], r["sha256"]) for r in QUERIES["stream_roundtrip"](spark, str(tmp_path)).collect()}
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in rows.collect()}
+    assert got == {i: (len(t), hashlib.sha256(t).hexdigest()) for i, t in texts.items()}
+
+
 def test_previous_block_sha(spark):
     data = hashlib.sha256(b"x").digest() * 40
     one = spark.createDataFrame([(1, data), (2, data[:100])], "object_id long, data binary")
