@@ -11,6 +11,7 @@ import hashlib
 import math
 import struct
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from blockwright import guards
 from blockwright.functions import kernels
+from blockwright.functions.batched import BATCHED
 from blockwright.functions.codecs import FRAMES_ONLY, Codec, Huffman, native_level
 from blockwright.functions.modelled import MODELLED
 from blockwright.operators import dictionary, stats
@@ -145,12 +147,23 @@ def roundtrip_modelled_frames(spark, sf_dir):
 def roundtrip_modelled_documents(spark, sf_dir):
     """Whole documents, in blocks, through the codecs of roundtrip_modelled, and back."""
 
-    def f(data: bytes) -> list[tuple]:
-        parts = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        back = [(name, b"".join(decode(encode(p), len(p)) for p in parts)) for name, (encode, decode) in MODELLED.items()]
-        return [(name, len(b), hashlib.sha256(b).hexdigest()) for name, b in back]
-
-    return stats.map_objects(_documents(spark, sf_dir).repartition("object_id"), f, [("codec", "string", _STR), ("n_bytes", "bigint", _I64), ("sha256", "string", _STR)])
+    def f(some: list[bytes]) -> list[list[tuple]]:
+        rows: list[list[tuple]] = [[] for _ in some]
+        for name, (encode, decode) in BATCHED.items():
+            at = 0
+            while at < len(some):  # objects of about 16 MB
+                end, size = at + 1, len(some[at])
+                while end < len(some) and size + len(some[end]) <= 4096 * BLOCK:
+                    size, end = size + len(some[end]), end + 1
+                parts = [data[i : i + BLOCK] for data in some[at:end] for i in range(0, len(data), BLOCK)]
+                back = iter(decode(encode(parts), list(map(len, parts))))
+                for i in range(at, end):
+                    b = b"".join(islice(back, -(-len(some[i]) // BLOCK)))
+                    rows[i].append((name, len(b), hashlib.sha256(b).hexdigest()))
+                at = end
+        return rows
+
+    return stats.map_together(_documents(spark, sf_dir).repartition("object_id"), f, [("codec", "string", _STR), ("n_bytes", "bigint", _I64), ("sha256", "string", _STR)])
 
 
 def _container(version: int, backend: str, level: int):
